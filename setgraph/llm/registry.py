@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, secrets
 
-QUERIES = {"op10_prefix_bpe": bpe.op10_prefix_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_secret_ledger": secrets.op1_secret_ledger,
+    "op10_prefix_bpe": bpe.op10_prefix_bpe,
+}
+ORACLES: dict[str, str] = {"op1_secret_ledger": secrets.ORACLE}
