@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, secrets
+from . import bpe, pii, ranking, secrets, toxicity
 
 QUERIES = {
     "op1_secret_ledger": secrets.op1_secret_ledger,
+    "op2_pii_deobfuscation": pii.op2_pii_deobfuscation,
+    "op7_toxicity_grammar": toxicity.op7_toxicity_grammar,
+    "op9_bradley_terry": ranking.op9_bradley_terry,
     "op10_prefix_bpe": bpe.op10_prefix_bpe,
 }
 ORACLES: dict[str, str] = {"op1_secret_ledger": secrets.ORACLE}
