@@ -16,17 +16,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_of(column: str = "text") -> Column:
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the session's checkpoint folder, which all executors share, and read it from there.
-
-    The folder is spark.checkpoint.dir; only where the session names none (tests on one machine) is one made
-    under the warehouse.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
-    return df.checkpoint(eager=True)
