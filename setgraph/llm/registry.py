@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, pii, ranking, secrets, toxicity
+from . import bagminhash, bpe, embeddings, pii, ranking, secrets, topk, toxicity
 
 QUERIES = {
     "op1_secret_ledger": secrets.op1_secret_ledger,
     "op2_pii_deobfuscation": pii.op2_pii_deobfuscation,
+    "op3_bagminhash_dedup": bagminhash.op3_bagminhash_dedup,
+    "op5_cross_polytope": embeddings.op5_cross_polytope,
+    "op6_impact_topk": topk.op6_impact_topk,
     "op7_toxicity_grammar": toxicity.op7_toxicity_grammar,
     "op9_bradley_terry": ranking.op9_bradley_terry,
     "op10_prefix_bpe": bpe.op10_prefix_bpe,
 }
-ORACLES: dict[str, str] = {"op1_secret_ledger": secrets.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_secret_ledger": secrets.ORACLE,
+    "op5_cross_polytope": embeddings.ORACLE,
+    "op6_impact_topk": topk.ORACLE,
+}
