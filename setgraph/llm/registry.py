@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bagminhash, bpe, embeddings, pii, ranking, secrets, topk, toxicity
+from . import bagminhash, bpe, embeddings, mixing, pii, ranking, secrets, topk, toxicity
 
 QUERIES = {
     "op1_secret_ledger": secrets.op1_secret_ledger,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_cross_polytope": embeddings.op5_cross_polytope,
     "op6_impact_topk": topk.op6_impact_topk,
     "op7_toxicity_grammar": toxicity.op7_toxicity_grammar,
+    "op8_pfair_mix": mixing.op8_pfair_mix,
     "op9_bradley_terry": ranking.op9_bradley_terry,
     "op10_prefix_bpe": bpe.op10_prefix_bpe,
 }
