@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bagminhash, bpe, embeddings, mixing, pii, ranking, secrets, topk, toxicity
+from . import bagminhash, bpe, embeddings, licenses, mixing, pii, ranking, secrets, topk, toxicity
 
 QUERIES = {
     "op1_secret_ledger": secrets.op1_secret_ledger,
     "op2_pii_deobfuscation": pii.op2_pii_deobfuscation,
     "op3_bagminhash_dedup": bagminhash.op3_bagminhash_dedup,
+    "op4_license_tfidf": licenses.op4_license_tfidf,
     "op5_cross_polytope": embeddings.op5_cross_polytope,
     "op6_impact_topk": topk.op6_impact_topk,
     "op7_toxicity_grammar": toxicity.op7_toxicity_grammar,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_secret_ledger": secrets.ORACLE,
+    "op4_license_tfidf": licenses.ORACLE,
     "op5_cross_polytope": embeddings.ORACLE,
     "op6_impact_topk": topk.ORACLE,
 }

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut_lineage
 from .common import table, text_of
 
 
@@ -142,10 +143,10 @@ def findings_digest(found: DataFrame) -> DataFrame:
     )
 
 
-def redact(text: Column) -> Column:
-    """The text with every secret replaced by [SECRET]; overlapping spans make one replacement."""
+def redact(text: Column, found: Column) -> Column:
+    """The text with every span of found replaced by [SECRET]; overlapping spans make one replacement."""
     out = F.aggregate(
-        find_secrets(text),
+        found,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda done, s: F.struct(
             F.greatest(done["at"], s["end"]).alias("at"),
@@ -153,7 +154,22 @@ def redact(text: Column) -> Column:
         ),
         lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.lit(2**31 - 1))),
     )
-    return F.when(F.size(find_secrets(text)) > 0, out).otherwise(text)
+    return F.when(F.size(found) > 0, out).otherwise(text)
+
+
+def redacted(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """docs with every secret of their texts replaced and n_chars, where there is one, counted anew."""
+    keyed = with_blob(docs.withColumn("text", F.col("text").cast("string")))
+    new = scan_unseen(keyed.select("blob", text_of().alias("text")), ledger)
+    known = new if ledger is None else ledger.filter(F.col("rule_version") == RULE_VERSION).unionByName(new)
+    hits = known.filter(F.size("found") > 0).groupBy("blob").agg(F.any_value("found").alias("_found"))
+    out = keyed.join(cut_lineage(hits), "blob", "left")
+    has = F.coalesce(F.size("_found") > 0, F.lit(False))
+    clean = F.when(has, redact(F.col("text"), F.col("_found"))).otherwise(F.col("text"))
+    out = out.withColumn("text", clean)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(has, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
