@@ -6,10 +6,11 @@ level of a dyadic partition of weights (0,1], (1,2], (2,4], ...: a point is seen
 shingle at least that often, each point belongs to one of the signature's registers, and a register keeps the earliest
 point that it sees. Two texts agree in a register with a probability of exactly their weighted Jaccard similarity.
 
-Copies (texts with the same words) are one class from the start. Classes that agree in all registers of a band are
-candidates: first each against the least class of its bucket, then, in buckets that still hold several components,
-all pairs across components. Candidates count as links only when the multisets themselves overlap by at least the
-threshold.
+Copies (texts with the same words) are one class from the start. Classes that agree in all registers of a band share
+a bucket. First each class is verified against the least one and the most similar one of each of its buckets, which
+joins most of a group without all of its pairs. Then, for components that still share a bucket and have signatures
+near enough, every class of the smaller one is compared with all of the larger one, in blocks of texts that emit at
+most one link a class. Links are pairs whose multisets themselves overlap by at least the threshold.
 
 Null and wordless texts, and rows without doc_id, are copies of nothing (rows without doc_id have a null component).
 Rows that share a doc_id count as one document that has the links of each of its texts. An empty table gives an empty
@@ -197,14 +198,6 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-@F.pandas_udf(T.BooleanType())
-def _plausible(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype=bool)
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), REGISTERS) for s in (a, b))
-    return pd.Series((x == y).mean(1) >= PLAUSIBLE)
-
-
 @F.pandas_udf(T.DoubleType())
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     cache: dict[str, Counter] = {}
@@ -219,25 +212,118 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.withColumn("overlap", _overlap("text_a", "text_b")).filter(F.col("overlap") >= threshold).select("a", "b")
 
 
-def _across(batch: pd.DataFrame) -> pd.DataFrame:
-    """Plausible pairs of different components in the blocks of buckets of one batch."""
+def _agreement(small: np.ndarray, at: int) -> np.ndarray:
+    """The share of registers in which each row agrees with one row."""
+    return (small == small[at]).mean(1)
+
+
+def _bytes(rows: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["bytes"]), np.uint8).reshape(len(rows), REGISTERS)
+
+
+def _nearest(batch: pd.DataFrame) -> pd.DataFrame:
+    """Plausible pairs of each class with the least and the most similar class of its block of a bucket."""
     found: set[tuple[int, int]] = set()
-    for (_, i, j), rows in batch.groupby(["band", "i", "j"], sort=False):
+    for _, rows in batch.groupby(["band", "own"], sort=False):
         if len(rows) < 2:
             continue
-        ids, component, weight, own = (rows[c].to_numpy() for c in ("rep", "component", "weight", "own"))
-        small = np.frombuffer(b"".join(rows["bytes"]), np.uint8).reshape(len(rows), REGISTERS)
-        for at in range(len(rows)):
+        rows = rows.sort_values("rep", kind="stable")
+        ids, small = rows["rep"].to_numpy(), _bytes(rows)
+        leader = _agreement(small, 0)
+        found.update((ids[0], x) for x in ids[1:][leader[1:] >= PLAUSIBLE])
+        for at in range(1, len(ids)):
+            near = _agreement(small, at)
+            near[at] = 0
+            best = int(near.argmax())
+            if near[best] >= PLAUSIBLE:
+                found.add((min(ids[at], ids[best]), max(ids[at], ids[best])))
+    return pd.DataFrame(sorted(x for x in found if x[0] != x[1]), columns=["a", "b"], dtype="int64")
+
+
+def _near_components(batch: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of components with plausible pairs of classes in a (pair of blocks of a) bucket."""
+    found: set[tuple[int, int]] = set()
+    for (_, i, j), rows in batch.groupby(["band", "i", "j"], sort=False):
+        component, weight, own = (rows[c].to_numpy() for c in ("component", "weight", "own"))
+        if len(rows) < 2 or component.min() == component.max():
+            continue
+        small = _bytes(rows)
+        for at in range(len(rows) - 1):
             other = (component[at + 1 :] != component[at]) & (np.minimum(weight[at + 1 :], weight[at]) >= PLAUSIBLE * np.maximum(weight[at + 1 :], weight[at]))
             if i != j:
                 other &= own[at + 1 :] != own[at]
             near = np.flatnonzero(other) + at + 1
             if len(near):
                 near = near[(small[near] == small[at]).mean(1) >= PLAUSIBLE]
-                found.update((min(ids[at], ids[k]), max(ids[at], ids[k])) for k in near)
+                found.update((min(component[at], c), max(component[at], c)) for c in set(component[near].tolist()))
     return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
 
+def _link_blocks(threshold: float):
+    def link(batch: pd.DataFrame) -> pd.DataFrame:
+        """For each block of classes against a block of a larger component: at most one link a class."""
+        out = []
+        for _, rows in batch.groupby(["larger", "i", "j"], sort=False):
+            left, right = rows[~rows["right"]], rows[rows["right"]]
+            if left.empty or right.empty:
+                continue
+            ids = right["rep"].to_numpy()
+            at, shingle, count = shingles([words_of(t) for t in right["text"]])
+            total = np.bincount(at, weights=count, minlength=len(ids))
+            for rep, text in zip(left["rep"], left["text"], strict=True):
+                _, own, n = shingles([words_of(text)])
+                if not len(own):
+                    continue
+                place = np.minimum(np.searchsorted(own, shingle), len(own) - 1)
+                common = np.bincount(at, weights=np.where(own[place] == shingle, np.minimum(count, n[place]), 0), minlength=len(ids))
+                overlaps = common / (total + n.sum() - common)
+                overlaps[ids == rep] = 0
+                best = int(overlaps.argmax())
+                if overlaps[best] >= threshold:
+                    out.append((min(rep, ids[best]), max(rep, ids[best])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return link
+
+
+def _across_components(component: DataFrame, shared: DataFrame, classes: DataFrame, named: DataFrame, threshold: float) -> DataFrame:
+    """Links between components that share buckets: every class of the smaller one against all of the larger one."""
+    labelled = shared.select("band", "rep", "n").join(component.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = cut_lineage(labelled)
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("band")
+    members = labelled.join(mixed, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
+    dealt = cut_lineage(dealt.join(classes.select("rep", "weight", "bytes"), "rep"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("band", "i", "j"), F.lit(max(1, dealt.count() // 4000))))
+    pairs = cut_lineage(dealt.groupBy("part").applyInPandas(lambda batch: _near_components(batch), "a long, b long").distinct())
+
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("component")).distinct()
+    reps = labelled.select("rep", "component").distinct().join(involved, "component")
+    # Classes of a component that share no bucket with another class are in no pair, but count as its members.
+    reps = cut_lineage(reps)
+    sizes = reps.groupBy("component").agg(F.count("*").alias("size"))
+    sized = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
+    a_larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    met = sized.select(F.when(a_larger, F.col("a")).otherwise(F.col("b")).alias("larger"), F.when(a_larger, F.col("b")).otherwise(F.col("a")).alias("component"))
+    left = met.join(reps, "component").select("larger", "rep")
+    n_left = left.groupBy("larger").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_left"))
+    n_right = sizes.select(F.col("component").alias("larger"), F.ceil(F.col("size") / BLOCK).cast("int").alias("n_right"))
+    counts = cut_lineage(n_left.join(n_right, "larger"))
+    right = reps.withColumnRenamed("component", "larger")
+
+    def dealt_out(rows: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        rows = rows.join(counts, "larger").withColumn(own, F.pmod(F.xxhash64("rep"), F.col(n_own).cast("long")).cast("int"))
+        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
+        return rows.select("larger", "rep", "i", "j", F.lit(own == "j").alias("right"))
+
+    blocks = cut_lineage(dealt_out(left, "i", "n_left", "j", "n_right").unionByName(dealt_out(right, "j", "n_right", "i", "n_left")))
+    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("larger", "i", "j"), F.lit(max(1, blocks.count() // 400))))
+    full = blocks.join(named.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    return full.groupBy("part").applyInPandas(_link_blocks(threshold), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, component_id, kept) for each distinct doc_id of docs.
 
@@ -255,28 +341,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     copy_links = copies.filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter(F.col("leader") < F.col("last"))
-    shared = cut_lineage(banded.join(buckets.select("band", "leader"), "band"))
-    bytes_of = classes.select("rep", "bytes")
-    stars = shared.filter(F.col("rep") != F.col("leader")).select(F.col("rep").alias("b"), F.col("leader").alias("a")).distinct()
-    stars = stars.join(bytes_of.toDF("a", "bytes_a"), "a").join(bytes_of.toDF("b", "bytes_b"), "b").filter(_plausible("bytes_a", "bytes_b")).select("a", "b")
-    links = cut_lineage(_verified(cut_lineage(stars), named, threshold))
-    component = connected_components(links, "a", "b")
-
-    # Buckets with several components: all pairs across them.
-    labelled = shared.select("band", "rep").join(component.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = cut_lineage(labelled)
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).filter("c0 < c1")
-    members = labelled.join(mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band")
-    members = members.join(classes.select("rep", "weight", "bytes"), "rep")
-    members = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
-    dealt = cut_lineage(dealt)
-    parts = max(1, dealt.count() // 4000)
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("band", "i", "j"), F.lit(parts)))
-    pairs = dealt.groupBy("part").applyInPandas(lambda batch: _across(batch), "a long, b long").distinct()
-    more = _verified(cut_lineage(pairs), named, threshold)
+    buckets = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    shared = cut_lineage(banded.join(buckets, "band"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")
+    # The least class of a bucket is in each of its blocks.
+    dealt = shared.withColumn("own", F.explode(F.when(F.col("rep") == F.col("leader"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
+    dealt = dealt.select("band", "own", "rep").join(classes.select("rep", "bytes"), "rep")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("band", "own"), F.lit(max(1, shared.count() // 8000))))
+    near = cut_lineage(dealt.groupBy("part").applyInPandas(lambda batch: _nearest(batch), "a long, b long").distinct())
+    links = cut_lineage(_verified(near, named, threshold))
+    more = _across_components(connected_components(links, "a", "b"), shared, classes, named, threshold)
 
     every = copy_links.unionByName(links).unionByName(more)
     component = connected_components(every, "a", "b").withColumnRenamed("id", "doc_id")
