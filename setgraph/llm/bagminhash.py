@@ -14,7 +14,8 @@ most one link a class. Links are pairs whose multisets themselves overlap by at
 
 Null and wordless texts, and rows without doc_id, are copies of nothing (rows without doc_id have a null component).
 Rows that share a doc_id count as one document that has the links of each of its texts. An empty table gives an empty
-result. At most one pair in 20,000 at a similarity of exactly 0.8 has no common bucket, far fewer above it.
+result. Of pairs at a similarity of exactly 0.8 about one in 12,000 has no common bucket or signatures too far apart,
+far fewer above it.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ from .common import table, text_of
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Candidates whose signatures agree in fewer registers aren't verified; at the threshold that is 5.6 deviations away.
-PLAUSIBLE = 0.6
+#: Candidates whose signatures agree in fewer registers aren't verified; at the threshold that is 4 deviations away.
+PLAUSIBLE = 0.657
 #: Rows of a bucket that are compared with one another at once; larger buckets are dealt out in pairs of blocks.
 BLOCK = 256
 
