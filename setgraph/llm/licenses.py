@@ -88,7 +88,8 @@ def licences(files: DataFrame) -> DataFrame:
     own = files.select("file_id", "path", statement_of(text).alias("statement"), F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("words"))
     own = cut_lineage(own.withColumn("directory", F.regexp_replace("path", "/[^/]*$", "")))  # the texts are read once
     stated = own.filter(F.col("statement") != "")
-    matched = match_templates(stated.groupBy("statement").agg(F.count("*").alias("files")))
+    # Cut here, the table of matches is small and the joins with it are plain joins, of which large keys can be split.
+    matched = cut_lineage(match_templates(stated.groupBy("statement").agg(F.count("*").alias("files"))))
     found = stated.join(matched, "statement")
     statement_words = F.size(F.filter(F.split("statement", r"\s+"), lambda w: w != ""))
     by_directory = found.filter(statement_words * 2 >= F.col("words"))
@@ -99,7 +100,10 @@ def licences(files: DataFrame) -> DataFrame:
     above = own.select("directory").distinct().withColumn("depth", F.explode(F.sequence(F.lit(1), F.size(parts))))
     above = above.withColumn("above", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))
     nearest = above.join(by_directory, "above").groupBy("directory").agg(F.max(F.struct("depth", "above", "licence", "cosine")).alias("from"))
-    out = own.join(matched.withColumnsRenamed({"licence": "own_licence", "cosine": "own_cosine"}), "statement", "left").join(nearest, "directory", "left")
+    own_licence = matched.withColumnsRenamed({"licence": "own_licence", "cosine": "own_cosine"})
+    # Most files have no statement: as one key of a join they would be one task.
+    silent = own.filter(F.col("statement") == "").withColumns({"own_licence": F.lit(None).cast("string"), "own_cosine": F.lit(None).cast("double")})
+    out = stated.join(own_licence, "statement", "left").unionByName(silent).join(cut_lineage(nearest), "directory", "left")
     has = F.col("own_licence").isNotNull()
     return out.select(
         "file_id",
