@@ -113,7 +113,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = R
     Append the new rows to the ledger's table before the next scan; texts met again are then not read by a pattern.
     """
     keyed = with_blob(docs.select("doc_id", text_of().alias("text")))
-    new = scan_unseen(keyed.select("blob", "text"), ledger, rule_version)
+    # Written before it is joined: the findings of each blob are few, and a blob with many paths can then be split.
+    new = cut_lineage(scan_unseen(keyed.select("blob", "text"), ledger, rule_version))
     known = new
     if ledger is not None:
         old = ledger.filter(F.col("rule_version") == rule_version).groupBy("blob", "rule_version").agg(F.any_value("found").alias("found"))
