@@ -30,6 +30,8 @@ from .labelled import labelled_sample, logistic, remainder
 
 #: At most so many labelled rows are used for learning.
 SAMPLE_BOUND = 8000
+#: A negation reaches so many words on, reported speech twice as many.
+REACH = 4
 #: A beginning of a word can be an arc from so many letters up to so many.
 STEM = range(4, 8)
 
@@ -73,16 +75,19 @@ class Grammar:
     def clause(self, words: list[str]) -> tuple[str | None, float]:
         """The class and weight in which the composed transducers end, None without insult or threat."""
         weight, threat, target, denied, reported = 0.0, False, False, False, False
-        for word in words:
+        denial = report = -len(words) - 2 * REACH  # where the last one was
+        for at, word in enumerate(words):
             if word in TARGETS:
                 target = True
             elif word in REPORTS:
-                reported = True
-            elif word in NEGATIONS and not weight:  # it denies what follows
-                denied = True
+                report = at
+            elif word in NEGATIONS:
+                denial = at
             elif word in THREATS:
                 threat = True
             elif (w := self.insult(word)) > 0:
+                denied |= not weight and at - denial < REACH
+                reported |= not weight and at - report < 2 * REACH
                 weight += w
         threat = threat and target
         if not weight and not threat:
