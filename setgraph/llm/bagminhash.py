@@ -188,6 +188,8 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     band = mix(band * _U(0x9E3779B97F4A7C15) + registers[:, k * BANDS : (k + 1) * BANDS] + step)
             small = (registers & _U(255)).astype(np.uint8)
             rows = np.flatnonzero(has)
+            if not len(rows):
+                continue
             yield pd.DataFrame(
                 {
                     "doc_id": part["doc_id"].to_numpy()[rows],
