@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut_lineage
 
+#: The links of a vertex are dealt to so many tasks.
+SALTS = 16
+
 
 def _state(links: DataFrame) -> tuple:
     """Equal for equal sets of links."""
@@ -20,7 +23,7 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", m
     Links join src and dst in both directions; null ends and loops between an id and itself are left out, repeated
     links count once. Large-star and small-star rounds (Kiveris et al. 2014) shrink every component to a star around
     its least id, in a number of rounds that grows with the logarithm of the longest path. The minimum of a vertex's
-    neighbours is a partial aggregate that is joined back, so a hub needs no task of its own.
+    neighbours is a partial aggregate that is joined back to its links, which are salted, so a hub needs no task of its own.
     """
     edge = F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))
     links = links.filter(edge).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct()
@@ -31,7 +34,9 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", m
             break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        above = both.filter(F.col("v") > F.col("u")).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        large = above.join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("x"), "m").filter(F.col("x") != F.col("m"))
         small = small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
