@@ -1,9 +1,9 @@
 """Pairs of edges that share nodes, of nodes that share edges, and what follows from them.
 
 The kernel is a self-join on the opposite id that emits each pair once (src < dst) with the number of shared ids. Its
-output grows with the square of hub sizes, so ids that can't reach s are dropped before, and for s of 2 or more a
+output grows with the square of hub sizes, so ids that can't reach s are dropped before. From s = PREFIX_FROM on a
 prefix filter drops most candidates: with the opposite ids of each set in ascending order of frequency, two sets that
-share s of them share one of the first size - s + 1 of each.
+share s of them share one of the first size - s + 1 of each. For smaller s it drops little, and counting is cheaper.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ..errors import TooLargeError
 from ..graph import EDGES, NODES, HGraph, id_table, side
 
-#: The most pairs that a join may make, estimated before it runs, and the most columns of a wide table.
-MOST_PAIRS, MOST_COLUMNS = 50_000_000_000, 5_000
+#: The most columns of a wide table.
+MOST_COLUMNS = 5_000
+#: The least s for which candidates come from prefixes.
+PREFIX_FROM = 4
 
 
 def pair_estimate(graph: HGraph, level: int) -> int:
@@ -34,9 +36,10 @@ def pair_counts(graph: HGraph, level: int = EDGES, s: int = 1, most_pairs: int |
     if s > 1:
         large = pairs.groupBy(own).agg(F.count("*").alias("size")).filter(F.col("size") >= s)
         pairs = pairs.join(large, own)
-    if s <= 1:
+    if s < PREFIX_FROM:
         a, b = pairs.select(F.col(own).alias("src"), other), pairs.select(F.col(own).alias("dst"), other)
-        return a.join(b, other).filter("src < dst").groupBy("src", "dst").agg(F.count("*").alias("overlap"))
+        counts = a.join(b, other).filter("src < dst").groupBy("src", "dst").agg(F.count("*").alias("overlap"))
+        return counts.filter(F.col("overlap") >= s) if s > 1 else counts
     degrees = pairs.groupBy(other).agg(F.count("*").alias("degree")).filter("degree > 1")
     ranked = pairs.join(degrees, other)
     # Opposite ids of degree 1 are in no pair; a set is then as large as what is left of it.

@@ -114,6 +114,17 @@ def test_toplexes_and_layers(graph):
     assert {r["rep"]: r["label"] for r in layout.create_labels(graph(DUPES), as_set=True, with_counts=False).collect()}["L"] == "{L, M}"
 
 
+def test_prefix_filter_finds_the_same_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    g = build.from_lists(spark, [rng.sample(range(14), rng.randint(1, 8)) for _ in range(60)])
+    for s in (2, 3, 5):
+        found = []
+        for first in (2, 100):
+            monkeypatch.setattr(pairs, "PREFIX_FROM", first)
+            found.append({tuple(r) for r in pairs.pair_counts(g, 0, s).select("src", "dst", "overlap").collect()})
+        assert found[0] == found[1] and found[0]
+
+
 def test_matrices(graph):
     dense = {(r["row"], r["col"]) for r in graph(SEVEN).adjacency_matrix(2).collect()}
     assert dense == {("A", "K"), ("K", "A"), ("K", "T2"), ("T2", "K")}
