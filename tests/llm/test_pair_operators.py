@@ -222,6 +222,33 @@ def test_mix(spark):
     assert unweighted.count() == 700 and unweighted.filter("_mixed").count() == 0
 
 
+def test_slots_stay_within_a_block_of_the_exact_weights():
+    rng = random.Random(5)
+    for _ in range(60):
+        given = {f"s{i}": rng.choice([1, rng.random() + 0.01, 3]) for i in range(rng.randint(1, 20))}
+        weights = list(mixing.whole_weights(given).values())
+        total, at = sum(weights), 0
+        before, length = [0] * len(weights), -(-total // min(weights)) + 2
+        count = list(before)
+        for _ in range(4):
+            after = mixing.blocks_before(at + length, at, weights, total)
+            for t, (s, k) in enumerate(mixing.stretch(at, at + length, before, after, weights, total), at + 1):
+                assert k == count[s]
+                count[s] += 1
+                assert all(abs(c * total - w * t) < total for c, w in zip(count, weights, strict=True))
+            assert count == after
+            before, at = after, at + length
+
+
+def test_mix_keeps_small_weights(spark):
+    docs = documents(spark, [(i, "t", "large" if i < 3000 else "tiny") for i in range(3002)])
+    placed = mixing.mix(docs, {"large": 1 - 1e-4, "tiny": 1e-4}, block_docs=1).collect()
+    tiny = sorted(r["_slot"] for r in placed if r["source"] == "tiny")
+    assert 0 <= tiny[0] < 10_001 and 9_998 <= tiny[1] < 20_002  # windows of 10,000 slots, not of the 1000 of a period
+    large = {r["_block"]: r["_slot"] for r in placed if r["source"] == "large"}
+    assert len(large) == 3000 and all(abs(k + 1 - (1 - 1e-4) * (slot + 1)) < 1 for k, slot in large.items())
+
+
 # -- pipeline -----------------------------------------------------------------------------------------------------
 
 
