@@ -41,8 +41,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix in the order of their slots; sources with more than their share leave a surplus out."""
-    placed = mixing.mix(docs.select(*DOCUMENT_COLUMNS)).filter("_mixed")
+    """All documents in the order of their slots."""
+    placed = mixing.mix(docs.select(*DOCUMENT_COLUMNS))
     return placed.repartitionByRange("_slot", "doc_id").sortWithinPartitions("_slot", "doc_id").select(*DOCUMENT_COLUMNS)
 
 

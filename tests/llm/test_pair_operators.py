@@ -302,5 +302,10 @@ def test_pipeline_stages(spark, small_corpus):
     assert corpus_pipeline.run(spark, folder).select("ids_sha256").exceptAll(spark.read.parquet(f"{folder}/4").select("ids_sha256")).count() == 0
 
 
+def test_pipeline_mixes_all_documents_of_a_hot_source(spark):
+    docs = documents(spark, [(i, "t", "hot" if i < 900 else f"s{i % 4}") for i in range(980)])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, "").collect()) == list(range(980))
+
+
 def test_shared_constants():
     assert [r.kind for r in secrets.RULES if r.base] == ["assign", "access", "hex"] and pii.KINDS == ("email", "ip", "card", "phone")
