@@ -108,6 +108,26 @@ def test_disguised_pii_maps_back(text, shown):
     assert plain == [] and [text[a:b] for a, _, b in every] == [shown]
 
 
+@pytest.mark.parametrize(
+    ("text", "shown"),
+    [
+        ("call plus 49 170 1234567 now", "plus 49 170 1234567"),
+        ("card 4111 1111 1111 111 one.", "4111 1111 1111 111 one"),
+        ("call +49 170 123 six 7890.", "+49 170 123 six 7890"),
+        ("anna [at] mail\ndot\torg", "anna [at] mail\ndot\torg"),
+        ("anna at mail\ndot org", "anna at mail\ndot org"),
+        ("ip 10.one.2.3", "10.one.2.3"),
+    ],
+)
+def test_single_signs_of_disguise(text, shown):
+    every = pii.find_all(text)[1]
+    assert [text[a:b] for a, _, b in every] == [shown]
+
+
+def test_gate_on_long_white_space_and_odd_cases():
+    assert pii.find_all(" " * 200_000 + "one")[1] == [] and pii.find_all("\u017fix s\u0130x")[1] == []
+
+
 def test_pii_leaves_clean_texts_alone(spark):
     for text in ("look at mail.example.com", "at the dot com", "five, five-five 5 five", "they met at noon dot", "a@b", "1.2.3.400"):
         assert pii.find_all(text)[1] == []
