@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -72,10 +72,14 @@ class Grammar:
                 best = max(best, self.arcs.get(word[:n] + "*", 0.0))
         return best
 
-    def clause(self, words: list[str]) -> tuple[str | None, float]:
-        """The class and weight in which the composed transducers end, None without insult or threat."""
-        weight, threat, target, denied, reported = 0.0, False, False, False, False
-        denial = report = -len(words) - 2 * REACH  # where the last one was
+    def clause(self, words: Iterable[str]) -> tuple[str | None, float]:
+        """The class and weight in which the composed transducers end, None without insult or threat.
+
+        Whether a clause denies or reports is decided where its weight begins: at its first insult or threat.
+        """
+        weight, target = 0.0, False
+        insult = threat = None  # place of the first one, whether it is reported, whether it is denied
+        denial = report = -2 * REACH  # where the last one was
         for at, word in enumerate(words):
             if word in TARGETS:
                 target = True
@@ -84,36 +88,35 @@ class Grammar:
             elif word in NEGATIONS:
                 denial = at
             elif word in THREATS:
-                threat = True
+                threat = threat or (at, at - report < 2 * REACH, at - denial < REACH)
             elif (w := self.insult(word)) > 0:
-                denied |= not weight and at - denial < REACH
-                reported |= not weight and at - report < 2 * REACH
+                insult = insult or (at, at - report < 2 * REACH, at - denial < REACH)
                 weight += w
-        threat = threat and target
-        if not weight and not threat:
+        if not target:
+            threat = None
+        if not insult and not threat:
             return None, 0.0
+        _, reported, denied = min(first for first in (insult, threat) if first)
         kind = "reported" if reported else "denied" if denied else "threat" if threat else "addressed" if target else "stated"
-        return kind, weight + 1.0 * threat
+        return kind, weight + (1.0 if threat else 0.0)
 
     def features(self, text: str, matcher: ahocorasick.Automaton) -> list[float]:
-        """1, then the logarithm of 1 + the summed weight of the clauses of each class."""
+        """1, then the logarithm of 1 + the summed weight of the clauses of each class. Each clause is read once."""
         low = text.lower()
         sums = dict.fromkeys(CLASSES, 0.0)
-        done = 0
+        left = done = 0
         for end, size in matcher.iter(low):
             start = end - size + 1
             if start < done or (start and low[start - 1].isalnum()):
                 continue
-            left = 0
-            for m in _END.finditer(low, max(0, start - 2000), start):
+            for m in _END.finditer(low, left, start):
                 left = m.end()
-            left = max(left, start - 2000)
             stop = _END.search(low, start)
-            right = min(stop.start() if stop else len(low), start + 2000)
-            kind, weight = self.clause(_WORD.findall(low, left, right))
+            done = stop.start() if stop else len(low)
+            kind, weight = self.clause(m[0] for m in _WORD.finditer(low, left, done))
             if kind:
                 sums[kind] += weight
-                done = right
+            left = done
         return [1.0, *(float(np.log1p(v)) for v in sums.values())]
 
     def score(self, features: np.ndarray) -> np.ndarray:

@@ -273,6 +273,23 @@ def test_grammar_scores_clauses():
     assert grammar.features("You grobber! And you grobber again.", matcher)[2] == pytest.approx(1.3863, abs=1e-3)
 
 
+def test_threats_meet_negations_and_reports():
+    grammar = toxicity.Grammar({"idle": 1.0})
+    assert grammar.clause("i will never kill you".split()) == ("denied", 1.0)
+    assert grammar.clause("he said i will kill you".split()) == ("reported", 1.0)
+    assert grammar.clause("i will kill you as you are not idle".split()) == ("threat", 2.0)
+    assert grammar.clause("he is not idle but i kill nobody".split())[0] == "denied"
+    assert grammar.clause(("never " + "x " * 10 + "kill you").split()) == ("threat", 1.0)
+
+
+def test_clauses_have_no_bound_in_characters():
+    grammar = toxicity.Grammar({"idle": 1.0})
+    matcher, far = grammar.matcher(), "x " * 5000
+    assert grammar.features(f"you {far}idle", matcher)[2] > 0 and grammar.features(f"kill {far}you", matcher)[5] > 0
+    assert grammar.features(f"you. {far}idle", matcher)[1] > 0
+    assert grammar.features("kill " * 50_000 + "it", matcher) == [1.0, 0, 0, 0, 0, 0]
+
+
 def test_quality_on_held_out_rows(spark, labelled):
     docs, labels = labelled
     fitted = ranking.learn_from(docs, labels)
