@@ -49,25 +49,24 @@ class ImpactIndex:
         return np.sqrt((left.astype(np.float64) ** 2).sum(1))
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place of the query, vec_id, score) of the k best rows for each query, ties to smaller ids."""
-        n, wanted = len(self.ids), k + 1  # one more: a query's own row may be there
+        """(place of the query, vec_id, score) of the k best rows with other ids than the query's, ties to smaller ids."""
+        n = len(self.ids)
+        possible = self.ids[None, :] != own[:, None]
         norm = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
         score = np.zeros((len(queries), n), self.kind)
         asked = queries.astype(self.kind)
-        possible = np.ones((len(queries), n), bool)
-        if n > wanted:
+        if n > k:
+            others = possible
             above = max(3, int(self.level.max(initial=0)))
             for level in (3, 2, 1):  # before level 3 is done no bound is tight enough to be worth its test
                 score += asked @ self.segments(level, above).T
                 above = level - 1
                 bound = (norm[:, None] * self.rest(level)[None, :] * (1 + 1e-5) + 1e-3).astype(self.kind)
-                reached = np.partition(score - bound, n - wanted, axis=1)[:, n - wanted]
-                possible = score + bound >= reached[:, None]
-                if level == 1 or possible.sum(1).max() <= 4 * wanted:
+                reached = np.partition(np.where(others, score - bound, -np.inf), n - k, axis=1)[:, n - k]
+                possible = others & (score + bound >= reached[:, None])
+                if level == 1 or possible.sum(1).max() <= 4 * (k + 1):
                     break
         q, row = np.nonzero(possible)
-        keep = self.ids[row] != own[q]
-        q, row = q[keep], row[keep]
         exact = np.concatenate([np.einsum("ij,ij->i", queries[q[at : at + 65536]], self.vectors[row[at : at + 65536]]) for at in range(0, len(q), 65536)] or [np.zeros(0, np.int64)])
         order = np.lexsort((row, -exact, q))
         q, row, exact = q[order], row[order], exact[order]

@@ -170,6 +170,15 @@ def test_top_k_matches_brute_force(spark, monkeypatch, block, shard, spread):
     assert sorted(tuple(r) for r in got) == brute_top(rows, {i: v for i, v in rows if i % 20 == 0}, 20)
 
 
+def test_top_k_with_many_rows_of_the_own_id(spark):
+    """60 high copies of the query's id must not prove that others are out of the top."""
+    rng = np.random.default_rng(4)
+    rows = [(0, [100] * 12)] * 60 + [(i, rng.integers(-9, 10, 12).tolist()) for i in range(1, 300)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = topk.top_k(df, df.filter("vec_id = 0"), 20).collect()
+    assert sorted(tuple(r) for r in got) == brute_top(rows, {0: [100] * 12}, 20)
+
+
 def test_top_k_of_odd_rows(spark):
     rows = [(0, [0.5, -0.01]), (20, [1.0, 1.0]), (3, None), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (7, [-1.0, 0.0])]
     ints = topk.integer_vectors(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int"))
