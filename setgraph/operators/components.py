@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut_lineage
 
-#: The links of a vertex are dealt to so many tasks.
-SALTS = 16
+#: A vertex with more links than this part of them all, and than LEAST_HUB, is a hub; there are fewer than 2 * HUB_PART of them.
+HUB_PART, LEAST_HUB = 2000, 128
 
 
-def _state(links: DataFrame) -> tuple:
-    """Equal for equal sets of links."""
-    row = links.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-    return tuple(row)
+def _both(links: DataFrame) -> DataFrame:
+    return links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _met(rows: DataFrame, least: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """rows (u, v) with m of least (u, m). Rows of a hub are dealt by v into as many parts as it has, which hubs (u, parts) tells."""
+    if hubs is None:
+        return rows.join(least, "u")
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.join(F.broadcast(hubs), "u", "left").withColumn("part", F.pmod(F.xxhash64("v"), parts))
+    least = least.join(F.broadcast(hubs), "u", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return rows.drop("parts").join(least.drop("parts"), ["u", "part"])
 
 
 def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 100) -> DataFrame:
@@ -22,29 +30,27 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", m
 
     Links join src and dst in both directions; null ends and loops between an id and itself are left out, repeated
     links count once. Large-star and small-star rounds (Kiveris et al. 2014) shrink every component to a star around
-    its least id, in a number of rounds that grows with the logarithm of the longest path. The minimum of a vertex's
-    neighbours is a partial aggregate that is joined back to its links, which are salted, so a hub needs no task of its own.
+    its least id, in a number of rounds that grows with the logarithm of the longest path. They end when the links are
+    stars: every vertex has either larger neighbours only, or one smaller neighbour and no other. The minimum of a
+    vertex's neighbours is a partial aggregate that is joined back to its links; those of hubs are dealt over tasks.
     """
+    spark = links.sparkSession
     edge = F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))
-    links = links.filter(edge).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct()
-    links = cut_lineage(links)
-    before = _state(links)
+    links = cut_lineage(links.filter(edge).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
+    most = max(LEAST_HUB, links.count() // HUB_PART)  # rounds never add links
     for _ in range(most_rounds):
-        if not before[0]:
+        degrees = _both(links).groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("least"))
+        hub = F.when(F.col("n") > most, F.struct("u", F.ceil(F.col("n") / most).cast("long").alias("parts")))
+        state = degrees.agg(F.max((F.col("least") < F.col("u")) & (F.col("n") > 1)).alias("open"), F.collect_list(hub).alias("hubs")).first()
+        if not state["open"]:
             break
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        above = both.filter(F.col("v") > F.col("u")).withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-        large = above.join(least, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        hubs = spark.createDataFrame(state["hubs"], degrees.select(hub.alias("h")).select("h.*").schema) if state["hubs"] else None
+        least = _both(links).groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        above = _both(links).filter(F.col("v") > F.col("u"))
+        large = _met(above, least, hubs).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("x"), "m").filter(F.col("x") != F.col("m"))
-        small = small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        links = cut_lineage(small.distinct())
-        after = _state(links)
-        if after == before:
-            break
-        before = after
+        small = _met(large, least, hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v"))
+        links = cut_lineage(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
     else:
         raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
     roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
