@@ -1,19 +1,22 @@
 """Exact top-k search by inner product with an impact-ordered index.
 
-The components of integer vectors are quantised to levels of impact, and the postings of a level (component, vectors
-whose component has it) form its segments. For a block of queries the segments are processed by descending level, so
-that large contributions come first. What is left of a vector is bounded by the product of the query's norm and the
-norm of its unprocessed rest; processing stops only when that bound proves that few vectors can still be among the k
-best, or when no segment is left. All possible members are then scored exactly.
-
-Queries are dealt out in blocks against shards of the rows; each pair of block and shard is a group of bounded size
-that returns k rows a query. Vectors that are null, empty, or hold null or non-finite components take no part, nor
-do rows without vec_id. A query never meets rows with its own vec_id; of repeated query rows one is asked. Vectors
-of different lengths count as padded with zeros.
+The components of integer vectors are quantised to levels of impact. A posting segment lists the vectors of a shard that
+have one signed level in one component. For a block of queries the segments are processed by descending level: each
+multiplies its impact with the queries' component once, and adds the product to the accumulators of its vectors. What is
+left of a vector is bounded by the product of the query's norm and the norm of its unprocessed rest; processing stops
+only when that bound proves that few vectors can still be among the k best, or when no segment is left. All possible
+members are then scored exactly.
+
+A shard's rows come to one task, which builds their index once and then reads the queries in blocks, as a stream.
+Each shard returns k rows a query. Vectors that are null, empty, or hold null or non-finite components take no part,
+nor do rows without vec_id. A query never meets rows with its own vec_id; of query rows that share a vec_id the one with
+the least vector is asked. Repeated rows each count. Vectors of different lengths count as padded with zeros.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,91 +24,122 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Queries of a block and rows of a shard.
-BLOCK, SHARD = 1024, 8192
+#: Queries that are processed at once; the most rows of a shard; as long as they have fewer, there are MANY shards of at least SMALL rows.
+BLOCK, SHARD, MANY, SMALL = 64, 32768, 128, 4096
 LEVELS = 10
 
 
 class ImpactIndex:
-    """Impact-ordered postings of a shard."""
+    """Impact-ordered posting segments of a shard. products counts the multiplications made so far."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         most = int(np.abs(self.vectors).max(initial=0))
         self.step = max(1, -(-most // LEVELS))
-        self.level = (np.abs(self.vectors) + self.step // 2) // self.step
-        #: Products of the approximations stay below 2**23 for short and small vectors, where single precision is exact.
-        self.kind = np.float32 if most * most * vectors.shape[1] < 2**22 else np.float64
-
-    def segments(self, low: int, high: int) -> np.ndarray:
-        """The postings of levels from low to high, as signed approximate components by vector, others 0."""
-        held = (self.level >= low) & (self.level <= high)
-        return (np.where(held, np.sign(self.vectors) * self.level, 0) * self.step).astype(self.kind)
-
-    def rest(self, level: int) -> np.ndarray:
-        """The norm of what segments down to a level leave of each vector."""
-        left = self.vectors - np.where(self.level >= level, np.sign(self.vectors) * self.level * self.step, 0)
-        return np.sqrt((left.astype(np.float64) ** 2).sum(1))
+        signed = np.sign(self.vectors) * ((np.abs(self.vectors) + self.step // 2) // self.step)
+        #: Sums of products are integers; single precision is exact below 2**24, double below 2**53.
+        largest = most * (most + self.step) * self.vectors.shape[1]
+        self.kind = np.float32 if largest < 2**20 else np.float64
+        self.exact_only = largest >= 2**50
+        self.products = 0
+        level = np.abs(signed)
+        self.levels = list(range(int(level.max(initial=0)), 0, -1))
+        #: For each level the segments (component, signed impact, places of vectors), and the norms of what then is left of the vectors.
+        self.segments: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        self.rest: dict[int, np.ndarray] = {}
+        left = (self.vectors.astype(np.float64) ** 2).sum(1)
+        for at in self.levels:
+            component, place = np.nonzero((level == at).T)
+            value = signed[place, component]
+            key = component * 2 + (value < 0)
+            order = np.argsort(key, kind="stable")
+            cuts = np.flatnonzero(np.diff(key[order], prepend=-1))
+            self.segments[at] = [(int(component[run[0]]), int(value[run[0]]) * self.step, place[run]) for run in np.split(order, cuts[1:]) if len(run)]
+            whole = self.vectors[place, component].astype(np.float64)
+            left = left + np.bincount(place, weights=(whole - value * self.step) ** 2 - whole**2, minlength=len(self.ids))
+            self.rest[at] = np.sqrt(np.maximum(left, 0))
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of the query, vec_id, score) of the k best rows with other ids than the query's, ties to smaller ids."""
-        n = len(self.ids)
-        possible = self.ids[None, :] != own[:, None]
-        norm = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
-        score = np.zeros((len(queries), n), self.kind)
-        asked = queries.astype(self.kind)
-        if n > k:
-            others = possible
-            above = max(3, int(self.level.max(initial=0)))
-            for level in (3, 2, 1):  # before level 3 is done no bound is tight enough to be worth its test
-                score += asked @ self.segments(level, above).T
-                above = level - 1
-                bound = (norm[:, None] * self.rest(level)[None, :] * (1 + 1e-5) + 1e-3).astype(self.kind)
-                reached = np.partition(np.where(others, score - bound, -np.inf), n - k, axis=1)[:, n - k]
-                possible = others & (score + bound >= reached[:, None])
-                if level == 1 or possible.sum(1).max() <= 4 * (k + 1):
+        n, width = self.vectors.shape
+        asked = np.zeros((len(queries), width), np.int64)
+        asked[:, : queries.shape[1]] = queries[:, :width]
+        others = self.ids[:, None] != own[None, :]
+        possible = others
+        if n > k and not self.exact_only:
+            norm = np.sqrt((asked.astype(np.float64) ** 2).sum(1))
+            weights = np.ascontiguousarray(asked.T.astype(self.kind))
+            score = np.zeros((n, len(queries)), self.kind)
+            for level in self.levels:
+                for component, impact, places in self.segments[level]:
+                    score[places] += weights[component] * self.kind(impact)
+                self.products += len(self.segments[level]) * len(queries)
+                if level > 3:  # no bound is tight enough yet to be worth its test
+                    continue
+                bound = (self.rest[level][:, None] * norm[None, :] * (1 + 1e-5) + 1).astype(self.kind)
+                reached = np.partition(np.where(others, score - bound, -np.inf), n - k, axis=0)[n - k]
+                possible = others & (score + bound >= reached[None, :])
+                if possible.sum(0).max() <= 4 * k:
                     break
-        q, row = np.nonzero(possible)
-        exact = np.concatenate([np.einsum("ij,ij->i", queries[q[at : at + 65536]], self.vectors[row[at : at + 65536]]) for at in range(0, len(q), 65536)] or [np.zeros(0, np.int64)])
+        row, q = np.nonzero(possible)
+        exact = np.zeros(len(q), np.int64)
+        for at in range(0, len(q), 65536):
+            exact[at : at + 65536] = np.einsum("ij,ij->i", asked[q[at : at + 65536]], self.vectors[row[at : at + 65536]])
+        self.products += len(q) * width
         order = np.lexsort((row, -exact, q))
         q, row, exact = q[order], row[order], exact[order]
-        first = np.searchsorted(q, q, side="left")
-        best = np.arange(len(q)) - first < k
+        best = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
         return q[best], self.ids[row[best]], exact[best]
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), np.int64)
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    out = np.zeros((len(vectors), max(map(len, vectors))), np.int64)
     for at, v in enumerate(vectors):
         out[at, : len(v)] = v
     return out
 
 
+def _search(k: int):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come shard by shard, those of the index before the queries."""
+        shard, index, rows = None, None, []
+        for batch in batches:
+            for (at, asks), part in batch.groupby(["shard", "asks"], sort=True):
+                if at != shard:
+                    shard, index, rows = at, None, []
+                if not asks:
+                    rows.append(part)
+                    continue
+                if index is None:
+                    if not rows:
+                        continue
+                    held = pd.concat(rows)
+                    index, rows = ImpactIndex(held["vec_id"].to_numpy(), _matrix(held["v"])), []
+                    del held
+                for first in range(0, len(part), BLOCK):
+                    asked = part.iloc[first : first + BLOCK]
+                    own = asked["vec_id"].to_numpy()
+                    q, ids, score = index.search(_matrix(asked["v"]), own, k)
+                    yield pd.DataFrame({"query_id": own[q], "vec_id": ids, "score": score})
+
+    return search
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products for each row of queries.
 
     vectors and queries have columns vec_id and v, an array of long.
     """
-    queries = queries.dropDuplicates(["vec_id"])
-    n_blocks = max(1, -(-queries.count() // BLOCK))
-    n_shards = max(1, -(-vectors.count() // SHARD))
-
-    def dealt(rows: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        rows = rows.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).cast("int"))
-        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-
-    def search(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or rows.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        width = max(asked["v"].map(len).max(), rows["v"].map(len).max())
-        index = ImpactIndex(rows["vec_id"].to_numpy(), _matrix(rows["v"], width))
-        q, ids, score = index.search(_matrix(asked["v"], width), asked["vec_id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": asked["vec_id"].to_numpy()[q], "vec_id": ids, "score": score})
-
-    asked = dealt(queries.select("vec_id", "v"), "block", n_blocks, "shard", n_shards)
-    rows = dealt(vectors.select("vec_id", "v"), "shard", n_shards, "block", n_blocks)
-    found = asked.groupBy("block", "shard").cogroup(rows.groupBy("block", "shard")).applyInPandas(search, "query_id long, vec_id long, score long")
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    # Of equal rows k are enough for any answer; so a row that makes up much of the table fills no shard.
+    rows = vectors.groupBy("vec_id", "v").agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)))))
+    n = vectors.count()
+    shards = max(1, -(-n // SHARD), min(MANY, -(-n // SMALL)))
+    rows = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"), F.lit(False).alias("asks"), "vec_id", "v")
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("asks"), "vec_id", "v")
+    dealt = rows.unionByName(asked).repartition(2 * shards, "shard").sortWithinPartitions("shard", "asks")
+    found = dealt.mapInPandas(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
