@@ -12,6 +12,10 @@ joins most of a group without all of its pairs. Then, for components that still
 near enough, every class of the smaller one is compared with all of the larger one, in blocks of texts that emit at
 most one link a class. Links are pairs whose multisets themselves overlap by at least the threshold.
 
+A bucket sends the classes outside its largest component to all others, in blocks, so a bucket of one large group and
+a few strangers is read once. What a class is compared with is dealt out by words, so the many texts that meet one
+leader are many groups, each of which gets the leader's text once.
+
 Null and wordless texts, and rows without doc_id, are copies of nothing (rows without doc_id have a null component).
 Rows that share a doc_id count as one document that has the links of each of its texts. An empty table gives an empty
 result. Of pairs at a similarity of exactly 0.8 about one in 12,000 has no common bucket or signatures too far apart,
@@ -41,6 +45,12 @@ REGISTERS = BANDS * ROWS
 PLAUSIBLE = 0.657
 #: Rows of a bucket that are compared with one another at once; larger buckets are dealt out in pairs of blocks.
 BLOCK = 256
+#: Words of texts that are compared at once.
+BLOCK_WORDS = 200_000
+#: A class of more than this part of all rows counts as hot; there are fewer of them than this.
+HOT_PART = 2000
+#: Texts that are signed at once.
+SIGNED_AT_ONCE = 250
 
 _U = np.uint64
 
@@ -178,8 +188,8 @@ SIGNED = T.StructType(
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     step = np.arange(BANDS, dtype=_U)
     for batch in batches:
-        for at in range(0, len(batch), 1000):
-            part = batch.iloc[at : at + 1000]
+        for at in range(0, len(batch), SIGNED_AT_ONCE):
+            part = batch.iloc[at : at + SIGNED_AT_ONCE]
             texts = [words_of(t) for t in part["text"]]
             registers, has, weight = sign(texts)
             band = np.zeros((len(texts), BANDS), _U)
@@ -201,18 +211,41 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-@F.pandas_udf(T.DoubleType())
-def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    cache: dict[str, Counter] = {}
-    return pd.Series([overlap(x, y, cache) for x, y in zip(a, b, strict=True)], dtype=float)
+def _overlaps(text: str, at: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Weighted Jaccard similarities of a text with the n texts that have these shingles."""
+    _, own, times = shingles([words_of(text)])
+    if not len(own):
+        return np.zeros(n)
+    place = np.minimum(np.searchsorted(own, shingle), len(own) - 1)
+    common = np.bincount(at, weights=np.where(own[place] == shingle, np.minimum(count, times[place]), 0), minlength=n)
+    union = np.bincount(at, weights=count, minlength=n) + times.sum() - common
+    return common / np.maximum(union, 1)
+
+
+def _verify_groups(threshold: float):
+    def verify(batch: pd.DataFrame) -> pd.DataFrame:
+        """Links between the leader of each group and its members."""
+        out = []
+        for (a, _), rows in batch.groupby(["a", "deal"], sort=False):
+            members, leaders = rows[~rows["leads"]], rows[rows["leads"]]
+            ids = members["doc_id"].to_numpy()
+            described = shingles([words_of(t) for t in members["text"]])
+            for text in leaders["text"]:
+                out += [(a, b) for b in ids[_overlaps(text, *described, len(ids)) >= threshold]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return verify
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts overlap by the threshold or more."""
-    needed = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    both = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.withColumn("overlap", _overlap("text_a", "text_b")).filter(F.col("overlap") >= threshold).select("a", "b")
+    """The pairs (a, b) of rows (a, b, words of b) whose texts overlap by the threshold or more."""
+    deals = cut_lineage(pairs.groupBy("a").agg(F.ceil(F.sum("words") / BLOCK_WORDS).cast("long").alias("deals")))
+    dealt = pairs.join(deals, "a").select("a", F.pmod(F.xxhash64("b"), "deals").alias("deal"), F.col("b").alias("doc_id"), "words", F.lit(False).alias("leads"))
+    leaders = deals.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), F.col("a").alias("doc_id"), F.lit(0).cast("long").alias("words"), F.lit(True).alias("leads"))
+    dealt = cut_lineage(dealt.unionByName(leaders))
+    parts = max(1, (dealt.agg(F.sum("words")).first()[0] or 0) // (2 * BLOCK_WORDS))
+    full = dealt.drop("words").join(texts, "doc_id").withColumn("part", F.pmod(F.xxhash64("a", "deal"), F.lit(parts)))
+    return full.groupBy("part").applyInPandas(_verify_groups(threshold), "a long, b long").distinct()
 
 
 def _agreement(small: np.ndarray, at: int) -> np.ndarray:
@@ -226,39 +259,38 @@ def _bytes(rows: pd.DataFrame) -> np.ndarray:
 
 def _nearest(batch: pd.DataFrame) -> pd.DataFrame:
     """Plausible pairs of each class with the least and the most similar class of its block of a bucket."""
-    found: set[tuple[int, int]] = set()
+    found: set[tuple[int, int, int]] = set()
     for _, rows in batch.groupby(["band", "own"], sort=False):
         if len(rows) < 2:
             continue
         rows = rows.sort_values("rep", kind="stable")
-        ids, small = rows["rep"].to_numpy(), _bytes(rows)
+        ids, words, small = rows["rep"].to_numpy(), rows["weight"].to_numpy(), _bytes(rows)
         leader = _agreement(small, 0)
-        found.update((ids[0], x) for x in ids[1:][leader[1:] >= PLAUSIBLE])
         for at in range(1, len(ids)):
+            if leader[at] >= PLAUSIBLE:
+                found.add((ids[0], ids[at], words[at]))
             near = _agreement(small, at)
             near[at] = 0
             best = int(near.argmax())
             if near[best] >= PLAUSIBLE:
-                found.add((min(ids[at], ids[best]), max(ids[at], ids[best])))
-    return pd.DataFrame(sorted(x for x in found if x[0] != x[1]), columns=["a", "b"], dtype="int64")
+                a, b = min(at, best), max(at, best)
+                found.add((ids[a], ids[b], words[b]))
+    return pd.DataFrame(sorted(x for x in found if x[0] != x[1]), columns=["a", "b", "words"], dtype="int64")
 
 
 def _near_components(batch: pd.DataFrame) -> pd.DataFrame:
     """Pairs of components with plausible pairs of classes in a (pair of blocks of a) bucket."""
     found: set[tuple[int, int]] = set()
-    for (_, i, j), rows in batch.groupby(["band", "i", "j"], sort=False):
-        component, weight, own = (rows[c].to_numpy() for c in ("component", "weight", "own"))
-        if len(rows) < 2 or component.min() == component.max():
+    for _, rows in batch.groupby(["band", "i", "j"], sort=False):
+        others, every = rows[rows["other"]], rows[~rows["other"]]
+        if others.empty or every.empty:
             continue
-        small = _bytes(rows)
-        for at in range(len(rows) - 1):
-            other = (component[at + 1 :] != component[at]) & (np.minimum(weight[at + 1 :], weight[at]) >= PLAUSIBLE * np.maximum(weight[at + 1 :], weight[at]))
-            if i != j:
-                other &= own[at + 1 :] != own[at]
-            near = np.flatnonzero(other) + at + 1
+        component, weight, small = every["component"].to_numpy(), every["weight"].to_numpy(), _bytes(every)
+        for own, size, signature in zip(others["component"], others["weight"], _bytes(others), strict=True):
+            near = np.flatnonzero((component != own) & (np.minimum(weight, size) >= PLAUSIBLE * np.maximum(weight, size)))
             if len(near):
-                near = near[(small[near] == small[at]).mean(1) >= PLAUSIBLE]
-                found.update((min(component[at], c), max(component[at], c)) for c in set(component[near].tolist()))
+                near = near[(small[near] == signature).mean(1) >= PLAUSIBLE]
+                found.update((min(own, c), max(own, c)) for c in set(component[near].tolist()))
     return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
 
@@ -271,15 +303,9 @@ def _link_blocks(threshold: float):
             if left.empty or right.empty:
                 continue
             ids = right["rep"].to_numpy()
-            at, shingle, count = shingles([words_of(t) for t in right["text"]])
-            total = np.bincount(at, weights=count, minlength=len(ids))
+            described = shingles([words_of(t) for t in right["text"]])
             for rep, text in zip(left["rep"], left["text"], strict=True):
-                _, own, n = shingles([words_of(text)])
-                if not len(own):
-                    continue
-                place = np.minimum(np.searchsorted(own, shingle), len(own) - 1)
-                common = np.bincount(at, weights=np.where(own[place] == shingle, np.minimum(count, n[place]), 0), minlength=len(ids))
-                overlaps = common / (total + n.sum() - common)
+                overlaps = _overlaps(text, *described, len(ids))
                 overlaps[ids == rep] = 0
                 best = int(overlaps.argmax())
                 if overlaps[best] >= threshold:
@@ -291,42 +317,57 @@ def _link_blocks(threshold: float):
 
 def _across_components(component: DataFrame, shared: DataFrame, classes: DataFrame, named: DataFrame, threshold: float) -> DataFrame:
     """Links between components that share buckets: every class of the smaller one against all of the larger one."""
-    labelled = shared.select("band", "rep", "n").join(component.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    labelled = shared.select("band", "rep").join(component.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = cut_lineage(labelled)
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("band")
-    members = labelled.join(mixed, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
-    dealt = cut_lineage(dealt.join(classes.select("rep", "weight", "bytes"), "rep"))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("band", "i", "j"), F.lit(max(1, dealt.count() // 4000))))
+    held = labelled.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band")
+    held = held.agg(F.count("*").alias("components"), F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("most")).filter("components > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    mixed = held.select("band", F.col("most.component").alias("main"), blocks(F.col("n") - F.col("most.k")).alias("n_i"), blocks(F.col("n")).alias("n_j"))
+    # Written first, it is a plain side of the join, of which Spark can split large keys.
+    members = labelled.join(cut_lineage(mixed), "band").join(classes.select("rep", "weight", "bytes"), "rep")
+    number = lambda n: F.pmod(F.xxhash64("rep"), n)
+    every_block = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    sent = ("band", "rep", "component", "weight", "bytes")
+    others = members.filter("component != main").select(*sent, number("n_i").alias("i"), every_block("n_j").alias("j"), F.lit(True).alias("other"))
+    every = members.select(*sent, every_block("n_i").alias("i"), number("n_j").alias("j"), F.lit(False).alias("other"))
+    parts = max(1, (mixed.agg(F.sum(F.col("n_i") * F.col("n_j"))).first()[0] or 0) * BLOCK // 4000)
+    dealt = others.unionByName(every).withColumn("part", F.pmod(F.xxhash64("band", "i", "j"), F.lit(parts)))
     pairs = cut_lineage(dealt.groupBy("part").applyInPandas(lambda batch: _near_components(batch), "a long, b long").distinct())
 
     involved = pairs.select(F.explode(F.array("a", "b")).alias("component")).distinct()
-    reps = labelled.select("rep", "component").distinct().join(involved, "component")
     # Classes of a component that share no bucket with another class are in no pair, but count as its members.
-    reps = cut_lineage(reps)
-    sizes = reps.groupBy("component").agg(F.count("*").alias("size"))
+    reps = labelled.select("rep", "component").distinct().join(involved, "component")
+    reps = cut_lineage(reps.join(classes.select("rep", "weight"), "rep"))
+    sizes = cut_lineage(reps.groupBy("component").agg(F.sum("weight").alias("size")))
     sized = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
     a_larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     met = sized.select(F.when(a_larger, F.col("a")).otherwise(F.col("b")).alias("larger"), F.when(a_larger, F.col("b")).otherwise(F.col("a")).alias("component"))
-    left = met.join(reps, "component").select("larger", "rep")
-    n_left = left.groupBy("larger").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_left"))
-    n_right = sizes.select(F.col("component").alias("larger"), F.ceil(F.col("size") / BLOCK).cast("int").alias("n_right"))
+    left = met.join(reps, "component").select("larger", "rep", "weight")
+    words = lambda n: F.ceil(F.sum(n) / BLOCK_WORDS).cast("long")
+    n_left = left.groupBy("larger").agg(words("weight").alias("n_i"))
+    n_right = sizes.select(F.col("component").alias("larger"), F.ceil(F.col("size") / BLOCK_WORDS).cast("long").alias("n_j"))
     counts = cut_lineage(n_left.join(n_right, "larger"))
-    right = reps.withColumnRenamed("component", "larger")
 
-    def dealt_out(rows: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
-        rows = rows.join(counts, "larger").withColumn(own, F.pmod(F.xxhash64("rep"), F.col(n_own).cast("long")).cast("int"))
-        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
+    def dealt_out(rows: DataFrame, own: str, other: str) -> DataFrame:
+        rows = rows.join(counts, "larger").withColumn(own, number(f"n_{own}")).withColumn(other, every_block(f"n_{other}"))
         return rows.select("larger", "rep", "i", "j", F.lit(own == "j").alias("right"))
 
-    blocks = cut_lineage(dealt_out(left, "i", "n_left", "j", "n_right").unionByName(dealt_out(right, "j", "n_right", "i", "n_left")))
-    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("larger", "i", "j"), F.lit(max(1, blocks.count() // 400))))
-    full = blocks.join(named.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    parts = max(1, (counts.agg(F.sum(F.col("n_i") * F.col("n_j"))).first()[0] or 0))
+    met = cut_lineage(dealt_out(left, "i", "j").unionByName(dealt_out(reps.withColumnRenamed("component", "larger"), "j", "i")))
+    met = met.withColumn("part", F.pmod(F.xxhash64("larger", "i", "j"), F.lit(parts)))
+    full = met.join(named.select(F.col("doc_id").alias("rep"), "text"), "rep")
     return full.groupBy("part").applyInPandas(_link_blocks(threshold), "a long, b long")
 
 
+def _copy_links(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links from copies to the least document of their class. The few hot classes are sent to all tasks."""
+    rows, many = signed.select("doc_id", "copy"), classes.filter("copies > 1").select("copy", "rep", "copies")
+    bound = signed.count() // HOT_PART
+    hot = F.broadcast(many.filter(F.col("copies") > bound).drop("copies"))
+    found = rows.join(hot, "copy").unionByName(rows.join(hot, "copy", "left_anti").join(many.filter(F.col("copies") <= bound).drop("copies"), "copy"))
+    return found.filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, component_id, kept) for each distinct doc_id of docs.
 
@@ -340,19 +381,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Copies: one class for each sequence of words, named by its least document.
     classes = signed.groupBy("copy").agg(F.min(F.struct("doc_id", "weight", "bytes", "bands")).alias("least"), F.count("*").alias("copies"))
     classes = cut_lineage(classes.select("copy", F.col("least.doc_id").alias("rep"), "least.weight", "least.bytes", "least.bands", "copies"))
-    copies = signed.select("doc_id", "copy").join(classes.filter(F.col("copies") > 1).select("copy", "rep"), "copy")
-    copy_links = copies.filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    copy_links = _copy_links(signed, classes)
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    buckets = cut_lineage(banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1"))
     shared = cut_lineage(banded.join(buckets, "band"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")
     # The least class of a bucket is in each of its blocks.
     dealt = shared.withColumn("own", F.explode(F.when(F.col("rep") == F.col("leader"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
-    dealt = dealt.select("band", "own", "rep").join(classes.select("rep", "bytes"), "rep")
+    dealt = dealt.select("band", "own", "rep").join(classes.select("rep", "weight", "bytes"), "rep")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("band", "own"), F.lit(max(1, shared.count() // 8000))))
-    near = cut_lineage(dealt.groupBy("part").applyInPandas(lambda batch: _nearest(batch), "a long, b long").distinct())
+    near = cut_lineage(dealt.groupBy("part").applyInPandas(lambda batch: _nearest(batch), "a long, b long, words long").distinct())
     links = cut_lineage(_verified(near, named, threshold))
     more = _across_components(connected_components(links, "a", "b"), shared, classes, named, threshold)
 

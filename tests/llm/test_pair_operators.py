@@ -75,6 +75,8 @@ def test_near_duplicates_match_brute_force(spark, seed):
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """Buckets larger than a block are dealt out in pairs of blocks."""
     monkeypatch.setattr(bagminhash, "BLOCK", 4)
+    monkeypatch.setattr(bagminhash, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(bagminhash, "HOT_PART", 20)
     rows = family_rows(5)
     got = bagminhash.near_duplicates(documents(spark, [(i, t, "s") for i, t in rows]))
     bags = {i: bag(t) for i, t in rows}
@@ -162,6 +164,7 @@ def brute_top(rows, queries, k):
 def test_top_k_matches_brute_force(spark, monkeypatch, block, shard, spread):
     monkeypatch.setattr(topk, "BLOCK", block)
     monkeypatch.setattr(topk, "SHARD", shard)
+    monkeypatch.setattr(topk, "SMALL", 100)
     rng = np.random.default_rng(2)
     rows = [(i, rng.integers(-spread, spread + 1, 12).tolist()) for i in range(300)]
     rows += [(300 + i, rows[i][1]) for i in range(40)]  # ties
@@ -179,6 +182,29 @@ def test_top_k_with_many_rows_of_the_own_id(spark):
     assert sorted(tuple(r) for r in got) == brute_top(rows, {0: [100] * 12}, 20)
 
 
+def test_segments_stop_on_proof_and_save_products():
+    """On vectors with few large components most vectors are never scored exactly, and the answers are exact."""
+    rng = np.random.default_rng(6)
+    vectors = np.where(rng.random((3000, 32)) < 0.1, rng.integers(-60, 61, (3000, 32)), rng.integers(-1, 2, (3000, 32)))
+    index = topk.ImpactIndex(np.arange(3000), vectors)
+    q, ids, score = index.search(vectors[:40], np.arange(40), 20)
+    assert index.products < 0.5 * 40 * 3000 * 32
+    for at in range(40):
+        exact = vectors @ vectors[at]
+        wanted = [(-s, i) for s, i in sorted((-s, i) for i, s in enumerate(exact.tolist()) if i != at)[:20]]
+        assert list(zip(score[q == at].tolist(), ids[q == at].tolist(), strict=True)) == wanted
+
+
+def test_top_k_of_large_components_and_lengths(spark):
+    """Components too large for exact sums are scored exactly from the start; short vectors are padded."""
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.integers(-(2**29), 2**29, rng.choice([3, 8])).tolist()) for i in range(60)] + [(61, [1, 2]), (61, [1, 2]), (61, [2, 0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    padded = [(i, v + [0] * (8 - len(v))) for i, v in rows]
+    asked = {i: v for i, v in padded if i % 20 == 0}
+    assert sorted(tuple(r) for r in topk.top_k(df, df.filter("vec_id % 20 = 0"), 20).collect()) == brute_top(padded, asked, 20)
+
+
 def test_top_k_of_odd_rows(spark):
     rows = [(0, [0.5, -0.01]), (20, [1.0, 1.0]), (3, None), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (7, [-1.0, 0.0])]
     ints = topk.integer_vectors(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int"))
