@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut_lineage
 from .common import text_of
 
 
@@ -17,13 +18,14 @@ def remainder(modulus: int, doc_id: str = "doc_id") -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, bound: int) -> DataFrame:
     """(doc_id, text, y) of at most `bound` allowed labelled rows, those whose hashed ids are least.
 
-    Null labels and ids are left out; of repeated label rows the largest label counts. The ids are bounded, so they
-    may be broadcast; of repeated document rows each is a row of the sample.
+    Null labels and ids are left out; of repeated label rows the largest label counts, of repeated document rows the
+    least text. The ids are bounded, so they may be broadcast, and so is the sample, which is written once.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & allowed)
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return cut_lineage(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, pull: float = 1.0, rounds: int = 40) -> np.ndarray:

@@ -1,10 +1,14 @@
 """Toxicity by a weighted grammar over clauses.
 
-Five transducers read a clause word by word and are composed: insults and threats give it weight, a target makes it
-an address, a negation or reported speech before the weight turns it into one that denies or quotes. The weight of a
-document is summed over clauses by the class that the composition ends in, and a logistic score weighs the classes.
-The insult transducer's arcs (whole words and word beginnings) and the weights of the classes are learned from a
-bounded sample of labelled rows.
+A lexicon reads a clause as symbols: insults, threats, targets, negations, reports, other words. Its arcs are words,
+beginnings of words and phrases; an ambiguous word has an arc for each reading. Five transducers over the symbols are
+composed: negation and reported speech mark what they reach, target tells addressed clauses from others, insult and
+threat turn what is left into classes. The best path of lexicon and composition (the greatest sum of weights) is what
+a clause means; the weights of its insults and threats are summed by class over the clauses of a document, and a
+logistic score weighs the classes.
+
+Insult arcs and their weights are learned from a bounded sample of labelled rows. The arcs of each other transducer
+share a weight, that of the class they lead to, which is learned by logistic loss.
 
 A document without matched clauses, among them null and empty texts, gets the score of no evidence (below 0.5 unless
 most of the sample is toxic). With no usable labels there are no insult arcs, and the classes keep the weights they
@@ -14,9 +18,10 @@ start with. Rows are scored one by one: repeated rows, null doc_ids (held_out fa
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -28,77 +33,177 @@ from pyspark.sql import types as T
 from .common import table, text_of
 from .labelled import labelled_sample, logistic, remainder
 
-#: At most so many labelled rows are used for learning.
-SAMPLE_BOUND = 8000
+#: At most so many labelled rows are used for learning, and so many insult arcs, those with the greatest odds, are kept.
+SAMPLE_BOUND, MOST_ARCS = 8000, 5000
 #: A negation reaches so many words on, reported speech twice as many.
 REACH = 4
 #: A beginning of a word can be an arc from so many letters up to so many.
 STEM = range(4, 8)
 
-# Words of the transducers that aren't learned, in English, German, French and Spanish.
-THREATS = frozenset("kill kills murder hurt destroy töten umbringen vernichten tuer frapper matar destruir".split())
-TARGETS = frozenset("you your you're u ur he she they them these those du dich dir ihr euch sie tu toi vous te ti vosotros usted ustedes".split())
-NEGATIONS = frozenset("not never no isn't aren't wasn't don't nobody nicht kein keine niemals pas jamais aucun nunca jamás ningún".split())
-REPORTS = frozenset("said says say called calls wrote claims alleged reported quote quoted sagte nannte schrieb dit disait appelle dijo dice llamó".split())
+# Arcs that aren't learned, in English, German, French and Spanish.
+THREATS = (
+    "kill", "kills", "murder", "hurt", "destroy", "beat up", "töten", "umbringen", "vernichten", "fertig machen", "tuer",
+    "frapper", "faire la peau", "matar", "destruir", "hacer daño",
+)
+TARGETS = (
+    "you", "your", "you're", "u", "ur", "he", "she", "they", "them", "these", "those", "all of you", "people like you", "du", "dich", "dir", "ihr", "euch", "sie",
+    "leute wie du", "tu", "toi", "vous", "te", "gens comme toi", "ti", "vosotros", "usted", "ustedes", "gente como tú",
+)
+NEGATIONS = (
+    "not", "never", "no", "isn't", "aren't", "wasn't", "don't", "nobody", "no longer", "far from", "nicht", "kein", "keine", "niemals", "nicht mehr", "pas", "jamais",
+    "aucun", "loin d'être", "nunca", "jamás", "ningún", "ya no",
+)
+REPORTS = (
+    "said", "says", "say", "called", "calls", "wrote", "claims", "alleged", "reported", "quote", "quoted", "according to", "so called", "sagte", "nannte", "schrieb",
+    "laut", "dit", "disait", "appelle", "selon", "dijo", "dice", "llamó", "según",
+)
 
 CLASSES = ("stated", "addressed", "denied", "reported", "threat")
 #: Weights of no evidence and of the classes before learning.
 START = np.array([-3.0, 2.0, 2.5, 1.0, 1.0, 2.5])
+#: What a class adds to the weight of a path.
+PATH = {"stated": 0.0, "addressed": 0.5, "denied": -0.5, "reported": -0.5, "threat": 0.5}
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _END = re.compile(r"[.!?;\n]+")
+_SYMBOLS = ("insult", "threat", "target", "negation", "report", "other")
+
+
+@dataclass
+class Transducer:
+    """arcs: (state, input) to [(output, weight, next state)]. An input without an arc ends the path."""
+
+    starts: set
+    arcs: dict
+    finals: set
+
+    def compose(self, then: Transducer) -> Transducer:
+        """This one's outputs are the other's inputs; weights are added."""
+        starts = {(a, b) for a in self.starts for b in then.starts}
+        inputs, outputs = defaultdict(list), defaultdict(list)
+        for (a, x), found in self.arcs.items():
+            inputs[a].append((x, found))
+        for (b, y), found in then.arcs.items():
+            outputs[b, y] = found
+        arcs, open_states, seen = defaultdict(list), list(starts), set(starts)
+        while open_states:
+            a, b = state = open_states.pop()
+            for x, found in inputs[a]:
+                for y, w, a2 in found:
+                    for z, v, b2 in outputs.get((b, y), ()):
+                        arcs[state, x].append((z, w + v, (a2, b2)))
+                        if (a2, b2) not in seen:
+                            seen.add((a2, b2))
+                            open_states.append((a2, b2))
+        return Transducer(starts, dict(arcs), {(a, b) for a, b in seen if a in self.finals and b in then.finals})
+
+
+def _scope(symbol: str, mark: str, reach: int) -> Transducer:
+    """Insults and threats less than reach words after the symbol are marked."""
+    kinds = [k + m for k in ("insult", "threat") for m in ("", "/denied")]
+    arcs = {}
+    for left in range(reach):
+        after = max(0, left - 1)
+        for x in (*_SYMBOLS, *kinds):
+            marked = x.split("/")[0] + mark if left and x in kinds else x
+            arcs[left, x] = [(marked, 0.0, after)]
+        arcs[left, symbol] = [("other", 0.0, reach - 1)]
+    return Transducer({0}, arcs, set(range(reach)))
+
+
+def _target() -> Transducer:
+    """A clause is taken as aimed or as not aimed; it has to have a target, or to have none."""
+    arcs = {}
+    kinds = [k + m for k in ("insult", "threat") for m in ("", "/denied", "/reported")]
+    for state in ("aimless", "aimed", "hit"):
+        for x in (*kinds, "other"):
+            aimed = x + "/addressed" if x == "insult" and state != "aimless" else "other" if x.startswith("threat") and state == "aimless" else x
+            arcs[state, x] = [(aimed, 0.0, state)]
+        if state != "aimless":
+            arcs[state, "target"] = [("other", 0.0, "hit")]
+    return Transducer({"aimless", "aimed"}, arcs, {"aimless", "hit"})
+
+
+def _classes(kind: str, outcomes: dict[str, str], passing: tuple[str, ...]) -> Transducer:
+    arcs = {("s", x): [(x, 0.0, "s")] for x in passing}
+    return Transducer({"s"}, arcs | {("s", kind + mark): [(c, PATH[c], "s")] for mark, c in outcomes.items()}, {"s"})
+
+
+def _composition() -> Transducer:
+    marks = ("", "/denied", "/reported")
+    insult = _classes("insult", {"": "stated", "/addressed": "addressed", "/denied": "denied", "/reported": "reported"}, ("other", *("threat" + m for m in marks)))
+    threat = _classes("threat", dict(zip(marks, ("threat", "denied", "reported"), strict=True)), ("other", *CLASSES))
+    return _scope("negation", "/denied", REACH).compose(_scope("report", "/reported", 2 * REACH)).compose(_target()).compose(insult).compose(threat)
+
+
+GRAMMAR = _composition()
 
 
 @dataclass
 class Grammar:
-    """Insult arcs (a word, or a word's beginning followed by *) with weights, and weights of the clause classes."""
+    """Insult arcs (a word, a phrase, or a word's beginning followed by *) with weights, and weights of the classes."""
 
     arcs: dict[str, float] = field(default_factory=dict)
     weights: list[float] = field(default_factory=lambda: START.tolist())
 
-    def matcher(self) -> ahocorasick.Automaton | None:
-        """Finds where an arc could start, in one pass over a text."""
-        keys = {arc.rstrip("*") for arc in self.arcs} | THREATS
+    @cached_property
+    def lexicon(self) -> dict[str, list[tuple[list[str], str, float]]]:
+        """By the first word: the words that follow it, the symbol and the weight of each arc but the beginnings."""
+        found = defaultdict(list)
+        fixed = (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS))
+        for symbol, phrases in (("insult", [a for a in self.arcs if not a.endswith("*")]), *fixed):
+            for phrase in phrases:
+                first, *rest = phrase.split()
+                found[first].append((rest, symbol, self.arcs[phrase] if symbol == "insult" else float(symbol == "threat")))
+        return dict(found)
+
+    def insulting(self, word: str) -> bool:
+        """Whether a word alone has an insult arc."""
+        return word in self.arcs or any(word[:n] + "*" in self.arcs for n in STEM if len(word) > n)
+
+    def matcher(self) -> ahocorasick.Automaton:
+        """Finds where an insult or a threat could start, in one pass over a text."""
         found = ahocorasick.Automaton()
-        for key in keys:
+        for key in {arc.rstrip("*").split()[0] for arc in (*self.arcs, *THREATS)}:
             found.add_word(key, len(key))
         found.make_automaton()
         return found
 
-    def insult(self, word: str) -> float:
-        best = self.arcs.get(word, 0.0)
-        for n in STEM:
-            if len(word) > n:
-                best = max(best, self.arcs.get(word[:n] + "*", 0.0))
-        return best
+    def readings(self, words: list[str], at: int) -> list[tuple[str, float, int]]:
+        """(symbol, weight, number of words) of each arc of the lexicon at a place; a word without one is another word."""
+        word = words[at]
+        found = [(symbol, weight, 1 + len(rest)) for rest, symbol, weight in self.lexicon.get(word, ()) if words[at + 1 : at + 1 + len(rest)] == rest]
+        stems = [self.arcs[word[:n] + "*"] for n in STEM if len(word) > n and word[:n] + "*" in self.arcs]
+        if stems:
+            found.append(("insult", max(stems), 1))
+        return found or [("other", 0.0, 1)]
 
-    def clause(self, words: Iterable[str]) -> tuple[str | None, float]:
-        """The class and weight in which the composed transducers end, None without insult or threat.
+    def clause(self, words: list[str]) -> dict[str, float]:
+        """The summed weights of insults and threats by class on the best path; of equal paths the first in order of classes counts.
 
-        Whether a clause denies or reports is decided where its weight begins: at its first insult or threat.
+        Paths that meet in a state at a place go on as the best of them, so the work grows with the words, not the paths.
         """
-        weight, target = 0.0, False
-        insult = threat = None  # place of the first one, whether it is reported, whether it is denied
-        denial = report = -2 * REACH  # where the last one was
-        for at, word in enumerate(words):
-            if word in TARGETS:
-                target = True
-            elif word in REPORTS:
-                report = at
-            elif word in NEGATIONS:
-                denial = at
-            elif word in THREATS:
-                threat = threat or (at, at - report < 2 * REACH, at - denial < REACH)
-            elif (w := self.insult(word)) > 0:
-                insult = insult or (at, at - report < 2 * REACH, at - denial < REACH)
-                weight += w
-        if not target:
-            threat = None
-        if not insult and not threat:
-            return None, 0.0
-        _, reported, denied = min(first for first in (insult, threat) if first)
-        kind = "reported" if reported else "denied" if denied else "threat" if threat else "addressed" if target else "stated"
-        return kind, weight + (1.0 if threat else 0.0)
+        ways: list[dict] = [{} for _ in range(len(words) + 1)]
+        nothing = (0.0,) * len(CLASSES)
+        ways[0] = dict.fromkeys(GRAMMAR.starts, (0.0, nothing))
+        for at in range(len(words)):
+            if not ways[at]:
+                continue
+            for symbol, weight, n in self.readings(words, at):
+                for state, (score, sums) in ways[at].items():
+                    for out, added, after in GRAMMAR.arcs.get((state, symbol), ()):
+                        new = sums
+                        if out != "other":
+                            k = CLASSES.index(out)
+                            new = (*sums[:k], sums[k] + weight, *sums[k + 1 :])
+                        for _ in range(n - 1):  # the other words of a phrase
+                            ((_, _, after),) = GRAMMAR.arcs[after, "other"]
+                        way = (score + added + (weight if out != "other" else 0.0), new)
+                        if after not in ways[at + n] or way > ways[at + n][after]:
+                            ways[at + n][after] = way
+            ways[at] = {}
+        best = max((way for state, way in ways[-1].items() if state in GRAMMAR.finals), default=(0.0, nothing))
+        return {c: w for c, w in zip(CLASSES, best[1], strict=True) if w}
 
     def features(self, text: str, matcher: ahocorasick.Automaton) -> list[float]:
         """1, then the logarithm of 1 + the summed weight of the clauses of each class. Each clause is read once."""
@@ -113,8 +218,7 @@ class Grammar:
                 left = m.end()
             stop = _END.search(low, start)
             done = stop.start() if stop else len(low)
-            kind, weight = self.clause(m[0] for m in _WORD.finditer(low, left, done))
-            if kind:
+            for kind, weight in self.clause(_WORD.findall(low, left, done)).items():
                 sums[kind] += weight
             left = done
         return [1.0, *(float(np.log1p(v)) for v in sums.values())]
@@ -127,8 +231,9 @@ def _unit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     toxic, clean = Counter(), Counter()
     for batch in batches:
         for text, y in zip(batch["text"], batch["y"], strict=True):
-            words = set(_WORD.findall(text.lower()))
-            units = words | {w[:n] + "*" for n in STEM for w in words if len(w) > n}
+            read = _WORD.findall(text.lower())
+            words = set(read)
+            units = words | {w[:n] + "*" for n in STEM for w in words if len(w) > n} | set(map(" ".join, zip(read, read[1:], strict=False)))
             (toxic if y else clean).update(units)
         if toxic or clean:
             units = list(toxic | clean)
@@ -137,7 +242,7 @@ def _unit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             clean.clear()
 
 
-def learn(sample: DataFrame, most_arcs: int = 5000, least_docs: int = 6, least_odds: float = 3.0) -> Grammar:
+def learn(sample: DataFrame, most_arcs: int = MOST_ARCS, least_docs: int = 6, least_odds: float = 3.0) -> Grammar:
     """A grammar from rows (doc_id, text, y): arcs by log odds of documents, then weights by logistic loss.
 
     sample has to be bounded; what comes to the driver are at most most_arcs arcs and six numbers for each row.
@@ -154,7 +259,9 @@ def learn(sample: DataFrame, most_arcs: int = 5000, least_docs: int = 6, least_o
         .withColumn("odds", odds).filter(F.col("odds") >= least_odds)
         .orderBy(F.desc("odds"), "unit").limit(most_arcs).select("unit", "odds")
     )
-    grammar = Grammar({r["unit"]: r["odds"] / least_odds for r in arcs.collect()})
+    found = {r["unit"]: r["odds"] / least_odds for r in arcs.collect()}
+    # A phrase is an arc only where none of its words tells as much.
+    grammar = Grammar({unit: w for unit, w in found.items() if " " not in unit or not any(map(Grammar(found).insulting, unit.split()))})
     rows = sample.select("y", _features(grammar)(F.col("text")).alias("x")).collect()
     x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
     grammar.weights = logistic(x, y, START).tolist()

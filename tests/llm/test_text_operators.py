@@ -264,10 +264,12 @@ def test_toxicity_on_held_out_rows(spark, labelled):
 
 def test_grammar_scores_clauses():
     grammar = toxicity.Grammar({"grob*": 1.5, "idle": 1.0})
-    assert grammar.clause("you are a grobber".split()) == ("addressed", 1.5)
-    assert grammar.clause("a grob word".split())[0] is None and grammar.clause("the idle one".split())[0] == "stated"
-    assert grammar.clause("he is not idle".split())[0] == "denied" and grammar.clause("idle not you".split())[0] == "addressed"
-    assert grammar.clause("she said idle".split())[0] == "reported" and grammar.clause("i will kill you".split()) == ("threat", 1.0)
+    read = lambda text: grammar.clause(text.split())
+    assert read("you are a grobber") == {"addressed": 1.5}
+    assert read("a grob word") == {} and read("the idle one") == {"stated": 1.0}
+    assert read("it is not idle") == {"denied": 1.0} and read("idle not you") == {"addressed": 1.0}
+    assert read("she said idle") == {"reported": 1.0} and read("i will kill you") == {"threat": 1.0}
+    assert read("it is no longer idle") == {"denied": 1.0} and read("according to them it is idle") == {"reported": 1.0}
     matcher = grammar.matcher()
     assert grammar.features("an ungrobber. nothing", matcher) == [1.0, 0, 0, 0, 0, 0]
     assert grammar.features("You grobber! And you grobber again.", matcher)[2] == pytest.approx(1.3863, abs=1e-3)
@@ -275,11 +277,65 @@ def test_grammar_scores_clauses():
 
 def test_threats_meet_negations_and_reports():
     grammar = toxicity.Grammar({"idle": 1.0})
-    assert grammar.clause("i will never kill you".split()) == ("denied", 1.0)
-    assert grammar.clause("he said i will kill you".split()) == ("reported", 1.0)
-    assert grammar.clause("i will kill you as you are not idle".split()) == ("threat", 2.0)
-    assert grammar.clause("he is not idle but i kill nobody".split())[0] == "denied"
-    assert grammar.clause(("never " + "x " * 10 + "kill you").split()) == ("threat", 1.0)
+    read = lambda text: grammar.clause(text.split())
+    assert read("i will never kill you") == {"denied": 1.0}
+    assert read("he said i will kill you") == {"reported": 1.0}
+    assert read("i will kill you as you are not idle") == {"threat": 1.0, "denied": 1.0}
+    assert read("i kill nobody") == {} and read("you i will beat up") == {"threat": 1.0}
+    assert read("never " + "x " * 10 + "kill you") == {"threat": 1.0}
+
+
+def test_words_act_in_several_transducers():
+    """A word that is a negation and an insult is read as what makes the better path."""
+    grammar = toxicity.Grammar({"no": 2.0, "nobody cares": 1.0})
+    assert grammar.clause(["no", "more"]) == {"stated": 2.0} and grammar.clause(["nobody", "cares"]) == {"stated": 1.0}
+
+
+def paths(grammar, words):
+    """(weight, sums by class) of every path, by brute force: each transducer on its own, one after the other."""
+    chain = [toxicity._scope("negation", "/denied", toxicity.REACH), toxicity._scope("report", "/reported", 2 * toxicity.REACH), toxicity._target()]
+
+    def symbols(at):
+        if at == len(words):
+            yield []
+            return
+        for symbol, weight, n in grammar.readings(words, at):
+            for rest in symbols(at + n):
+                yield [(symbol, weight), *[("other", 0.0)] * (n - 1), *rest]
+
+    def through(machine, read):
+        for start in machine.starts:
+            ways = [(start, [])]
+            for x in read:
+                ways = [(after, [*out, y]) for state, out in ways for y, _, after in machine.arcs.get((state, x), ())]
+            yield from (out for state, out in ways if state in machine.finals)
+
+    for found in symbols(0):
+        outs = [[x for x, _ in found]]
+        for machine in chain:
+            outs = [y for out in outs for y in through(machine, out)]
+        for out in outs:
+            sums = dict.fromkeys(toxicity.CLASSES, 0.0)
+            weight = 0.0
+            for x, (_, w) in zip(out, found, strict=True):
+                kind, _, mark = x.partition("/")
+                if kind in ("insult", "threat"):
+                    c = mark or ("stated" if kind == "insult" else "threat")
+                    sums[c] += w
+                    weight += w + toxicity.PATH[c]
+            yield weight, tuple(sums.values())
+
+
+def test_best_path_equals_brute_force():
+    grammar = toxicity.Grammar({"grob*": 1.5, "idle": 1.0, "no": 1.2, "kill": 0.7, "idle fellow": 2.5, "you": 0.1})
+    rng = random.Random(12)
+    vocabulary = ["grobber", "idle", "fellow", "no", "longer", "kill", "you", "said", "not", "x", "beat", "up", "he"]
+    for _ in range(400):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 9))]
+        every = list(paths(grammar, words)) or [(0.0, (0.0,) * 5)]
+        best = [sums for weight, sums in every if weight > max(every)[0] - 1e-9]  # of equal ones any
+        got = [grammar.clause(words).get(c, 0.0) for c in toxicity.CLASSES]
+        assert any(got == pytest.approx(sums) for sums in best), words
 
 
 def test_clauses_have_no_bound_in_characters():
