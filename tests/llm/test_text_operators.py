@@ -124,6 +124,20 @@ def test_single_signs_of_disguise(text, shown):
     assert [text[a:b] for a, _, b in every] == [shown]
 
 
+@pytest.mark.parametrize(
+    ("text", "shown"),
+    [
+        ("john dot doe@example.com", ["john dot doe@example.com", "doe@example.com"]),
+        ("me@mail.example dot com", ["me@mail.example", "me@mail.example dot com"]),
+        ("+49 170 12345 six 7", ["+49 170 12345", "+49 170 12345 six 7"]),
+        ("a@b.org at the one shop", ["a@b.org"]),
+    ],
+)
+def test_disguised_spans_beside_plain_ones(text, shown):
+    """Plain spans stay; a disguised one that goes on beyond a plain one is added."""
+    assert [text[a:b] for a, _, b in pii.find_all(text)[1]] == shown
+
+
 def test_gate_on_long_white_space_and_odd_cases():
     assert pii.find_all(" " * 200_000 + "one")[1] == [] and pii.find_all("\u017fix s\u0130x")[1] == []
 
