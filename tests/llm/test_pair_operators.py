@@ -145,6 +145,7 @@ def test_vector_links_match_brute_force(spark):
 
 def test_vector_links_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 3)
+    monkeypatch.setattr(embeddings, "HOT_BLOCK", 4)
     rng = np.random.default_rng(1)
     centre = rng.normal(size=16)
     rows = [(i, (centre + rng.normal(size=16) * 0.05).tolist(), 1) for i in range(30)]
@@ -152,6 +153,39 @@ def test_vector_links_in_blocks(spark, monkeypatch):
     assert {(r["n_links"], r["component_id"]) for r in got} == {(29, 0)}
 
 
+def test_hot_and_cool_buckets_count_a_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 6)
+    monkeypatch.setattr(embeddings, "HOT_BLOCK", 5)
+    rows = [(i, v, label) for i, v, label in vector_rows(seed=8, width=16) if i is not None and usable(v) and label is not None and len(v) == 16]
+    unit = np.array([np.array(v) / np.linalg.norm(v) for _, v, _ in rows])
+    near = (unit @ unit.T >= 0.93) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows])[None, :])
+    wanted = sorted((r[0], int(near[at].sum()) - 1) for at, r in enumerate(rows))
+    got = embeddings.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"]) for r in got) == wanted
+
+
+def test_ids_in_several_classes_join_what_they_reach(spark):
+    """Row 7 is in two classes; what either links to is reached through the id."""
+    x, y = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(3, x, 1), (7, x, 1), (7, y, 1), (5, y, 1), (9, [1.0, 0.0], 1)]
+    got = embeddings.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(3, 1, 3), (5, 1, 3), (7, 1, 3), (7, 1, 3), (9, 0, 9)]
+
+
+@pytest.mark.parametrize("width", [16, 64, 256])
+def test_planted_pairs_share_a_bucket_and_have_near_sketches(width):
+    """At a cosine of exactly 0.93, the worst case of a link, at least 0.99 of pairs are candidates."""
+    rng = np.random.default_rng(width)
+    x, z = (rng.normal(size=(600, width)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z -= (z * x).sum(1)[:, None] * x
+    y = 0.93 * x + math.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1)[:, None]
+    a, b = embeddings.bucket_codes(x), embeddings.bucket_codes(y)
+    shared = (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3))
+    near = np.bitwise_count((embeddings.sketches(x) ^ embeddings.sketches(y)).view(np.uint64)) <= embeddings.MOST_SIGNS
+    assert (shared & near).mean() >= 0.99
+
+
 def brute_top(rows, queries, k):
     out = []
     for q, v in queries.items():
