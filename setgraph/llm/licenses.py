@@ -1,9 +1,11 @@
 """Licences of files by TF-IDF cosine to templates, and by inheritance from directories.
 
-The lines of a file that speak of licences are its statement. Distinct statements are compared with templates as
-sparse TF-IDF vectors, whose document frequencies count all files with a statement and the templates. A file whose
-statement holds at least half of its words is a licence file of its directory. A file without a licence of its own
-gets that of the nearest directory above it (its own included) that has one. Everything is DataFrame functions.
+The sentences and lines of a file that speak of licences are its statement; a text with wordings of licence files is
+compared as a whole, too. Distinct statements and such texts are compared with templates (headers, notices, whole
+licences) as sparse TF-IDF vectors, whose document frequencies count all files with one and the templates. A file
+whose statement holds at least half of its words, or which is near a licence as a whole, is a licence file of its
+directory. A file without a licence of its own gets that of the nearest directory above it (its own included) that has
+one. Everything is DataFrame functions.
 
 Null texts count as empty. Empty texts and texts without a statement have no licence of their own. Of several licence
 files in a directory the one with the greatest cosine counts, on ties the licence that comes first by name. Null parts
@@ -17,40 +19,27 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut_lineage
 from .common import table, text_of
+from .licence_texts import BODIES, HEADERS
 
-#: Least cosine of a statement and its template.
-COSINE = 0.5
+#: Least cosine of a statement and its template, and of a whole text.
+COSINE, WHOLE_COSINE = 0.5, 0.75
 CUE = r"(?i)licen[cs]|copyright|all rights reserved|public domain|spdx"
+#: Ends of sentences and lines.
+END = r"[.!?;]\s+|\n"
+#: Wordings of licence files.
+BODY = r"(?i)permission (is hereby granted|to use, copy)|redistribution and use in source|terms and conditions for use|(general|mozilla) public license|free and unencumbered|provided .as.is"
 TERM = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
-
-# Names of licences and wordings of their notices.
-TEMPLATES = (
-    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("BSD-2-Clause", "Licensed under the BSD 2-Clause Simplified License."),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Released into the public domain under CC0 1.0."),
-    ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", "Licensed under the ISC License."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Proprietary", "All rights reserved."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
+TEMPLATES = HEADERS + BODIES
 
 
 def statement_of(text: Column) -> Column:
-    """The lines of a text that speak of licences."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda line: line.rlike(CUE)), "\n")
+    """The sentences and lines of a text that speak of licences."""
+    return F.array_join(F.filter(F.split(text, END), lambda part: part.rlike(CUE)), "\n")
+
+
+def body_of(text: Column) -> Column:
+    """The text as a whole where it has wordings of licence files, else empty."""
+    return F.when(text.rlike(BODY), text).otherwise(F.lit(""))
 
 
 def _terms(text: Column) -> Column:
@@ -85,25 +74,31 @@ def licences(files: DataFrame) -> DataFrame:
     """file_id, path, licence, cosine, origin (own, inherited or none) and licensed_by (a directory) for rows
     (file_id, path, text)."""
     text = text_of()
-    own = files.select("file_id", "path", statement_of(text).alias("statement"), F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("words"))
+    own = files.select("file_id", "path", statement_of(text).alias("statement"), body_of(text).alias("body"), F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("words"))
     own = cut_lineage(own.withColumn("directory", F.regexp_replace("path", "/[^/]*$", "")))  # the texts are read once
-    stated = own.filter(F.col("statement") != "")
+    speaks = (F.col("statement") != "") | (F.col("body") != "")
+    stated = own.filter(speaks)
     # Cut here, the table of matches is small and the joins with it are plain joins, of which large keys can be split.
-    matched = cut_lineage(match_templates(stated.groupBy("statement").agg(F.count("*").alias("files"))))
-    found = stated.join(matched, "statement")
+    each = stated.select(F.explode(F.filter(F.array_distinct(F.array("statement", "body")), lambda x: x != "")).alias("statement"))
+    matched = cut_lineage(match_templates(each.groupBy("statement").agg(F.count("*").alias("files"))))
+    of_statement = matched.select("statement", F.struct((-F.col("cosine")).alias("least"), "licence").alias("stated"))
+    of_body = matched.filter(F.col("cosine") >= WHOLE_COSINE).select(F.col("statement").alias("body"), F.struct((-F.col("cosine")).alias("least"), "licence").alias("whole"))
+    with_body = stated.filter(F.col("body") != "").join(of_body, "body", "left")
+    found = stated.filter(F.col("body") == "").withColumn("whole", F.lit(None).cast(of_body.schema["whole"].dataType)).unionByName(with_body)
+    found = found.join(of_statement, "statement", "left").withColumn("own", F.least("stated", "whole"))
     statement_words = F.size(F.filter(F.split("statement", r"\s+"), lambda w: w != ""))
-    by_directory = found.filter(statement_words * 2 >= F.col("words"))
-    by_directory = by_directory.groupBy("directory").agg(F.min(F.struct((-F.col("cosine")).alias("least"), "licence")).alias("best"))
+    by_directory = found.filter(F.col("own").isNotNull() & (F.col("whole").isNotNull() | (statement_words * 2 >= F.col("words"))))
+    by_directory = by_directory.groupBy("directory").agg(F.min("own").alias("best"))
     by_directory = by_directory.select(F.col("directory").alias("above"), F.col("best.licence").alias("licence"), (-F.col("best.least")).alias("cosine"))
     # Each directory once against the directories above it; files then meet their own directory only.
     parts = F.split("directory", "/")
     above = own.select("directory").distinct().withColumn("depth", F.explode(F.sequence(F.lit(1), F.size(parts))))
     above = above.withColumn("above", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))
     nearest = above.join(by_directory, "above").groupBy("directory").agg(F.max(F.struct("depth", "above", "licence", "cosine")).alias("from"))
-    own_licence = matched.withColumnsRenamed({"licence": "own_licence", "cosine": "own_cosine"})
     # Most files have no statement: as one key of a join they would be one task.
-    silent = own.filter(F.col("statement") == "").withColumns({"own_licence": F.lit(None).cast("string"), "own_cosine": F.lit(None).cast("double")})
-    out = stated.join(own_licence, "statement", "left").unionByName(silent).join(cut_lineage(nearest), "directory", "left")
+    silent = own.filter(~speaks).select("file_id", "path", "directory", F.lit(None).cast(found.schema["own"].dataType).alias("own"))
+    out = found.select("file_id", "path", "directory", "own").unionByName(silent).join(cut_lineage(nearest), "directory", "left")
+    out = out.withColumns({"own_licence": F.col("own.licence"), "own_cosine": -F.col("own.least")})
     has = F.col("own_licence").isNotNull()
     return out.select(
         "file_id",
@@ -130,16 +125,18 @@ def op4_license_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     """The same in DuckDB."""
-    values = ", ".join(f"({at}, '{name}', '{text}')" for at, (name, text) in enumerate(TEMPLATES))
+    quoted = lambda x: x.replace("'", "''")
+    values = ", ".join(f"({at}, '{name}', '{quoted(text)}')" for at, (name, text) in enumerate(TEMPLATES))
     terms = f"unnest(regexp_extract_all(lower({{}}), '{TERM}'))"
     words = "len(list_filter(string_split_regex({}, '\\s+'), lambda w: w <> ''))"
     return f"""
 WITH templates(template, licence, body) AS (VALUES {values}),
 own AS (SELECT row_number() OVER () AS r, doc_id, concat_ws('/', coalesce(source, '_'), coalesce(lang, '_'), coalesce((doc_id // 1000)::VARCHAR, '_'), coalesce(doc_id::VARCHAR, '_')) AS path,
-    list_aggregate(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{CUE}')), 'string_agg', chr(10)) AS statement,
+    coalesce(list_aggregate(list_filter(string_split_regex(coalesce(text, ''), '{END}'), lambda l: regexp_matches(l, '{CUE}')), 'string_agg', chr(10)), '') AS statement,
+    CASE WHEN regexp_matches(coalesce(text, ''), '{BODY}') THEN text ELSE '' END AS whole,
     {words.format("coalesce(text, '')")} AS words FROM documents),
 files AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS directory FROM own),
-stated AS (SELECT statement, count(*) AS files FROM files WHERE statement <> '' GROUP BY statement),
+stated AS (SELECT statement, count(*) AS files FROM (SELECT statement FROM files WHERE statement <> '' UNION ALL SELECT whole FROM files WHERE whole <> '' AND whole <> statement) GROUP BY statement),
 seen AS (SELECT statement, files, term, count(*) AS tf FROM (SELECT statement, files, {terms.format("statement")} AS term FROM stated) GROUP BY ALL),
 known AS (SELECT template, licence, term, count(*) AS tf FROM (SELECT template, licence, {terms.format("body")} AS term FROM templates) GROUP BY ALL),
 df AS (SELECT term, sum(n) AS df FROM (SELECT term, files AS n FROM seen UNION ALL SELECT term, 1 FROM known) GROUP BY term),
@@ -149,17 +146,19 @@ v AS (SELECT template, licence, term, tf * idf AS v FROM known JOIN idf USING (t
 cosines AS (SELECT statement, licence, round(sum(w * v) / any_value(nv) / any_value(nw), 6) AS cosine FROM w JOIN v USING (term)
     JOIN (SELECT template, sqrt(sum(v * v)) AS nv FROM v GROUP BY template) USING (template)
     JOIN (SELECT statement, sqrt(sum(w * w)) AS nw FROM w GROUP BY statement) USING (statement) GROUP BY statement, template, licence),
-matched AS (SELECT statement, licence AS own_licence, cosine AS own_cosine FROM cosines WHERE cosine >= {COSINE}
+matched AS (SELECT statement, licence, cosine FROM cosines WHERE cosine >= {COSINE}
     QUALIFY row_number() OVER (PARTITION BY statement ORDER BY cosine DESC, licence) = 1),
-by_directory AS (SELECT directory, own_licence AS licence, own_cosine AS cosine FROM files JOIN matched USING (statement)
-    WHERE {words.format("statement")} * 2 >= words QUALIFY row_number() OVER (PARTITION BY directory ORDER BY own_cosine DESC, own_licence) = 1),
+found AS (SELECT f.*, CASE WHEN b.cosine IS NULL OR s.cosine > b.cosine OR (s.cosine = b.cosine AND s.licence < b.licence) THEN s.licence ELSE b.licence END AS own_licence,
+    greatest(s.cosine, b.cosine) AS own_cosine, b.cosine IS NOT NULL AS near FROM files f LEFT JOIN matched s ON s.statement = f.statement LEFT JOIN matched b ON b.statement = f.whole AND f.whole <> '' AND b.cosine >= {WHOLE_COSINE}),
+by_directory AS (SELECT directory, own_licence AS licence, own_cosine AS cosine FROM found WHERE own_licence IS NOT NULL AND (near OR {words.format("statement")} * 2 >= words)
+    QUALIFY row_number() OVER (PARTITION BY directory ORDER BY own_cosine DESC, own_licence) = 1),
 nearest AS (SELECT d.directory, b.directory AS above, b.licence, b.cosine FROM (SELECT DISTINCT directory FROM files) d
     JOIN by_directory b ON d.directory = b.directory OR starts_with(d.directory, b.directory || '/')
     QUALIFY row_number() OVER (PARTITION BY d.directory ORDER BY length(b.directory) DESC) = 1)
 SELECT doc_id, path, coalesce(own_licence, licence) AS licence, CASE WHEN own_licence IS NOT NULL THEN own_cosine ELSE cosine END AS cosine,
     CASE WHEN own_licence IS NOT NULL THEN 'own' WHEN licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
     CASE WHEN own_licence IS NULL THEN above END AS licensed_by
-FROM files LEFT JOIN matched USING (statement) LEFT JOIN nearest USING (directory)"""
+FROM found LEFT JOIN nearest USING (directory)"""
 
 
 ORACLE = _oracle()

@@ -231,6 +231,24 @@ def test_licences(spark):
     assert licenses.licences(spark.createDataFrame([], "file_id long, path string, text string")).count() == 0
 
 
+def test_whole_licences_and_long_paragraphs(spark):
+    """Licence files with names and years, a header in one long line, ties between equal files, long texts."""
+    body = dict(licenses.BODIES)
+    filler = "word and more " * 200
+    rows = [
+        (1, "m/LICENSE", "The MIT License\n\nCopyright (c) 2019 Some One\n\n" + body["MIT"]),
+        (2, "m/src/x", filler),
+        (3, "b/LICENSE", "Copyright (c) 2020, A and B.\nAll rights reserved.\n\n" + body["BSD-3-Clause"]),
+        (4, "b/COPYING", body["BSD-3-Clause"]),
+        (5, "i/LICENSE", "Copyright 2001 Q\n" + body["ISC"]),
+        (6, "p/long", filler + "then it ends. Licensed under the Apache License, Version 2.0. And then " + filler),
+        (7, "p/huge", "x y z " * 100_000 + "\nReleased under the MIT License.\n"),
+        (8, "p/other", filler),
+    ]
+    got = {r["file_id"]: (r["licence"], r["origin"]) for r in licenses.licences(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("BSD-3-Clause", "own"), 4: ("BSD-3-Clause", "own"), 5: ("ISC", "own"), 6: ("Apache-2.0", "own"), 7: ("MIT", "own"), 8: (None, "none")}
+
+
 # -- learned scores -----------------------------------------------------------------------------------------------
 
 
