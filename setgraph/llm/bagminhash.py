@@ -49,6 +49,8 @@ BLOCK = 256
 BLOCK_WORDS = 200_000
 #: A class of more than this part of all rows counts as hot; there are fewer of them than this.
 HOT_PART = 2000
+#: Rows of a bucket that are sent as one group.
+GROUP_ROWS = 1000
 #: Texts that are signed at once.
 SIGNED_AT_ONCE = 250
 
@@ -243,11 +245,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     dealt = pairs.join(deals, "a").select("a", F.pmod(F.xxhash64("b"), "deals").alias("deal"), F.col("b").alias("doc_id"), "words", F.lit(False).alias("leads"))
     leaders = deals.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), F.col("a").alias("doc_id"), F.lit(0).cast("long").alias("words"), F.lit(True).alias("leads"))
     dealt = cut_lineage(dealt.unionByName(leaders))
-    parts = max(1, (dealt.agg(F.sum("words")).first()[0] or 0) // (2 * BLOCK_WORDS))
+    parts = _groups(pairs.sparkSession, (dealt.agg(F.sum("words")).first()[0] or 0) // BLOCK_WORDS)
     full = dealt.drop("words").join(texts, "doc_id").withColumn("part", F.pmod(F.xxhash64("a", "deal"), F.lit(parts)))
     return full.groupBy("part").applyInPandas(_verify_groups(threshold), "a long, b long").distinct()
 
 
+def _groups(spark: SparkSession, wanted: int) -> int:
+    """A number of groups that leaves no task without one, and none with much more than the others."""
+    return max(wanted, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _agreement(small: np.ndarray, at: int) -> np.ndarray:
     """The share of registers in which each row agrees with one row."""
     return (small == small[at]).mean(1)
@@ -330,7 +337,7 @@ def _across_components(component: DataFrame, shared: DataFrame, classes: DataFra
     sent = ("band", "rep", "component", "weight", "bytes")
     others = members.filter("component != main").select(*sent, number("n_i").alias("i"), every_block("n_j").alias("j"), F.lit(True).alias("other"))
     every = members.select(*sent, every_block("n_i").alias("i"), number("n_j").alias("j"), F.lit(False).alias("other"))
-    parts = max(1, (mixed.agg(F.sum(F.col("n_i") * F.col("n_j"))).first()[0] or 0) * BLOCK // 4000)
+    parts = _groups(labelled.sparkSession, (mixed.agg(F.sum(F.col("n_i") * F.col("n_j"))).first()[0] or 0) * BLOCK // GROUP_ROWS)
     dealt = others.unionByName(every).withColumn("part", F.pmod(F.xxhash64("band", "i", "j"), F.lit(parts)))
     pairs = cut_lineage(dealt.groupBy("part").applyInPandas(lambda batch: _near_components(batch), "a long, b long").distinct())
 
@@ -352,20 +359,20 @@ def _across_components(component: DataFrame, shared: DataFrame, classes: DataFra
         rows = rows.join(counts, "larger").withColumn(own, number(f"n_{own}")).withColumn(other, every_block(f"n_{other}"))
         return rows.select("larger", "rep", "i", "j", F.lit(own == "j").alias("right"))
 
-    parts = max(1, (counts.agg(F.sum(F.col("n_i") * F.col("n_j"))).first()[0] or 0))
+    parts = _groups(labelled.sparkSession, counts.agg(F.sum(F.col("n_i") * F.col("n_j"))).first()[0] or 0)
     met = cut_lineage(dealt_out(left, "i", "j").unionByName(dealt_out(reps.withColumnRenamed("component", "larger"), "j", "i")))
     met = met.withColumn("part", F.pmod(F.xxhash64("larger", "i", "j"), F.lit(parts)))
     full = met.join(named.select(F.col("doc_id").alias("rep"), "text"), "rep")
     return full.groupBy("part").applyInPandas(_link_blocks(threshold), "a long, b long")
 
 
-def _copy_links(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links from copies to the least document of their class. The few hot classes are sent to all tasks."""
+def _with_class(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id and rep, the least document of its class. The few hot classes are sent to all tasks."""
     rows, many = signed.select("doc_id", "copy"), classes.filter("copies > 1").select("copy", "rep", "copies")
     bound = signed.count() // HOT_PART
     hot = F.broadcast(many.filter(F.col("copies") > bound).drop("copies"))
-    found = rows.join(hot, "copy").unionByName(rows.join(hot, "copy", "left_anti").join(many.filter(F.col("copies") <= bound).drop("copies"), "copy"))
-    return found.filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    rest = rows.join(hot, "copy", "left_anti").join(many.filter(F.col("copies") <= bound).drop("copies"), "copy", "left")
+    return rows.join(hot, "copy").unionByName(rest).select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -381,8 +388,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Copies: one class for each sequence of words, named by its least document.
     classes = signed.groupBy("copy").agg(F.min(F.struct("doc_id", "weight", "bytes", "bands")).alias("least"), F.count("*").alias("copies"))
     classes = cut_lineage(classes.select("copy", F.col("least.doc_id").alias("rep"), "least.weight", "least.bytes", "least.bands", "copies"))
-    copy_links = _copy_links(signed, classes)
-
     banded = classes.select("rep", F.explode("bands").alias("band"))
     buckets = cut_lineage(banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1"))
     shared = cut_lineage(banded.join(buckets, "band"))
@@ -391,15 +396,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # The least class of a bucket is in each of its blocks.
     dealt = shared.withColumn("own", F.explode(F.when(F.col("rep") == F.col("leader"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
     dealt = dealt.select("band", "own", "rep").join(classes.select("rep", "weight", "bytes"), "rep")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("band", "own"), F.lit(max(1, shared.count() // 8000))))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("band", "own"), F.lit(_groups(spark, shared.count() // GROUP_ROWS))))
     near = cut_lineage(dealt.groupBy("part").applyInPandas(lambda batch: _nearest(batch), "a long, b long, words long").distinct())
     links = cut_lineage(_verified(near, named, threshold))
-    more = _across_components(connected_components(links, "a", "b"), shared, classes, named, threshold)
-
-    every = copy_links.unionByName(links).unionByName(more)
-    component = connected_components(every, "a", "b").withColumnRenamed("id", "doc_id")
-    ids = named.select("doc_id").distinct()
-    found = ids.join(component, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    within = cut_lineage(connected_components(links, "a", "b"))
+    more = _across_components(within, shared, classes, named, threshold)
+
+    # A document is where its class is; an id of several texts joins their classes.
+    placed = cut_lineage(_with_class(signed, classes))
+    several = placed.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
+    several = placed.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
+    component = connected_components(within.toDF("a", "b").unionByName(more).unionByName(several), "a", "b").withColumnRenamed("id", "rep")
+    once = placed.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(component, "rep", "left")
+    unsigned = named.select("doc_id").distinct().join(once, "doc_id", "left")
+    found = unsigned.select("doc_id", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     found = found.withColumn("kept", F.col("component_id") == F.col("doc_id"))
     lost = rows.filter(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return found.unionByName(lost)
