@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut_lineage
 
-#: A vertex with more links than this part of them all, and than LEAST_HUB, is a hub; there are fewer than 2 * HUB_PART of them.
+#: A vertex with more links than this part of them all, and than LEAST_HUB, is a hub; there are fewer than HUB_PART of them.
 HUB_PART, LEAST_HUB = 2000, 128
 
 
@@ -15,16 +15,28 @@ def _both(links: DataFrame) -> DataFrame:
     return links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _met(rows: DataFrame, least: DataFrame, hubs: DataFrame | None) -> DataFrame:
+def _met(rows: DataFrame, least: DataFrame, hubs: DataFrame) -> DataFrame:
     """rows (u, v) with m of least (u, m). Rows of a hub are dealt by v into as many parts as it has, which hubs (u, parts) tells."""
-    if hubs is None:
-        return rows.join(least, "u")
     parts = F.coalesce("parts", F.lit(1))
     rows = rows.join(F.broadcast(hubs), "u", "left").withColumn("part", F.pmod(F.xxhash64("v"), parts))
     least = least.join(F.broadcast(hubs), "u", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     return rows.drop("parts").join(least.drop("parts"), ["u", "part"])
 
 
+def _round(links: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """A large-star and a small-star step."""
+    both = _both(links)
+    both = both.repartition("u") if hubs is None else both  # without hubs, one exchange serves the minimum and its join
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    above = both.filter(F.col("v") > F.col("u"))
+    large = (above.join(least, "u") if hubs is None else _met(above, least, hubs)).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = large.repartition("u") if hubs is None else large
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u") if hubs is None else _met(large, least, hubs)
+    small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v"))
+    return small.unionByName(least.withColumnRenamed("m", "v")).distinct()
+
+
 def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 100) -> DataFrame:
     """(id, component) for every id that occurs in a link; component is the least id that links lead to.
 
@@ -34,23 +46,18 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", m
     stars: every vertex has either larger neighbours only, or one smaller neighbour and no other. The minimum of a
     vertex's neighbours is a partial aggregate that is joined back to its links; those of hubs are dealt over tasks.
     """
-    spark = links.sparkSession
     edge = F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))
     links = cut_lineage(links.filter(edge).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
-    most = max(LEAST_HUB, links.count() // HUB_PART)  # rounds never add links
+    n = F.col("n")
     for _ in range(most_rounds):
         degrees = _both(links).groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("least"))
-        hub = F.when(F.col("n") > most, F.struct("u", F.ceil(F.col("n") / most).cast("long").alias("parts")))
-        state = degrees.agg(F.max((F.col("least") < F.col("u")) & (F.col("n") > 1)).alias("open"), F.collect_list(hub).alias("hubs")).first()
-        if not state["open"]:
+        row = degrees.agg(F.max((F.col("least") < F.col("u")) & (n > 1)), F.max("n"), F.sum("n")).first()
+        if not row[0]:
             break
-        hubs = spark.createDataFrame(state["hubs"], degrees.select(hub.alias("h")).select("h.*").schema) if state["hubs"] else None
-        least = _both(links).groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        above = _both(links).filter(F.col("v") > F.col("u"))
-        large = _met(above, least, hubs).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _met(large, least, hubs).select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v"))
-        links = cut_lineage(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        hubs, most = None, max(LEAST_HUB, row[2] // HUB_PART)
+        if row[1] > most:
+            hubs = cut_lineage(degrees.filter(n > most).select("u", F.ceil(n / most).cast("long").alias("parts")))
+        links = cut_lineage(_round(links, hubs))
     else:
         raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
     roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
