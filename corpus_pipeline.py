@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from setgraph.llm import bagminhash, bpe, mixing, secrets, toxicity
 from setgraph.llm.common import DOCUMENT_COLUMNS, table
+from setgraph.plans.lineage import cut_lineage
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +28,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of every group of near-duplicates; of rows that share an id, the least text."""
     docs = docs.select(*DOCUMENT_COLUMNS)
-    dropped = bagminhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti")
-    repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    dropped = cut_lineage(bagminhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id"))
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    repeated = cut_lineage(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
     one = kept.join(repeated, "doc_id", "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first")
     return kept.join(repeated, "doc_id", "left_anti").unionByName(one).select(*DOCUMENT_COLUMNS)
