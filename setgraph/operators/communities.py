@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import math
-import random
+import operator
 from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SetGraphError
-from ..functions.rules import linear, majority, strict
+from ..functions.rules import linear
 from ..graph import HGraph, id_table
 from ..plans.guards import bounded_rows
+from ..plans.lineage import cut_lineage
+from .pairs import dense_index
 
-#: The most rows of a graph that a search on the driver takes.
-MOST_ROWS = 2_000_000
+#: The most pairs of a size of edges and a number of nodes whose expected weights go to every task.
+MOST_TERMS = 100_000
+#: Smaller gains of a move may be errors of rounding.
+LEAST_GAIN = 0.1
 
 
 def part2dict(parts: Iterable[Iterable]) -> dict:
@@ -46,22 +53,26 @@ def edge_weights(graph: HGraph) -> DataFrame:
     return w
 
 
-def binomial(c: Column, d: Column, p: Column, log_factorials: DataFrame, table: DataFrame) -> DataFrame:
-    """table with pmf: the binomial probability of c of d at p, from a table (n, lf) of logarithms of factorials."""
-    for name, x in (("lf_d", d), ("lf_c", c), ("lf_r", d - c)):
-        table = table.withColumn("_n", x.cast("long")).join(F.broadcast(log_factorials.select(F.col("n").alias("_n"), F.col("lf").alias(name))), "_n").drop("_n")
-    log = F.col("lf_d") - F.col("lf_c") - F.col("lf_r") + c * F.log(p) + (d - c) * F.log(1 - p)
-    pmf = F.when(p <= 0, F.when(c == 0, 1.0).otherwise(0.0)).when(p >= 1, F.when(c == d, 1.0).otherwise(0.0)).otherwise(F.exp(log))
-    return table.withColumn("pmf", pmf)
+def log_factorial(n: Column) -> Column:
+    """ln n! by Stirling's series for n + 8, less the logarithms of the eight factors too many; right to 11 digits."""
+    z = n.cast("double") + 9
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    return series - F.log(reduce(operator.mul, (n + i for i in range(1, 9)), F.lit(1.0)))
+
+
+def binomial(c: Column, d: Column, p: Column) -> Column:
+    """The probability of c of d at p."""
+    choices = log_factorial(d) - log_factorial(c) - log_factorial(d - c)
+    inner = F.exp(choices + c * F.log(p) + (d - c) * F.log(1 - p))
+    return F.when(p >= 1, (c == d).cast("double")).when(p <= 0, (c == 0).cast("double")).otherwise(inner)
 
 
 def modularity(graph: HGraph, parts: DataFrame | Mapping | Iterable[Iterable], wdc: Callable[[Column, Column], Column] = linear, weighted: bool | None = None) -> float:
     """The part of edge weight within majorities of a part, less what is expected from degrees.
 
-    Sizes of edges (one row each, with the log factorials up to the largest) and volumes of parts meet; everything
-    else is grouped. weighted None: by edge weights where some are stored.
+    Sizes of edges and volumes of parts meet, each of them grouped first; the sizes of both sides are checked before
+    one is sent to all tasks. weighted None: by edge weights where some are stored.
     """
-    spark = graph.spark
     if weighted is None:
         weighted = not graph.edge_properties.table.isEmpty()
     weights = edge_weights(graph) if weighted else graph.incidences.select("edge").distinct().withColumn("w", F.lit(1.0))
@@ -69,17 +80,16 @@ def modularity(graph: HGraph, parts: DataFrame | Mapping | Iterable[Iterable], w
     counts = placed.groupBy("edge", "w", "part").agg(F.count("*").alias("c"))
     edges = counts.groupBy("edge", "w").agg(F.sum("c").alias("d"), F.max("c").alias("c")).persist()
     d, c = F.col("d"), F.col("c")
-    inside, total, largest = edges.agg(F.sum(F.when(c > d / 2, F.col("w") * wdc(d, c)).otherwise(0.0)), F.sum("w"), F.max("d")).first()
+    inside, total = edges.agg(F.sum(F.when(c > d / 2, F.col("w") * wdc(d, c)).otherwise(0.0)), F.sum("w")).first()
     if not total:
         raise SetGraphError("modularity of a graph without edges")
     volumes = placed.groupBy("part").agg(F.sum("w").alias("vol"))
     whole = volumes.agg(F.sum("vol")).first()[0]
     volumes = volumes.groupBy("vol").agg(F.count("*").alias("same")).withColumn("p", F.col("vol") / whole)
-    log_factorials = spark.createDataFrame([(n, math.lgamma(n + 1)) for n in range(largest + 1)], "n long, lf double")
     sizes = edges.groupBy("d").agg(F.sum("w").alias("n_d")).withColumn("c", F.explode(F.sequence(F.floor(d / 2) + 1, d)))
     sizes = sizes.withColumn("v", F.col("n_d") * wdc(d, F.col("c"))).filter("v <> 0")
     met = sizes.join(F.broadcast(volumes), F.lit(True)) if volumes.count() <= 100_000 else sizes.join(volumes, F.lit(True))
-    tax = binomial(F.col("c"), d, F.col("p"), log_factorials, met).agg(F.coalesce(F.sum(F.col("v") * F.col("same") * F.col("pmf")), F.lit(0.0))).first()[0]
+    tax = met.agg(F.coalesce(F.sum(F.col("v") * F.col("same") * binomial(F.col("c"), d, F.col("p"))), F.lit(0.0))).first()[0]
     edges.unpersist()
     return (inside - tax) / total
 
@@ -113,137 +123,125 @@ def two_section(graph: HGraph, weights: DataFrame | None = None) -> tuple[DataFr
     return graph.incidences.select("node").distinct(), links
 
 
-def louvain(nodes: Iterable, links: Iterable[tuple], seed: int = 0) -> dict:
-    """Communities of a weighted graph by multilevel moves of greatest modularity gain; node to number."""
-    nodes = sorted(nodes)
-    rng = random.Random(seed)
-    near: dict = {v: {} for v in nodes}
-    for a, b, w in links:
-        near[a][b] = near[a].get(b, 0.0) + w
-        near[b][a] = near[b].get(a, 0.0) + w
-    member = {v: v for v in nodes}
-    while True:
-        degree = {v: sum(x.values()) + x.get(v, 0.0) for v, x in near.items()}
-        total = sum(degree.values())
-        if not total:
-            break
-        part, volume, moved_any = {v: v for v in near}, dict(degree), False
-        order = list(near)
-        moved = True
-        while moved:
-            moved = False
-            rng.shuffle(order)
-            for v in order:
-                own = part[v]
-                volume[own] -= degree[v]
-                into: dict = {own: 0.0}
-                for u, w in near[v].items():
-                    if u != v:
-                        into[part[u]] = into.get(part[u], 0.0) + w
-                best = max(into, key=lambda p: (into[p] - volume[p] * degree[v] / total, p == own))
-                if into[best] - volume[best] * degree[v] / total > into[own] - volume[own] * degree[v] / total + 1e-12:
-                    part[v], moved, moved_any = best, True, True
-                volume[part[v]] += degree[v]
-        if not moved_any:
+def _moves(both: DataFrame, degree: DataFrame, total: float, seed: int, most_rounds: int) -> tuple[DataFrame, bool]:
+    """node, part after moves of greatest modularity gain, and whether there were any.
+
+    In every round a half of the nodes, by their hashes, may move to the part of a neighbour; two rounds without a move end it.
+    """
+    parts = cut_lineage(degree.select("node", F.col("node").alias("part"), "degree"))
+    any_moved, still = False, 0
+    for step in range(most_rounds):
+        volume = parts.groupBy("part").agg(F.sum("degree").alias("volume"))
+        near = both.join(parts.select(F.col("node").alias("dst"), "part"), "dst").groupBy(F.col("src").alias("node"), "part").agg(F.sum("weight").alias("into"))
+        own = parts.select("node", "part", F.lit(0.0).alias("into"))
+        options = near.unionByName(own).groupBy("node", "part").agg(F.sum("into").alias("into")).join(volume, "part")
+        options = options.join(parts.select("node", F.col("part").alias("own"), "degree"), "node")
+        stays = F.col("part") == F.col("own")
+        gain = F.col("into") - (F.col("volume") - F.when(stays, F.col("degree")).otherwise(0.0)) * F.col("degree") / total
+        best = options.groupBy("node", "own", "degree").agg(F.max(F.struct(F.round(gain, 9).alias("gain"), stays.alias("stays"), "part")).alias("best"))
+        may = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(step)), F.lit(2)) == 0
+        moved = cut_lineage(best.select("node", "degree", "own", F.when(may, F.col("best.part")).otherwise(F.col("own")).alias("part")))
+        changed = not moved.filter("part <> own").isEmpty()
+        parts, any_moved, still = moved.drop("own"), any_moved or changed, 0 if changed else still + 1
+        if still == 2:
             break
-        member = {v: part[p] for v, p in member.items()}
-        folded: dict = {}
-        for v, x in near.items():
-            row = folded.setdefault(part[v], {})
-            for u, w in x.items():
-                row[part[u]] = row.get(part[u], 0.0) + w * (0.5 if part[u] == part[v] and u != v else 1.0)
-        near = folded
-    number = {p: i for i, p in enumerate(sorted(set(member.values()), key=str))}
-    return {v: number[p] for v, p in member.items()}
+    return parts.select("node", "part"), any_moved
 
 
-def kumar(graph: HGraph, delta: float = 0.01, most_rounds: int = 50, seed: int = 0, most_rows: int = MOST_ROWS) -> DataFrame:
-    """node, part: communities of the two-section, whose edge weights are moved towards edges that parts hold whole.
+def louvain(nodes: DataFrame, links: DataFrame, seed: int = 0, most_rounds: int = 20, most_levels: int = 10) -> DataFrame:
+    """node, part: communities of a weighted graph (links src, dst, weight) by multilevel moves of greatest modularity gain.
 
-    Weighting is done on tables; the community step takes the two-section to the driver, up to most_rows links.
+    Moves are joins and groupings of all nodes at once; parts then become the nodes of the next level.
     """
-    weights = edge_weights(graph).persist()
-    n_edges = weights.count()
-    nodes = [r[0] for r in bounded_rows(graph.incidences.select("node").distinct(), most_rows, "nodes of the two-section")]
+    both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    both = cut_lineage(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    degree = nodes.join(both.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("degree")), "node", "left")
+    degree = cut_lineage(degree.select("node", F.coalesce("degree", F.lit(0.0)).alias("degree")))
+    total = degree.agg(F.sum("degree")).first()[0]
+    member = nodes.select("node", F.col("node").alias("part"))
+    for level in range(most_levels if total else 0):
+        parts, moved = _moves(both, degree, total, seed + level, most_rounds)
+        if not moved:
+            break
+        member = cut_lineage(member.join(parts.toDF("part", "next"), "part").select("node", F.col("next").alias("part")))
+        placed = both.join(parts.toDF("src", "a"), "src").join(parts.toDF("dst", "b"), "dst").filter("a <> b")
+        both = cut_lineage(placed.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
+        degree = cut_lineage(degree.join(parts, "node").groupBy(F.col("part").alias("node")).agg(F.sum("degree").alias("degree")))
+    numbers = dense_index(member, "part")
+    return member.join(numbers, "part").select("node", F.col("idx").cast("int").alias("part"))
 
-    def communities(w: DataFrame) -> DataFrame:
-        links = bounded_rows(two_section(graph, w)[1], most_rows, "links of the two-section")
-        return part_table(graph, louvain(nodes, [tuple(r) for r in links], seed))
 
-    parts = communities(weights)
+def kumar(graph: HGraph, delta: float = 0.01, most_rounds: int = 50, seed: int = 0) -> DataFrame:
+    """node, part: communities of the two-section, whose edge weights are moved towards edges that parts hold whole."""
+    weights = cut_lineage(edge_weights(graph))
+    n_edges = weights.count()
+    nodes = graph.incidences.select("node").distinct()
+    parts = louvain(nodes, two_section(graph, weights)[1], seed)
     for _ in range(most_rounds + 1):
+        parts = cut_lineage(parts)
         k = parts.select("part").distinct().count()
         held = graph.pairs.join(parts, "node").groupBy("edge", "part").agg(F.count("*").alias("c"))
         # A part that holds no node of an edge adds 1 / (1 + 0).
         per = held.groupBy("edge").agg(F.sum("c").alias("size"), (F.sum(1 / (1 + F.col("c"))) + k - F.count("*")).alias("s"))
-        new = per.join(weights, "edge").select("edge", (F.col("w") / 2 + F.col("s") * (F.col("size") + k) / n_edges / 2).alias("v"), "w")
-        rows = bounded_rows(new, most_rows, "edges")
-        difference = max((abs(r["v"] - r["w"]) for r in rows), default=0.0)
-        weights = graph.spark.createDataFrame([(r["edge"], r["v"]) for r in rows], f"edge {graph.incidences.schema['edge'].dataType.simpleString()}, w double")
-        parts = communities(weights)
+        new = cut_lineage(per.join(weights, "edge").select("edge", (F.col("w") / 2 + F.col("s") * (F.col("size") + k) / n_edges / 2).alias("v"), "w"))
+        difference = new.agg(F.coalesce(F.max(F.abs(F.col("v") - F.col("w"))), F.lit(0.0))).first()[0]
+        weights = new.select("edge", F.col("v").alias("w"))
+        parts = louvain(nodes, two_section(graph, weights)[1], seed)
         if difference <= delta:
             break
     return parts
 
 
-_RULES: dict = {linear: lambda d, c: c / d if c > d / 2 else 0.0, majority: lambda d, c: float(c > d / 2), strict: lambda d, c: float(c == d)}
+def _expected(sizes: list, whole: float):
+    """A column function: the weight within majorities that chance gives a part of a volume. sizes: (d, c, weight by the rule)."""
+    d, c, v = (np.array([r[i] for r in sizes], float) for i in range(3))
+    choices = np.array([math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1) for a, b in zip(d, c, strict=True)])
+
+    @F.pandas_udf("double")
+    def expected(volume: pd.Series) -> pd.Series:
+        p = np.clip(volume.to_numpy(float) / whole, 1e-300, 1 - 1e-16)[:, None]
+        return pd.Series((v * np.exp(choices + c * np.log(p) + (d - c) * np.log1p(-p))).sum(1))
 
+    return expected
 
-def last_step(graph: HGraph, parts: DataFrame | Mapping | Iterable[Iterable], wdc: Callable = linear, delta: float = 0.01, seed: int = 0, most_rows: int = MOST_ROWS) -> DataFrame:
-    """node, part: nodes are moved, in random order, to the part of a neighbour that raises modularity most.
 
-    Every move depends on those before it, so the graph comes to the driver, up to most_rows incidences. wdc: one of
-    the rules of setgraph.functions.rules, or a function of two numbers.
+def last_step(graph: HGraph, parts: DataFrame | Mapping | Iterable[Iterable], wdc: Callable[[Column, Column], Column] = linear, delta: float = 0.01, most_rounds: int = 50) -> DataFrame:
+    """node, part: nodes are moved to the part of a neighbour that raises modularity most, while that gains enough.
+
+    In every round each node finds its best move, and those move whose gain is the greatest in all of their edges; so
+    no two moves of a round meet in an edge. What chance gives each part is taken from before the round.
     """
-    rule = _RULES.get(wdc, wdc)
-    weight = {r["edge"]: r["w"] for r in bounded_rows(edge_weights(graph), most_rows, "edges")}
-    members: dict = {}
-    edges_of: dict = {}
-    for r in bounded_rows(graph.pairs, most_rows, "incidences"):
-        members.setdefault(r["edge"], []).append(r["node"])
-        edges_of.setdefault(r["node"], []).append(r["edge"])
-    part = {r["node"]: r["part"] for r in bounded_rows(part_table(graph, parts), most_rows, "parts")}
-    by_size: dict = {}
-    volume: dict = {}
-    for e, nodes in members.items():
-        by_size[len(nodes)] = by_size.get(len(nodes), 0.0) + weight[e]
-        for v in nodes:
-            volume[part[v]] = volume.get(part[v], 0.0) + weight[e]
-    whole = sum(volume.values())
-    terms = [(d, c, n * rule(d, c) * math.comb(d, c)) for d, n in by_size.items() for c in range(d // 2 + 1, d + 1) if rule(d, c)]
-
-    def tax(vol: float) -> float:
-        p = min(max(vol / whole, 0.0), 1.0)
-        return sum(x * p**c * (1 - p) ** (d - c) for d, c, x in terms)
-
-    def inside(v) -> float:
-        total = 0.0
-        for e in edges_of[v]:
-            count: dict = {}
-            for u in members[e]:
-                count[part[u]] = count.get(part[u], 0) + 1
-            top, d = max(count.values()), len(members[e])
-            total += weight[e] * rule(d, top) if top > d / 2 else 0.0
-        return total
-
-    rng, order = random.Random(seed), sorted(edges_of, key=str)
-    while True:
-        gained = 0.0
-        rng.shuffle(order)
-        for v in order:
-            own, strength, before = part[v], sum(weight[e] for e in edges_of[v]), inside(v)
-            best, best_gain = own, 0.1  # smaller gains may be errors of rounding
-            for m in sorted({part[u] for e in edges_of[v] for u in members[e]} - {own}, key=str):
-                part[v] = m
-                change = tax(volume.get(m, 0.0) + strength) - tax(volume.get(m, 0.0)) + tax(volume[own] - strength) - tax(volume[own])
-                gain = inside(v) - before - change
-                if gain > best_gain:
-                    best, best_gain = m, gain
-            part[v] = best
-            if best != own:
-                volume[best] = volume.get(best, 0.0) + strength
-                volume[own] -= strength
-                gained += best_gain
-        if gained / sum(weight.values()) < delta:
+    weights = cut_lineage(edge_weights(graph))
+    sized = graph.edge_sizes().join(weights, "edge")
+    sizes = sized.groupBy(F.col("size").alias("d")).agg(F.sum("w").alias("n"))
+    sizes = sizes.withColumn("c", F.explode(F.sequence(F.floor(F.col("d") / 2) + 1, F.col("d"))))
+    terms = bounded_rows(sizes.select("d", "c", (F.col("n") * wdc(F.col("d"), F.col("c"))).alias("v")), MOST_TERMS, "sizes of edges")
+    total, whole = sized.agg(F.sum("w"), F.sum(F.col("w") * F.col("size"))).first()
+    expected = _expected(terms, whole)
+    strength = cut_lineage(graph.pairs.join(weights, "edge").groupBy("node").agg(F.sum("w").alias("s")))
+    held = lambda c: F.when(c > F.col("d") / 2, wdc(F.col("d"), c)).otherwise(0.0)
+    parts = cut_lineage(part_table(graph, parts))
+    for _ in range(most_rounds):
+        placed = graph.pairs.join(parts, "node")
+        counts = cut_lineage(placed.groupBy("edge", "part").agg(F.count("*").alias("c")))
+        edges = counts.groupBy("edge").agg(F.sum("c").alias("d"), F.max(F.struct("c", "part")).alias("top")).join(weights, "edge")
+        leaving = F.when(F.col("top.part") == F.col("part"), held(F.col("top.c") - 1)).otherwise(held(F.col("top.c")))
+        cells = cut_lineage(placed.join(edges, "edge").select("edge", "node", F.col("part").alias("own"), "d", "w", leaving.alias("gone"), held(F.col("top.c")).alias("now")))
+        lost = cells.groupBy("node", "own").agg(F.sum(F.col("w") * (F.col("gone") - F.col("now"))).alias("lost"))
+        met = cells.join(counts, "edge").filter("part <> own")
+        joined = F.when(F.col("c") + 1 > F.col("d") / 2, held(F.col("c") + 1)).otherwise(F.col("gone"))
+        won = met.groupBy("node", "part").agg(F.sum(F.col("w") * (joined - F.col("gone"))).alias("won"))
+        volume = parts.join(strength, "node").groupBy("part").agg(F.sum("s").alias("volume"))
+        options = won.join(lost, "node").join(strength, "node").join(volume, "part").join(volume.toDF("own", "own_volume"), "own")
+        chance = expected(F.col("volume") + F.col("s")) - expected("volume") + expected(F.col("own_volume") - F.col("s")) - expected("own_volume")
+        best = options.withColumn("gain", F.col("won") + F.col("lost") - chance).filter(F.col("gain") > LEAST_GAIN)
+        best = cut_lineage(best.groupBy("node").agg(F.max(F.struct("gain", "part")).alias("best")).select("node", "best.gain", F.col("best.part").alias("to")))
+        ranked = graph.pairs.join(best, "node")
+        first = ranked.groupBy("edge").agg(F.max(F.struct("gain", "node")).alias("first"))
+        moves = ranked.join(first, "edge").groupBy("node").agg(F.min(F.col("first.node") == F.col("node")).alias("wins")).filter("wins")
+        moves = cut_lineage(moves.join(best, "node").select("node", "to", "gain"))
+        gained = moves.agg(F.coalesce(F.sum("gain"), F.lit(0.0))).first()[0]
+        parts = cut_lineage(parts.join(moves, "node", "left").select("node", F.coalesce("to", "part").alias("part")))
+        if gained / total < delta:
             break
-    return part_table(graph, part)
+    return parts

@@ -21,6 +21,13 @@ def bipartite_components(graph: HGraph) -> DataFrame:
 
     Linear in the incidences, where the line graph of one hub would be quadratic.
     """
+    kinds = [graph.incidences.schema[c].dataType.simpleString() for c in ("edge", "node")]
+    if all(k in ("bigint", "int", "smallint", "tinyint") for k in kinds):
+        far = graph.pairs.agg(*(f(F.col(c).cast("long")) for f in (F.min, F.max) for c in ("edge", "node"))).first()
+        if all(x is None or abs(x) < 1 << 62 for x in far):  # twice the id, plus the side, is a number for each
+            links = graph.pairs.select((F.col("edge").cast("long") * 2).alias("src"), (F.col("node").cast("long") * 2 + 1).alias("dst"))
+            found = stars.connected_components(links)
+            return found.select(F.pmod("id", F.lit(2)).cast("int").alias("level"), F.shiftright("id", 1).cast("string").alias("id"), "component")
     links = graph.pairs.select(F.concat(F.lit("0"), F.col("edge").cast("string")).alias("src"), F.concat(F.lit("1"), F.col("node").cast("string")).alias("dst"))
     found = stars.connected_components(links)
     return found.select(F.substring("id", 1, 1).cast("int").alias("level"), F.expr("substring(id, 2)").alias("id"), "component")

@@ -1,4 +1,4 @@
-"""Epidemics on hypergraphs: synchronous steps as tables, and event-driven simulation of replicates.
+"""Epidemics on hypergraphs, in synchronous steps and in leaps of continuous time, as tables.
 
 A transmission rule is a function of two columns, the size of an edge and how many others in it are infected
 (setgraph.functions.rules). Random numbers are hashes of seed, step and ids, so a run can be repeated, and a lost task
@@ -7,23 +7,16 @@ draws the same numbers again.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable, Iterable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SetGraphError
 from ..functions.rules import threshold
 from ..graph import HGraph, id_table
-from ..plans.guards import bounded_rows
 from ..plans.lineage import cut_lineage
 
-#: The most incidences of a graph whose events are simulated in one task.
-MOST_INCIDENCES = 2_000_000
-
-
 def _uniform(*parts) -> Column:
     """A number from 0 to 1 that depends on its parts."""
     return (F.pmod(F.xxhash64(*(p if isinstance(p, Column) else F.lit(p) for p in parts)), F.lit(1 << 50)) + 0.5) / (1 << 50)
@@ -62,15 +55,16 @@ def _rates(tau: Mapping[int, float]) -> Column:
     return F.coalesce(*(F.when(F.col("size") == d, F.lit(float(x))) for d, x in tau.items()), F.lit(0.0))
 
 
-def _discrete(graph, tau, gamma, rule, status, tmin, tmax, dt, seed, back_to, full, args, most_steps):
+def _discrete(graph, tau, gamma, rule, status, tmin, tmax, dt, seed, back_to, full, args, most_steps, leaps=False):
     status = cut_lineage(status)
     counts = _counts(status)
+    chance = (lambda rate: 1 - F.exp(-rate * dt)) if leaps else (lambda rate: rate * dt)
     trace, events, t, step = [(float(tmin), *counts)], [status.filter("status <> 'S'").select(F.lit(float(tmin)).alias("t"), "status", "node", F.lit(None).cast(graph.incidences.schema["edge"].dataType).alias("edge"))], tmin, 0
     while t < tmax and counts[1] and step < most_steps:
         force = transmission(graph, status, rule, **args)
-        hit = _uniform(seed, step, "infect", F.col("node"), F.col("edge")) <= _rates(tau) * F.col("force") * dt
+        hit = _uniform(seed, step, "infect", F.col("node"), F.col("edge")) <= chance(_rates(tau) * F.col("force"))
         infected = force.filter(hit).groupBy("node").agg(F.min("edge").alias("by"))
-        healed = _uniform(seed, step, "heal", F.col("node")) <= gamma * dt
+        healed = _uniform(seed, step, "heal", F.col("node")) <= chance(F.lit(float(gamma)))
         moved = status.join(infected, "node", "left")
         new = F.when((F.col("status") == "I") & healed, back_to).when((F.col("status") == "S") & F.col("by").isNotNull(), "I").otherwise(F.col("status"))
         moved = cut_lineage(moved.select("node", new.alias("new"), "status", "by"))
@@ -114,125 +108,20 @@ def discrete_SIS(  # noqa: N802
     return _discrete(graph, tau, gamma, transmission_function, status, tmin, tmax, dt, seed, "S", return_full_data, args, most_steps)
 
 
-class Weights:
-    """Non-negative weights of places 0..n-1, with sums and weighted draws in logarithmic time."""
-
-    def __init__(self, n: int):
-        self.n, self.tree, self.value = n, [0.0] * (n + 1), [0.0] * n
-
-    def set(self, at: int, weight: float) -> None:
-        change, self.value[at] = weight - self.value[at], weight
-        at += 1
-        while change and at <= self.n:
-            self.tree[at] += change
-            at += at & -at
-
-    def total(self) -> float:
-        out, at = 0.0, self.n
-        while at:
-            out += self.tree[at]
-            at -= at & -at
-        return max(out, 0.0)
-
-    def draw(self, rng: random.Random) -> int:
-        left, at, step = rng.random() * self.total(), 0, 1 << self.n.bit_length()
-        while step:
-            if at + step <= self.n and self.tree[at + step] <= left:
-                at += step
-                left -= self.tree[at]
-            step >>= 1
-        at = min(at, self.n - 1)
-        while not self.value[at]:  # rounding may lead to a place of weight 0
-            at = (at + 1) % self.n
-        return at
-
-
-def simulate_events(members: Mapping, force: Mapping, tau: Mapping, gamma: float, status: dict, tmin: float, tmax: float, back_to: str, seed: int) -> list[tuple]:
-    """(t, S, I, R) after each event of one replicate. force: the rule by (size, infected others)."""
-    rng = random.Random(seed)
-    edges, number = list(members), {}
-    edges_of: dict = {}
-    for at, e in enumerate(edges):
-        number[e] = at
-        for v in members[e]:
-            edges_of.setdefault(v, []).append(at)
-    size = [len(members[e]) for e in edges]
-    infected_in = [sum(status[v] == "I" for v in members[e]) for e in edges]
-    open_in = [sum(status[v] == "S" for v in members[e]) for e in edges]
-    rate = Weights(len(edges))
-
-    def refresh(at: int) -> None:
-        rate.set(at, tau.get(size[at], 0.0) * force.get((size[at], infected_in[at]), 0.0) * open_in[at])
-
-    for at in range(len(edges)):
-        refresh(at)
-    sick = [v for v, x in status.items() if x == "I"]
-    count = {x: sum(y == x for y in status.values()) for x in "SIR"}
-    t, trace = tmin, [(float(tmin), count["S"], count["I"], count["R"])]
-    while sick:
-        heal, infect = gamma * len(sick), rate.total()
-        if heal + infect <= 0:
-            break
-        t += rng.expovariate(heal + infect)
-        if t >= tmax:
-            break
-        if rng.random() * (heal + infect) < heal:
-            at = rng.randrange(len(sick))
-            v, sick[at] = sick[at], sick[-1]
-            sick.pop()
-            old, new = "I", back_to
-        else:
-            e = edges[rate.draw(rng)]
-            v = rng.choice([u for u in members[e] if status[u] == "S"])
-            sick.append(v)
-            old, new = "S", "I"
-        status[v] = new
-        count[old] -= 1
-        count[new] += 1
-        for at in edges_of[v]:
-            infected_in[at] += (new == "I") - (old == "I")
-            open_in[at] += (new == "S") - (old == "S")
-            refresh(at)
-        trace.append((t, count["S"], count["I"], count["R"]))
-    return trace
-
-
-def _gillespie(graph, tau, gamma, rule, status, tmin, tmax, back_to, seed, replicates, args) -> DataFrame:
-    spark = graph.spark
-    members: dict = {}
-    for r in bounded_rows(graph.pairs, MOST_INCIDENCES, "event simulation needs the graph in each task"):
-        members.setdefault(r["edge"], []).append(r["node"])
-    largest = max(map(len, members.values()), default=0)
-    grid = spark.range(1, largest + 1).select(F.col("id").alias("size"), F.explode(F.sequence(F.lit(0), F.col("id"))).alias("infected"))
-    force = {(r[0], r[1]): r[2] for r in grid.select("size", "infected", rule(F.col("size"), F.col("infected"), **args).cast("double")).collect()}
-    start = {r["node"]: r["status"] for r in status.collect()}
-    shared = spark.sparkContext.broadcast((members, force, dict(tau), start))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for replicate in rows["replicate"]:
-            m, f, rates, first = shared.value
-            trace = simulate_events(m, f, rates, gamma, dict(first), tmin, tmax, back_to, seed * 1_000_003 + int(replicate))
-            out.append(pd.DataFrame(trace, columns=["t", "S", "I", "R"]).assign(replicate=replicate))
-        return pd.concat(out)[["replicate", "t", "S", "I", "R"]]
-
-    found = spark.range(replicates).withColumnRenamed("id", "replicate").groupBy("replicate").applyInPandas(run, "replicate long, t double, S long, I long, R long")
-    return found.drop("R") if back_to == "S" else found
-
-
 def Gillespie_SIR(  # noqa: N802
     graph: HGraph, tau: Mapping[int, float], gamma: float, transmission_function: Callable[..., Column] = threshold, initial_infecteds=None,
-    initial_recovereds=None, rho=None, tmin: float = 0, tmax: float = float("inf"), seed: int = 0, replicates: int = 1, **args,
+    initial_recovereds=None, rho=None, tmin: float = 0, tmax: float = float("inf"), dt: float = 0.1, return_full_data: bool = False, seed: int = 0, most_steps: int = 10_000, **args,
 ) -> DataFrame:
-    """replicate, t, S, I, R after each event of independent runs in continuous time, a run a task."""
+    """t, S, I, R in continuous time, by leaps: for dt all rates stay what they are, and what happens at rate r happens
+    with probability 1 - exp(-r dt). The whole graph takes a leap at once; the smaller dt, the nearer to single events."""
     status = initial_status(graph, initial_infecteds, initial_recovereds, rho, seed)
-    return _gillespie(graph, tau, gamma, transmission_function, status, tmin, tmax, "R", seed, replicates, args)
+    return _discrete(graph, tau, gamma, transmission_function, status, tmin, tmax, dt, seed, "R", return_full_data, args, most_steps, leaps=True)
 
 
 def Gillespie_SIS(  # noqa: N802
     graph: HGraph, tau: Mapping[int, float], gamma: float, transmission_function: Callable[..., Column] = threshold, initial_infecteds=None,
-    rho=None, tmin: float = 0, tmax: float = 100, seed: int = 0, replicates: int = 1, **args,
+    rho=None, tmin: float = 0, tmax: float = 100, dt: float = 0.1, return_full_data: bool = False, seed: int = 0, most_steps: int = 10_000, **args,
 ) -> DataFrame:
-    """replicate, t, S, I: as Gillespie_SIR, but infected nodes become susceptible again."""
+    """t, S, I: as Gillespie_SIR, but infected nodes become susceptible again."""
     status = initial_status(graph, initial_infecteds, None, rho, seed)
-    return _gillespie(graph, tau, gamma, transmission_function, status, tmin, tmax, "S", seed, replicates, args)
+    return _discrete(graph, tau, gamma, transmission_function, status, tmin, tmax, dt, seed, "S", return_full_data, args, most_steps, leaps=True)

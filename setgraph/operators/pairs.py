@@ -96,30 +96,36 @@ def edge_neighbors(graph: HGraph, edge, s: int = 1) -> list:
 
 def containment(graph: HGraph, collapse: bool = True) -> DataFrame:
     """src, dst: edges and the edges that they are within. Equal edges are linked, the lesser id to the greater, only
-    where collapse is false; else of each class of equal edges the least stands for all."""
-    sizes = graph.edge_sizes()
+    where collapse is false; else of each class of equal edges the least stands for all.
+
+    An edge's supersets all hold its rarest node, so it meets the edges of that node only. A set of 64 bits for each
+    edge drops most of those; what is left is compared node by node.
+    """
     if collapse:
         from .transforms import class_map, restrict_to_edges
 
-        least = class_map(graph, EDGES).select(F.col("rep").alias("edge")).distinct()
-        graph = restrict_to_edges(graph, least)
-    pairs = pair_counts(graph, EDGES)
-    sized = pairs.join(sizes.toDF("src", "n_src"), "src").join(sizes.toDF("dst", "n_dst"), "dst")
-    within = F.col("overlap") == F.least("n_src", "n_dst")
-    up = F.col("n_src") <= F.col("n_dst")
-    found = sized.filter(within).select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("dst"))
-    return found
+        graph = restrict_to_edges(graph, class_map(graph, EDGES).select(F.col("rep").alias("edge")).distinct())
+    degrees = graph.pairs.groupBy("node").agg(F.count("*").alias("degree"))
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(node), 64) as int))")
+    rarest = F.min(F.struct("degree", "node"))["node"]
+    sets = graph.pairs.join(degrees, "node").groupBy("edge").agg(F.count("*").alias("n"), F.bit_or(bit).alias("bits"), rarest.alias("node"))
+    small = sets.select("node", F.col("edge").alias("src"), F.col("n").alias("n_src"), F.col("bits").alias("bits_src"))
+    large = graph.pairs.join(sets.drop("node"), "edge").select("node", F.col("edge").alias("dst"), F.col("n").alias("n_dst"), F.col("bits").alias("bits_dst"))
+    fits = (F.col("n_src") < F.col("n_dst")) | ((F.col("n_src") == F.col("n_dst")) & (F.col("src") < F.col("dst")))
+    likely = small.join(large, "node").filter(fits & (F.col("bits_src").bitwiseAND(F.bitwise_not("bits_dst")) == 0))
+    sure = likely.filter("n_src = 1").select("src", "dst")
+    elements = graph.elements()
+    open_pairs = likely.filter("n_src > 1").select("src", "dst").join(elements.toDF("src", "nodes_src"), "src").join(elements.toDF("dst", "nodes_dst"), "dst")
+    return sure.unionByName(open_pairs.filter(F.size(F.array_except("nodes_src", "nodes_dst")) == 0).select("src", "dst"))
 
 
 def toplexes(graph: HGraph) -> DataFrame:
     """Edges that are within no other edge; of equal edges the least."""
-    inside = containment(graph, collapse=False).select(F.col("src").alias("edge"), F.col("dst").alias("over"))
-    sizes = graph.edge_sizes()
-    sized = inside.join(sizes, "edge").join(sizes.toDF("over", "n_over"), "over")
-    # Of two equal edges the greater id gives way, so the link of the lesser to the greater says that of the greater.
-    strictly = sized.filter(F.col("size") < F.col("n_over")).select("edge")
-    equal = sized.filter(F.col("size") == F.col("n_over")).select(F.greatest("edge", "over").alias("edge"))
-    return graph.incidences.select("edge").distinct().join(strictly.unionByName(equal).distinct(), "edge", "left_anti")
+    from .transforms import class_map, restrict_to_edges
+
+    least = class_map(graph, EDGES).select(F.col("rep").alias("edge")).distinct()
+    inside = containment(restrict_to_edges(graph, least), collapse=False).select(F.col("src").alias("edge")).distinct()
+    return least.join(inside, "edge", "left_anti")
 
 
 def toplex_graph(graph: HGraph, name: str | None = None) -> HGraph:

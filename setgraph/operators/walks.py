@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..errors import SetGraphError
 from ..graph import HGraph
-from ..plans.guards import bounded_rows
 from ..plans.lineage import cut_lineage
 from .connectivity import is_connected
 
@@ -56,50 +55,39 @@ def stationary(graph: HGraph) -> DataFrame:
     return degrees.select(F.col("node").alias("id"), (F.col("degree") / F.lit(total)).alias("pi"))
 
 
-def norm_lap(graph: HGraph, weights: bool = False) -> DataFrame:
+def norm_lap(graph: HGraph, weights: bool = False, check_connected: bool = True) -> DataFrame:
     """row, col, value of I - (Pi^1/2 P Pi^-1/2 + its transpose) / 2; zeros are left out.
 
-    Without weights it is, in one self-join, 1 on the diagonal less the sum over common edges of
-    1 / (size sqrt(degree degree)).
+    Without weights it is 1 on the diagonal less the sum over common edges of 1 / (size sqrt(degree degree)); pairs of
+    nodes are met once, and mirrored.
     """
-    if not is_connected(graph):
+    if check_connected and not is_connected(graph):
         raise SetGraphError("the graph isn't connected")
+    if not weights:
+        shared = graph.pairs.join(graph.edge_sizes(), "edge").select("edge", "node", (1 / F.col("size")).alias("x"))
+        nodes = shared.groupBy("node").agg(F.count("*").alias("degree"), F.sum("x").alias("own"))
+        a, b = shared.select("edge", F.col("node").alias("row"), "x"), shared.select("edge", F.col("node").alias("col"))
+        met = a.join(b, "edge").filter("row < col").groupBy("row", "col").agg(F.sum("x").alias("x"))
+        met = met.join(nodes.select(F.col("node").alias("row"), F.col("degree").alias("d_row")), "row").join(nodes.select(F.col("node").alias("col"), F.col("degree").alias("d_col")), "col")
+        half = met.select("row", "col", (-F.col("x") / F.sqrt(F.col("d_row") * F.col("d_col"))).alias("value"))
+        diagonal = nodes.select(F.col("node").alias("row"), F.col("node").alias("col"), (1 - F.col("own") / F.col("degree")).alias("value"))
+        return diagonal.unionByName(half).unionByName(half.select(F.col("col").alias("row"), F.col("row").alias("col"), "value")).filter(F.abs("value") > 1e-15)
+    p = prob_trans(graph, weights=True, check_connected=False)
+    pi = get_pi(p)
+    half = p.join(pi.toDF("src", "pi_src"), "src").join(pi.toDF("dst", "pi_dst"), "dst")
+    half = half.select(F.col("src").alias("row"), F.col("dst").alias("col"), (-F.sqrt(F.col("pi_src") / F.col("pi_dst")) * F.col("p") / 2).alias("value"))
+    off = half.unionByName(half.select(F.col("col").alias("row"), F.col("row").alias("col"), "value"))
     ids = graph.incidences.select(F.col("node").alias("row")).distinct()
     diagonal = ids.select("row", F.col("row").alias("col"), F.lit(1.0).alias("value"))
-    if not weights:
-        sized = graph.pairs.join(graph.edge_sizes(), "edge").join(graph.node_degrees(), "node")
-        a = sized.select("edge", "size", F.col("node").alias("row"), F.col("degree").alias("d_row"))
-        b = sized.select("edge", F.col("node").alias("col"), F.col("degree").alias("d_col"))
-        off = a.join(b, "edge").groupBy("row", "col").agg((-F.sum(1 / (F.col("size") * F.sqrt(F.col("d_row") * F.col("d_col"))))).alias("value"))
-    else:
-        p = prob_trans(graph, weights=True, check_connected=False)
-        pi = get_pi(p)
-        half = p.join(pi.toDF("src", "pi_src"), "src").join(pi.toDF("dst", "pi_dst"), "dst")
-        half = half.select(F.col("src").alias("row"), F.col("dst").alias("col"), (-F.sqrt(F.col("pi_src") / F.col("pi_dst")) * F.col("p") / 2).alias("value"))
-        off = half.unionByName(half.select(F.col("col").alias("row"), F.col("row").alias("col"), "value"))
     return diagonal.unionByName(off).groupBy("row", "col").agg(F.sum("value").alias("value")).filter(F.abs("value") > 1e-15)
 
 
-def spec_clus(graph: HGraph, k: int, existing_lap: DataFrame | None = None, weights: bool = False, seed: int = 0, most_nodes: int = 5000, rounds: int = 200) -> DataFrame:
-    """node, cluster: k-means of the rows of the k leading eigenvectors of I - L.
-
-    Up to most_nodes nodes are solved densely on the driver; beyond that by orthogonal iteration over the table.
-    """
+def spec_clus(graph: HGraph, k: int, existing_lap: DataFrame | None = None, weights: bool = False, seed: int = 0, rounds: int = 30) -> DataFrame:
+    """node, cluster: k-means of the rows of the k leading eigenvectors of I - L, found by orthogonal iteration over the table."""
     lap = (norm_lap(graph, weights) if existing_lap is None else existing_lap).persist()
     ids = lap.select(F.col("row").alias("id")).distinct()
-    n = ids.count()
-    k = min(k, n)
-    if n <= most_nodes:
-        names = sorted(r[0] for r in ids.collect())
-        at = {x: i for i, x in enumerate(names)}
-        dense = np.eye(n)
-        for r in bounded_rows(lap, most_nodes * most_nodes, "a dense Laplacian"):
-            dense[at[r["row"]], at[r["col"]]] = (r["row"] == r["col"]) - r["value"]
-        _, vectors = np.linalg.eigh((dense + dense.T) / 2)
-        rows = [(x, v.tolist()) for x, v in zip(names, vectors[:, -k:], strict=True)]
-        embedded = ids.sparkSession.createDataFrame(rows, f"id {ids.schema['id'].dataType.simpleString()}, v array<double>")
-    else:
-        embedded = _orthogonal_iteration(lap, ids, k, seed, rounds)
+    k = min(k, ids.count())
+    embedded = _orthogonal_iteration(lap, ids, k, seed, rounds)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     rows = embedded.select("id", array_to_vector(F.when(norm > 0, F.transform("v", lambda x: x / norm)).otherwise(F.col("v"))).alias("features"))
     found = KMeans(k=k, seed=seed).fit(rows).transform(rows)

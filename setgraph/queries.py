@@ -1,7 +1,7 @@
 """Queries on the test tables: each operator applied to a whole hypergraph, with the same result in DuckDB's SQL.
 
 Graphs: order_part (edges are orders, nodes parts, weights summed quantities), part_supplier (edges are parts),
-user_event (edges are users, nodes event types).
+user_event (edges are users, nodes event types), order_line (edges are orders, nodes lines), nation_supplier.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 _GRAPHS = """inc AS (SELECT l_orderkey AS edge, l_partkey AS node, sum(l_quantity)::DOUBLE AS weight FROM lineitem GROUP BY ALL),
 ps AS (SELECT l_partkey AS edge, l_suppkey AS node, count(*)::DOUBLE AS weight FROM lineitem GROUP BY ALL),
+ln AS (SELECT DISTINCT l_orderkey AS edge, l_orderkey * 8 + l_linenumber AS node FROM lineitem),
+nat AS (SELECT DISTINCT s_nationkey AS edge, s_suppkey AS node FROM supplier),
 ue AS (SELECT user_id AS edge, event_type AS node, count(*)::DOUBLE AS weight FROM events GROUP BY ALL),
 sizes AS (SELECT edge, count(*) AS size FROM inc GROUP BY edge),
 degrees AS (SELECT node, count(*) AS degree FROM inc GROUP BY node)"""
@@ -67,10 +69,15 @@ def user_event(spark: SparkSession, sf_dir: str) -> HGraph:
     return _graph(_read(spark, sf_dir, "events"), "user_id", "event_type", None)
 
 
-def small_orders(spark: SparkSession, sf_dir: str) -> HGraph:
-    """order_part with orders of at most three parts."""
-    graph = order_part(spark, sf_dir)
-    return graph.restrict_to_edges(graph.edge_sizes().filter("size <= 3"))
+def order_line(spark: SparkSession, sf_dir: str) -> HGraph:
+    """Edges are orders, nodes their lines, each of which is in one order."""
+    lines = _read(spark, sf_dir, "lineitem").withColumn("line", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return _graph(lines, "l_orderkey", "line", None)
+
+
+def nation_supplier(spark: SparkSession, sf_dir: str) -> HGraph:
+    """Edges are nations, nodes suppliers: a component for each nation."""
+    return _graph(_read(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", None)
 
 
 def part_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,14 +210,51 @@ def remove_incidences(spark, sf_dir):
     return graph.remove_incidences(graph.pairs.filter("(edge + node) % 3 = 0")).pairs
 
 
-@query(
-    """, f AS (SELECT i.* FROM inc i JOIN orders ON o_orderkey = edge JOIN sizes USING (edge) WHERE size = 1 AND edge % 10 = 0)
-    SELECT edge FROM f WHERE edge IN (SELECT edge FROM f GROUP BY edge HAVING count(*) = 1) AND node IN (SELECT node FROM f GROUP BY node HAVING count(*) = 1)"""
-)
+_SINGLE = ", single AS (SELECT min(edge) AS edge FROM ln WHERE edge IN (SELECT edge FROM ln GROUP BY edge HAVING count(*) = 1) GROUP BY node HAVING node IN (SELECT node FROM ln GROUP BY node HAVING count(*) = 1))"
+
+
+@query(_SINGLE + " SELECT edge FROM single")
 def singletons(spark, sf_dir):
+    return order_line(spark, sf_dir).singletons()
+
+
+@query(_SINGLE + " SELECT edge, node FROM ln WHERE edge NOT IN (SELECT edge FROM single)")
+def remove_singletons(spark, sf_dir):
+    return order_line(spark, sf_dir).remove_singletons().pairs
+
+
+@query("SELECT edge, node FROM inc JOIN orders ON o_orderkey = edge WHERE o_orderstatus <> 'F'")
+def remove_edges(spark, sf_dir):
+    gone = _read(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("edge"))
+    return order_part(spark, sf_dir).remove_edges(gone).pairs
+
+
+@query("SELECT o_orderkey AS uid, 1.0::DOUBLE AS weight FROM orders JOIN sizes ON edge = o_orderkey WHERE o_orderkey NOT BETWEEN 1 AND 3 UNION ALL SELECT edge, 2.5 FROM sizes WHERE edge BETWEEN 1 AND 3")
+def add_edges(spark, sf_dir):
+    """Property rows for three edges; an edge without an incidence stays unseen."""
+    graph = order_part(spark, sf_dir).add_edges_from([(i, {"weight": 2.5}) for i in (1, 2, 3)]).add_edge(-1, weight=9.0)
+    return graph.edges.dataframe().select("uid", "weight")
+
+
+@query("SELECT node AS uid, CASE WHEN node BETWEEN 1 AND 3 THEN 2.5 ELSE 1.0 END::DOUBLE AS weight FROM degrees")
+def add_nodes(spark, sf_dir):
+    graph = order_part(spark, sf_dir).add_nodes_from([(i, {"weight": 2.5}) for i in (1, 2, 3)]).add_node(-1, weight=9.0)
+    return graph.nodes.dataframe().select("uid", "weight")
+
+
+@query("SELECT edge, node, weight FROM inc WHERE edge <> 1 OR node <> 1 UNION ALL SELECT 1, 1, 7.0 UNION ALL SELECT -1, 5, 1.0 UNION ALL SELECT -1, 6, 1.0")
+def add_incidences(spark, sf_dir):
+    """A new edge of two nodes, and one incidence with a weight."""
+    graph = order_part(spark, sf_dir).add_incidence(1, 1, weight=7.0).add_nodes_to_edges({-1: [5, 6]})
+    return graph.incidences.select("edge", "node", "weight")
+
+
+@query("SELECT edge, node, weight FROM inc UNION ALL SELECT edge, -1 - node, 2.0 FROM sizes JOIN inc USING (edge) WHERE size = 1")
+def add_incidence_table(spark, sf_dir):
     graph = order_part(spark, sf_dir)
-    lone = graph.restrict_to_edges(graph.edge_sizes().filter("size = 1 AND edge % 10 = 0").select("edge"))
-    return lone.singletons()
+    single = graph.incidences.join(graph.edge_sizes().filter("size = 1"), "edge", "left_semi")
+    more = single.select("edge", (-1 - F.col("node")).alias("node"), F.lit(2.0).alias("weight"), "misc")
+    return graph.add_incidences_from(more).incidences.select("edge", "node", "weight")
 
 
 _KEYS = ", k AS (SELECT edge, string_agg(node::VARCHAR, ',' ORDER BY node) AS key FROM inc GROUP BY edge)"
@@ -234,6 +278,16 @@ def collapse_nodes(spark, sf_dir):
     return user_event(spark, sf_dir).collapse_nodes(return_counts=False).incidences.select("edge", "node", "weight")
 
 
+@query(
+    """, nk AS (SELECT node, string_agg(edge::VARCHAR, ',' ORDER BY edge) AS key FROM ue GROUP BY node), nc AS (SELECT node, min(node) OVER (PARTITION BY key) AS rep FROM nk),
+    u AS (SELECT edge, rep AS node, sum(weight) AS weight FROM ue JOIN nc USING (node) GROUP BY ALL),
+    ek AS (SELECT edge, string_agg(node, ',' ORDER BY node) AS key FROM u GROUP BY edge), ec AS (SELECT edge, min(edge) OVER (PARTITION BY key) AS rep FROM ek)
+    SELECT rep AS edge, node, sum(weight) AS weight FROM u JOIN ec USING (edge) GROUP BY rep, node"""
+)
+def collapse_nodes_and_edges(spark, sf_dir):
+    return user_event(spark, sf_dir).collapse_nodes_and_edges(return_counts=False).incidences.select("edge", "node", "weight")
+
+
 @query(", t AS (SELECT edge // 10 AS edge, node, edge AS was, weight FROM inc) SELECT edge, node, min_by(weight, was) AS weight FROM t GROUP BY ALL")
 def rename_edges(spark, sf_dir):
     graph = order_part(spark, sf_dir)
@@ -400,36 +454,99 @@ def stationary_closed_form(spark, sf_dir):
     return walks.stationary(order_part(spark, sf_dir)).withColumn("pi", F.round("pi", 9))
 
 
+@query("SELECT node AS id, round(count(*) / (SELECT count(*) FROM ue), 6) AS pi FROM ue GROUP BY node")
+def get_pi(spark, sf_dir):
+    """By power iteration; it has a closed form for the walk without weights."""
+    graph = user_event(spark, sf_dir)
+    return walks.get_pi(walks.prob_trans(graph)).withColumn("pi", F.round("pi", 6))
+
+
+@query("SELECT 'edge_size' AS what, size AS value, count(*) AS n FROM sizes GROUP BY size UNION ALL SELECT 'degree', degree, count(*) FROM degrees GROUP BY degree")
+def dist_stats(spark, sf_dir):
+    found = reports.dist_stats(order_part(spark, sf_dir))
+    rows = [(what, value, n) for what in ("edge_size", "degree") for value, n in found[f"{what}_hist"].items()]
+    return spark.createDataFrame(rows, "what string, value long, n long")
+
+
+@query("SELECT min(degree)::DOUBLE AS least, max(degree)::DOUBLE AS most, round(avg(degree), 6) AS mean, median(degree)::DOUBLE AS middle, round(stddev_pop(degree), 6) AS spread FROM degrees")
+def centrality_stats(spark, sf_dir):
+    row = reports.centrality_stats(order_part(spark, sf_dir).node_degrees(), "degree")
+    found = spark.createDataFrame([tuple(row)], "least double, most double, mean double, middle double, spread double")
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "spread")})
+
+
+@query("SELECT count(*) AS n, min(size) - 1 AS least, max(size) - 1 AS most FROM sizes")
+def dims(spark, sf_dir):
+    return order_part(spark, sf_dir).edge_sizes().agg(F.count("*").alias("n"), (F.min("size") - 1).alias("least"), (F.max("size") - 1).alias("most"))
+
+
+@query("SELECT (SELECT count(*) FROM sizes) AS edges, (SELECT count(*) FROM degrees) AS nodes")
+def dimensions(spark, sf_dir):
+    graph = order_part(spark, sf_dir)
+    return spark.createDataFrame([(graph.dimensions()[0], graph.order())], "edges long, nodes long")
+
+
+@query("SELECT edge, node, weight FROM ue")
+def hif_round_trip(spark, sf_dir):
+    """To the interchange document and back."""
+    return interchange.from_hif(spark, interchange.to_hif(user_event(spark, sf_dir))).incidences.select("edge", "node", "weight")
+
+
+@query("SELECT edge, node FROM inc")
+def bipartite_round_trip(spark, sf_dir):
+    """To a bipartite graph and back."""
+    vertices, links = order_part(spark, sf_dir).bipartite()
+    vertices = vertices.select(F.concat_ws(":", "side", "id").alias("id"), F.col("side").alias("bipartite"))
+    named = links.select(F.concat(F.lit("0:"), F.col("edge").cast("string")).alias("src"), F.concat(F.lit("1:"), F.col("node").cast("string")).alias("dst"))
+    back = build.from_bipartite(vertices, named)
+    return back.pairs.select(*(F.substring_index(c, ":", -1).cast("long").alias(c) for c in ("edge", "node")))
+
+
+@query("SELECT edge, node FROM ue")
+def dict_round_trip(spark, sf_dir):
+    """To a dict of lists and back, the constructor choosing by kind."""
+    lists = {r["edge"]: r["nodes"] for r in user_event(spark, sf_dir).elements().collect()}
+    return build.hypergraph(spark, lists).pairs
+
+
+@query("SELECT edge, node, weight FROM inc")
+def matrix_round_trip(spark, sf_dir):
+    """To a matrix in long form and back."""
+    graph = order_part(spark, sf_dir)
+    cells, nodes, edges = pairs.incidence_matrix(graph, weights=True)
+    back = build.from_long_matrix(cells).incidences.select(F.col("edge").alias("j"), F.col("node").alias("i"), "weight")
+    return back.join(nodes.withColumnRenamed("idx", "i"), "i").join(edges.withColumnRenamed("idx", "j"), "j").select("edge", "node", "weight")
+
+
 @query(
     """, o AS (SELECT a.node AS "row", b.node AS col, -sum(1.0 / (size * sqrt(da.degree * db.degree))) AS v FROM inc a JOIN inc b ON a.edge = b.edge JOIN sizes s ON s.edge = a.edge
     JOIN degrees da ON da.node = a.node JOIN degrees db ON db.node = b.node GROUP BY ALL)
     SELECT "row", col, round(v + CASE WHEN "row" = col THEN 1 ELSE 0 END, 6) AS value FROM o WHERE abs(v + CASE WHEN "row" = col THEN 1 ELSE 0 END) > 1e-15"""
 )
 def norm_lap(spark, sf_dir):
-    return walks.norm_lap(order_part(spark, sf_dir)).withColumn("value", F.round("value", 6))
+    return walks.norm_lap(order_part(spark, sf_dir), check_connected=False).withColumn("value", F.round("value", 6))
 
 
 # -- homology, rows, rules ----------------------------------------------------------------------------------------
 
-_SMALL = ", so AS (SELECT inc.* FROM inc JOIN sizes USING (edge) WHERE size <= 3)"
-_CELLS = _SMALL + """, c1 AS (SELECT DISTINCT a.node AS x, b.node AS y FROM so a JOIN so b ON a.edge = b.edge AND a.node < b.node),
+_CELLS = """, so AS (SELECT edge, node FROM inc), c1 AS (SELECT DISTINCT a.node AS x, b.node AS y FROM so a JOIN so b ON a.edge = b.edge AND a.node < b.node),
 c2 AS (SELECT DISTINCT a.node AS x, b.node AS y, c.node AS z FROM so a JOIN so b ON a.edge = b.edge AND a.node < b.node JOIN so c ON c.edge = a.edge AND b.node < c.node),
 i1 AS (SELECT *, row_number() OVER (ORDER BY x, y) - 1 AS idx FROM c1), i2 AS (SELECT *, row_number() OVER (ORDER BY x, y, z) - 1 AS idx FROM c2),
-b2 AS (SELECT i1.idx AS "row", i2.idx AS col FROM i2 JOIN i1 ON (i1.x = i2.x AND i1.y = i2.y) OR (i1.x = i2.x AND i1.y = i2.z) OR (i1.x = i2.y AND i1.y = i2.z))"""
+b2 AS (SELECT i1.idx AS "row", i2.idx AS col FROM i2 JOIN i1 ON i1.x = i2.x AND i1.y = i2.y UNION ALL SELECT i1.idx, i2.idx FROM i2 JOIN i1 ON i1.x = i2.x AND i1.y = i2.z UNION ALL SELECT i1.idx, i2.idx FROM i2 JOIN i1 ON i1.x = i2.y AND i1.y = i2.z)"""
 
 
 @query(_CELLS + " SELECT x || ',' || y AS cell FROM c1")
 def kchains_1(spark, sf_dir):
-    return homology.kchainbasis(small_orders(spark, sf_dir), 1).select(_joined("cell").alias("cell"))
+    return homology.kchainbasis(order_part(spark, sf_dir), 1).select(_joined("cell").alias("cell"))
 
 
 @query(_CELLS + " SELECT x || ',' || y || ',' || z AS cell FROM c2")
 def kchains_2(spark, sf_dir):
-    return homology.kchainbasis(small_orders(spark, sf_dir), 2).select(_joined("cell").alias("cell"))
+    return homology.kchainbasis(order_part(spark, sf_dir), 2).select(_joined("cell").alias("cell"))
 
 
 def _boundary(spark, sf_dir, k: int) -> DataFrame:
-    graph = small_orders(spark, sf_dir)
+    graph = order_part(spark, sf_dir)
     return homology.boundary(homology.indexed_cells(graph, k - 1), homology.indexed_cells(graph, k))
 
 
@@ -515,12 +632,36 @@ _LINKS2 = _EDGE_PAIRS + ", l AS (SELECT src, dst FROM ep WHERE overlap >= 2 UNIO
 _REACH2 = _LINKS2 + ", r(x, y) AS (SELECT edge, edge FROM sizes UNION SELECT x, dst FROM r JOIN l ON src = y), comp AS (SELECT x AS id, min(y) AS component FROM r GROUP BY x)"
 
 
-@query("SELECT node AS id, (SELECT min(node) FROM inc) AS component FROM degrees")
+@query("SELECT node AS id, min(node) OVER (PARTITION BY edge) AS component FROM nat")
 def components_s1(spark, sf_dir):
+    return connectivity.component_labels(nation_supplier(spark, sf_dir), 1, edges=False)
+
+
+@query("SELECT node AS id, (SELECT min(node) FROM inc) AS component FROM degrees")
+def components_s1_connected(spark, sf_dir):
     """The nodes of this graph are one component at every scale."""
     return connectivity.component_labels(order_part(spark, sf_dir), 1, edges=False)
 
 
+@query("SELECT edge, string_agg(node::VARCHAR, ',' ORDER BY node) AS members FROM nat GROUP BY edge")
+def connected_components(spark, sf_dir):
+    found = nation_supplier(spark, sf_dir).connected_components()
+    nation = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("component"), F.col("s_nationkey").alias("edge"))
+    return found.join(nation, "component").select("edge", _joined("members").alias("members"))
+
+
+@query(", c AS (SELECT count(*) AS size FROM nat GROUP BY edge) SELECT size, count(*) AS n FROM c GROUP BY size")
+def comp_dist(spark, sf_dir):
+    return reports.comp_dist(nation_supplier(spark, sf_dir), aggregated=True)
+
+
+@query("SELECT false AS nations, true AS orders, false AS orders_s9")
+def is_connected(spark, sf_dir):
+    orders = order_part(spark, sf_dir)
+    row = (nation_supplier(spark, sf_dir).is_connected(), orders.is_connected(), orders.is_connected(9))
+    return spark.createDataFrame([row], "nations boolean, orders boolean, orders_s9 boolean")
+
+
 @query(_REACH2 + " SELECT id, component FROM comp")
 def components_s2(spark, sf_dir):
     return connectivity.component_labels(order_part(spark, sf_dir), 2)
@@ -536,43 +677,81 @@ def component_subgraphs_s2(spark, sf_dir):
     return connectivity.labelled_incidences(order_part(spark, sf_dir), 2).select("edge", "node", "component")
 
 
-# Walks of up to 64 steps in components of up to 60 edges; distances are shortest.
-_DIST2 = _REACH2 + """, big AS (SELECT component FROM comp GROUP BY component HAVING count(*) BETWEEN 2 AND 60), v AS (SELECT id FROM comp JOIN big USING (component)),
-b(src, dst, d) AS (SELECT id, id, 0 FROM v UNION SELECT b.src, l.dst, d + 1 FROM b JOIN l ON l.src = b.dst WHERE d < 20),
+# Walks of up to 40 steps, more than any shortest one has; an edge without s-neighbours has no distance.
+_DIST2 = _REACH2 + """, v AS (SELECT id FROM comp),
+b(src, dst, d) AS (SELECT id, id, 0 FROM v UNION SELECT b.src, l.dst, d + 1 FROM b JOIN l ON l.src = b.dst WHERE d < 40),
 dist AS (SELECT src, dst, min(d) AS d FROM b GROUP BY ALL HAVING src <> dst)"""
 
 
-def _medium(spark, sf_dir) -> HGraph:
-    """order_part with the orders of 2-components of 2 to 60 orders."""
-    graph = order_part(spark, sf_dir)
-    labels = connectivity.component_labels(graph, 2)
-    sizes = labels.groupBy("component").count().filter("count BETWEEN 2 AND 60")
-    return graph.restrict_to_edges(labels.join(sizes, "component").select("id"))
-
-
 @query(_DIST2 + " SELECT src, dst, d::BIGINT AS distance FROM dist")
 def distances_s2(spark, sf_dir):
-    return connectivity.s_distances(_medium(spark, sf_dir), 2)[1]
+    return connectivity.s_distances(order_part(spark, sf_dir), 2)[1]
 
 
-@query(_DIST2 + " SELECT src AS id, round(count(*) / sum(d), 6) AS value FROM dist GROUP BY src")
+@query(_DIST2 + " SELECT id, round(coalesce(count(d) / sum(d), 0), 6) AS value FROM v LEFT JOIN dist ON src = id GROUP BY id")
 def closeness_s2(spark, sf_dir):
-    return centrality.s_closeness_centrality(_medium(spark, sf_dir), 2).withColumn("value", F.round("value", 6))
+    return centrality.s_closeness_centrality(order_part(spark, sf_dir), 2).withColumn("value", F.round("value", 6))
 
 
-@query(_DIST2 + " SELECT src AS id, round(sum(1 / d), 6) AS value FROM dist GROUP BY src")
+@query(_DIST2 + " SELECT id, round(coalesce(sum(1 / d), 0), 6) AS value FROM v LEFT JOIN dist ON src = id GROUP BY id")
 def harmonic_s2(spark, sf_dir):
-    return centrality.s_harmonic_centrality(_medium(spark, sf_dir), 2).withColumn("value", F.round("value", 6))
+    return centrality.s_harmonic_centrality(order_part(spark, sf_dir), 2).withColumn("value", F.round("value", 6))
 
 
-@query(_DIST2 + " SELECT component, max(d)::BIGINT AS diameter FROM dist JOIN comp ON id = src GROUP BY component")
+@query(_DIST2 + " SELECT component, coalesce(max(d), 0)::BIGINT AS diameter FROM comp LEFT JOIN dist ON id = src GROUP BY component")
 def diameters_s2(spark, sf_dir):
-    return connectivity.component_diameters(_medium(spark, sf_dir), 2, edges=True).select("component", "diameter")
+    return connectivity.component_diameters(order_part(spark, sf_dir), 2, edges=True).select("component", "diameter")
 
 
-@query()
+_PATHS2 = _DIST2 + """, p(src, dst, d, n) AS (SELECT id, id, 0, 1.0::DOUBLE FROM v UNION ALL
+SELECT src, dst, d, sum(n) FROM (SELECT p.src, l.dst, p.d + 1 AS d, p.n FROM p JOIN l ON l.src = p.dst JOIN dist x ON x.src = p.src AND x.dst = l.dst AND x.d = p.d + 1) GROUP BY ALL),
+through AS (SELECT a.dst AS id, sum(a.n * b.n / c.n) / 2 AS raw FROM p a JOIN p b ON b.src = a.dst JOIN p c ON c.src = a.src AND c.dst = b.dst AND c.d = a.d + b.d WHERE a.d > 0 AND b.d > 0 GROUP BY a.dst)"""
+
+
+@query(_PATHS2 + " SELECT v.id, round(coalesce(raw, 0) * 2 / ((SELECT count(*) - 1.0 FROM v) * (SELECT count(*) - 2 FROM v)), 12) AS value FROM v LEFT JOIN through USING (id)")
 def betweenness_s2(spark, sf_dir):
-    return centrality.s_betweenness_centrality(_medium(spark, sf_dir), 2)
+    return centrality.s_betweenness_centrality(order_part(spark, sf_dir), 2).withColumn("value", F.round("value", 12))
+
+
+def _ends(graph: HGraph, column: str) -> tuple:
+    row = graph.pairs.agg(F.min(column), F.max(column)).first()
+    return row[0], row[1]
+
+
+_NODE_WALK = _NODE_PAIRS + """, nl AS (SELECT src, dst FROM np UNION ALL SELECT dst, src FROM np), ends AS (SELECT min(node) AS a, max(node) AS z FROM inc),
+w(id, d) AS (SELECT a, 0 FROM ends UNION SELECT nl.dst, d + 1 FROM w JOIN nl ON nl.src = w.id WHERE d < 6)"""
+
+
+@query(_NODE_WALK + " SELECT min(d)::BIGINT AS distance FROM w JOIN ends ON id = z")
+def node_distance(spark, sf_dir):
+    """Between the least and the greatest node."""
+    graph = order_part(spark, sf_dir)
+    return spark.createDataFrame([(graph.distance(*_ends(graph, "node")),)], "distance long")
+
+
+_EDGE_WALK = _EDGE_PAIRS + """, el AS (SELECT src, dst FROM ep UNION ALL SELECT dst, src FROM ep), ends AS (SELECT min(edge) AS a, max(edge) AS z FROM inc),
+w(id, d) AS (SELECT a, 0 FROM ends UNION SELECT el.dst, d + 1 FROM w JOIN el ON el.src = w.id WHERE d < 6)"""
+
+
+@query(_EDGE_WALK + " SELECT min(d)::BIGINT AS distance FROM w JOIN ends ON id = z")
+def edge_distance(spark, sf_dir):
+    graph = order_part(spark, sf_dir)
+    return spark.createDataFrame([(graph.edge_distance(*_ends(graph, "edge")),)], "distance long")
+
+
+_SUPPLIERS = """, sp AS (SELECT DISTINCT a.node AS src, b.node AS dst FROM ps a JOIN ps b ON a.edge = b.edge AND a.node <> b.node), sv AS (SELECT DISTINCT node AS id FROM ps),
+sb(src, dst, d) AS (SELECT id, id, 0 FROM sv UNION SELECT sb.src, sp.dst, d + 1 FROM sb JOIN sp ON sp.src = sb.dst WHERE d < 6), sd AS (SELECT src, dst, min(d) AS d FROM sb GROUP BY ALL)"""
+
+
+@query(_SUPPLIERS + " SELECT src AS id, max(d)::BIGINT AS value FROM sd GROUP BY src")
+def eccentricity(spark, sf_dir):
+    """Of suppliers that share parts."""
+    return centrality.s_eccentricity(part_supplier(spark, sf_dir), 1, edges=False).withColumn("value", F.col("value").cast("long"))
+
+
+@query(_SUPPLIERS + " SELECT max(d)::BIGINT AS diameter FROM sd")
+def diameter(spark, sf_dir):
+    return spark.createDataFrame([(part_supplier(spark, sf_dir).diameter(),)], "diameter long")
 
 
 # -- matching, homology numbers, random ---------------------------------------------------------------------------
@@ -610,7 +789,7 @@ def hedcs_matching(spark, sf_dir):
 
 @query()
 def betti(spark, sf_dir):
-    found = homology.betti_numbers(small_orders(spark, sf_dir))
+    found = homology.betti_numbers(user_event(spark, sf_dir))
     return spark.createDataFrame(sorted(found.items()), "k int, betti long")
 
 
@@ -621,7 +800,7 @@ def spec_clus(spark, sf_dir):
 
 @query()
 def kumar(spark, sf_dir):
-    return communities.kumar(part_supplier(spark, sf_dir), most_rounds=3)
+    return communities.kumar(part_supplier(spark, sf_dir))
 
 
 @query()
@@ -647,12 +826,12 @@ def discrete_sis(spark, sf_dir):
 
 @query()
 def gillespie_sir(spark, sf_dir):
-    return epidemics.Gillespie_SIR(small_orders(spark, sf_dir), _rates(), 0.5, rho=0.05, tmax=2, seed=1, replicates=4)
+    return epidemics.Gillespie_SIR(order_part(spark, sf_dir), _rates(), 0.5, rho=0.05, tmax=0.5, dt=0.1, seed=1)
 
 
 @query()
 def gillespie_sis(spark, sf_dir):
-    return epidemics.Gillespie_SIS(small_orders(spark, sf_dir), _rates(), 0.5, rho=0.05, tmax=2, seed=1, replicates=4)
+    return epidemics.Gillespie_SIS(order_part(spark, sf_dir), _rates(), 0.5, rho=0.05, tmax=0.5, dt=0.1, seed=1)
 
 
 @query()

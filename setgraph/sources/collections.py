@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,19 +17,47 @@ from .normalise import ORDER
 
 
 def _id_type(values: Iterable) -> str:
+    """The narrowest type of a column of ids; ids of several kinds are text."""
     kinds = {type(v) for v in values}
-    if kinds <= {int, bool, np.int64, np.int32}:
-        return "bigint"
-    if kinds <= {str}:
-        return "string"
-    raise SetGraphError("ids of one column have to be all whole numbers or all text")
+    for names, kind in (((int, bool, np.bool_, np.int64, np.int32), "bigint"), ((str,), "string"), ((int, float, np.int64, np.float64), "double"), ((datetime.datetime,), "timestamp"), ((datetime.date,), "date")):
+        if kinds <= set(names):
+            return kind
+    return "string"
+
+
+def _as_ids(values: Sequence, kind: str) -> list:
+    cast = {"bigint": int, "double": float, "string": str}.get(kind)
+    return [None if v is None else cast(v) for v in values] if cast else list(values)
+
+
+def hypergraph(spark: SparkSession, setsystem=None, **options) -> HGraph:
+    """A hypergraph from what there is: a table (Spark's or pandas'), a dict of edges, a list of sets, an array of pairs, or nothing.
+
+    A table's first two columns are edges and nodes unless options say otherwise (see HGraph.from_dataframe).
+    """
+    if setsystem is None:
+        return from_dict(spark, {}, **options)
+    if isinstance(setsystem, HGraph):
+        return setsystem
+    if isinstance(setsystem, pd.DataFrame):
+        setsystem = spark.createDataFrame(setsystem)
+    if isinstance(setsystem, DataFrame):
+        return HGraph.from_dataframe(setsystem, **options)
+    if isinstance(setsystem, Mapping):
+        return from_dict(spark, setsystem, **options)
+    if isinstance(setsystem, np.ndarray):
+        return from_pairs(spark, setsystem, **options)
+    if isinstance(setsystem, Iterable) and not isinstance(setsystem, str):
+        return from_lists(spark, setsystem, **options)
+    raise SetGraphError(f"a hypergraph can't be made from a {type(setsystem).__name__}")
 
 
 def _from_rows(spark: SparkSession, rows: list[tuple], default_weight: float, name: str | None, aggregate_by, properties: dict) -> HGraph:
     """rows: (edge, node, mapping)."""
     edge_kind, node_kind = _id_type(r[0] for r in rows), _id_type(r[1] for r in rows)
     data = []
-    for at, (edge, node, values) in enumerate(rows):
+    edges, nodes = _as_ids([r[0] for r in rows], edge_kind), _as_ids([r[1] for r in rows], node_kind)
+    for at, (edge, node, (_, _, values)) in enumerate(zip(edges, nodes, rows, strict=True)):
         values = dict(values)
         weight = values.pop("weight", None)
         data.append((at, edge, node, None if weight is None else float(weight), {str(k): encode_value(v) for k, v in values.items()}))
@@ -100,7 +130,9 @@ def from_numpy_array(
     if (len(nodes), len(edges)) != matrix.shape:
         raise SetGraphError("names and matrix differ in length")
     cells = [(nodes[i], edges[j], float(matrix[i, j])) for i in range(len(nodes)) for j in range(len(edges))]
-    df = spark.createDataFrame(cells, f"i {_id_type(nodes)}, j {_id_type(edges)}, value double")
+    kinds = _id_type(nodes), _id_type(edges)
+    cells = list(zip(_as_ids([c[0] for c in cells], kinds[0]), _as_ids([c[1] for c in cells], kinds[1]), (c[2] for c in cells), strict=True))
+    df = spark.createDataFrame(cells, f"i {kinds[0]}, j {kinds[1]}, value double")
     return from_long_matrix(df, key=key, name=name)
 
 
