@@ -8,9 +8,10 @@ point that it sees. Two texts agree in a register with a probability of exactly
 
 Copies (texts with the same words) are one class from the start. Classes that agree in all registers of a band share
 a bucket. First each class is verified against the least one and the most similar one of each of its buckets, which
-joins most of a group without all of its pairs. Then, for components that still share a bucket and have signatures
-near enough, every class of the smaller one is compared with all of the larger one, in blocks of texts that emit at
-most one link a class. Links are pairs whose multisets themselves overlap by at least the threshold.
+joins most of a group without all of its pairs. Components that still share a bucket and have signatures near enough
+make families; in a family all plausible pairs of classes of different components are verified, in blocks of texts
+that emit no more links than join components. Links are pairs whose multisets themselves overlap by at least the
+threshold.
 
 A bucket sends the classes outside its largest component to all others, in blocks, so a bucket of one large group and
 a few strangers is read once. What a class is compared with is dealt out by words, so the many texts that meet one
@@ -49,8 +50,8 @@ BLOCK = 256
 BLOCK_WORDS = 200_000
 #: A class of more than this part of all rows counts as hot; there are fewer of them than this.
 HOT_PART = 2000
-#: Rows of a bucket that are sent as one group.
-GROUP_ROWS = 1000
+#: Rows of a bucket that are sent as one group; classes of a block of a bucket with several components.
+GROUP_ROWS, MEMBERS = 1000, 1024
 #: Texts that are signed at once.
 SIGNED_AT_ONCE = 250
 
@@ -213,9 +214,8 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def _overlaps(text: str, at: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
-    """Weighted Jaccard similarities of a text with the n texts that have these shingles."""
-    _, own, times = shingles([words_of(text)])
+def _overlaps(own: np.ndarray, times: np.ndarray, at: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Weighted Jaccard similarities of a text, by its shingles and their counts, with the n texts that have the others."""
     if not len(own):
         return np.zeros(n)
     place = np.minimum(np.searchsorted(own, shingle), len(own) - 1)
@@ -233,7 +233,7 @@ def _verify_groups(threshold: float):
             ids = members["doc_id"].to_numpy()
             described = shingles([words_of(t) for t in members["text"]])
             for text in leaders["text"]:
-                out += [(a, b) for b in ids[_overlaps(text, *described, len(ids)) >= threshold]]
+                out += [(a, b) for b in ids[_overlaps(*shingles([words_of(text)])[1:], *described, len(ids)) >= threshold]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return verify
@@ -285,84 +285,107 @@ def _nearest(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(sorted(x for x in found if x[0] != x[1]), columns=["a", "b", "words"], dtype="int64")
 
 
+class _Forest:
+    """Which components have been joined so far."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(up, up)
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _plausible(small: np.ndarray, weight: np.ndarray, signature: np.ndarray, size: int, among: np.ndarray) -> np.ndarray:
+    """Those of the rows among whose weights and signatures allow the threshold with one of this size and signature."""
+    among = among[np.minimum(weight[among], size) >= PLAUSIBLE * np.maximum(weight[among], size)]
+    return among[(small[among] == signature).mean(1) >= PLAUSIBLE] if len(among) else among
+
+
 def _near_components(batch: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of components with plausible pairs of classes in a (pair of blocks of a) bucket."""
-    found: set[tuple[int, int]] = set()
+    """For each (pair of blocks of a) bucket links that join the components with plausible pairs of classes, a forest of them."""
+    out: list[tuple[int, int]] = []
+    forest = _Forest()
     for _, rows in batch.groupby(["band", "i", "j"], sort=False):
         others, every = rows[rows["other"]], rows[~rows["other"]]
         if others.empty or every.empty:
             continue
         component, weight, small = every["component"].to_numpy(), every["weight"].to_numpy(), _bytes(every)
-        for own, size, signature in zip(others["component"], others["weight"], _bytes(others), strict=True):
-            near = np.flatnonzero((component != own) & (np.minimum(weight, size) >= PLAUSIBLE * np.maximum(weight, size)))
-            if len(near):
-                near = near[(small[near] == signature).mean(1) >= PLAUSIBLE]
-                found.update((min(own, c), max(own, c)) for c in set(component[near].tolist()))
-    return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+        for own, size, signature in zip(others["component"].tolist(), others["weight"], _bytes(others), strict=True):
+            near = _plausible(small, weight, signature, size, np.flatnonzero(component != own))
+            out += [(own, c) for c in set(component[near].tolist()) if forest.join(own, c)]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _link_blocks(threshold: float):
     def link(batch: pd.DataFrame) -> pd.DataFrame:
-        """For each block of classes against a block of a larger component: at most one link a class."""
-        out = []
-        for _, rows in batch.groupby(["larger", "i", "j"], sort=False):
+        """Links between components, found among the plausible pairs of a block of classes and another; a forest of them."""
+        out: list[tuple[int, int]] = []
+        forest = _Forest()
+        for _, rows in batch.groupby(["family", "i", "j"], sort=False):
             left, right = rows[~rows["right"]], rows[rows["right"]]
             if left.empty or right.empty:
                 continue
-            ids = right["rep"].to_numpy()
-            described = shingles([words_of(t) for t in right["text"]])
-            for rep, text in zip(left["rep"], left["text"], strict=True):
-                overlaps = _overlaps(text, *described, len(ids))
-                overlaps[ids == rep] = 0
-                best = int(overlaps.argmax())
-                if overlaps[best] >= threshold:
-                    out.append((min(rep, ids[best]), max(rep, ids[best])))
+            ids, component, weight, small = right["rep"].to_numpy(), right["component"].to_numpy(), right["weight"].to_numpy(), _bytes(right)
+            at, shingle, count = shingles([words_of(t) for t in right["text"]])
+            first = np.searchsorted(at, np.arange(len(ids) + 1))
+            for rep, own, size, text, signature in zip(left["rep"].tolist(), left["component"].tolist(), left["weight"], left["text"], _bytes(left), strict=True):
+                _, found, times = shingles([words_of(text)])
+                for one in _plausible(small, weight, signature, size, np.flatnonzero(component != own)).tolist():
+                    if forest.root(own) == forest.root(int(component[one])):
+                        continue
+                    span = slice(first[one], first[one + 1])
+                    if _overlaps(found, times, np.zeros(first[one + 1] - first[one], np.int64), shingle[span], count[span], 1)[0] >= threshold:
+                        forest.join(own, int(component[one]))
+                        out.append((rep, int(ids[one])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return link
 
 
 def _across_components(component: DataFrame, shared: DataFrame, classes: DataFrame, named: DataFrame, threshold: float) -> DataFrame:
-    """Links between components that share buckets: every class of the smaller one against all of the larger one."""
+    """Links between components that share buckets.
+
+    Components with plausible pairs make families. In a family the classes outside its largest component meet all
+    classes, in blocks of so many words, and what is plausible is verified.
+    """
     labelled = shared.select("band", "rep").join(component.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = cut_lineage(labelled)
     held = labelled.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band")
     held = held.agg(F.count("*").alias("components"), F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("most")).filter("components > 1")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
-    mixed = held.select("band", F.col("most.component").alias("main"), blocks(F.col("n") - F.col("most.k")).alias("n_i"), blocks(F.col("n")).alias("n_j"))
-    # Written first, it is a plain side of the join, of which Spark can split large keys.
-    members = labelled.join(cut_lineage(mixed), "band").join(classes.select("rep", "weight", "bytes"), "rep")
+    blocks = lambda n, size: F.ceil(n / size).cast("long")
+    mixed = cut_lineage(held.select("band", F.col("most.component").alias("main"), blocks(F.col("n") - F.col("most.k"), MEMBERS).alias("n_i"), blocks(F.col("n"), MEMBERS).alias("n_j")))
+    # Written first, they are plain sides of joins, of which Spark can split large keys.
+    described = classes.select("rep", "weight", "bytes")
+    members = labelled.join(mixed, "band").join(described, "rep")
     number = lambda n: F.pmod(F.xxhash64("rep"), n)
     every_block = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     sent = ("band", "rep", "component", "weight", "bytes")
     others = members.filter("component != main").select(*sent, number("n_i").alias("i"), every_block("n_j").alias("j"), F.lit(True).alias("other"))
     every = members.select(*sent, every_block("n_i").alias("i"), number("n_j").alias("j"), F.lit(False).alias("other"))
-    parts = _groups(labelled.sparkSession, (mixed.agg(F.sum(F.col("n_i") * F.col("n_j"))).first()[0] or 0) * BLOCK // GROUP_ROWS)
+    parts = _groups(labelled.sparkSession, mixed.agg(F.sum(F.col("n_i") * F.col("n_j"))).first()[0] or 0)
     dealt = others.unionByName(every).withColumn("part", F.pmod(F.xxhash64("band", "i", "j"), F.lit(parts)))
-    pairs = cut_lineage(dealt.groupBy("part").applyInPandas(lambda batch: _near_components(batch), "a long, b long").distinct())
-
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("component")).distinct()
-    # Classes of a component that share no bucket with another class are in no pair, but count as its members.
-    reps = labelled.select("rep", "component").distinct().join(involved, "component")
-    reps = cut_lineage(reps.join(classes.select("rep", "weight"), "rep"))
-    sizes = cut_lineage(reps.groupBy("component").agg(F.sum("weight").alias("size")))
-    sized = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-    a_larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    met = sized.select(F.when(a_larger, F.col("a")).otherwise(F.col("b")).alias("larger"), F.when(a_larger, F.col("b")).otherwise(F.col("a")).alias("component"))
-    left = met.join(reps, "component").select("larger", "rep", "weight")
-    words = lambda n: F.ceil(F.sum(n) / BLOCK_WORDS).cast("long")
-    n_left = left.groupBy("larger").agg(words("weight").alias("n_i"))
-    n_right = sizes.select(F.col("component").alias("larger"), F.ceil(F.col("size") / BLOCK_WORDS).cast("long").alias("n_j"))
-    counts = cut_lineage(n_left.join(n_right, "larger"))
-
-    def dealt_out(rows: DataFrame, own: str, other: str) -> DataFrame:
-        rows = rows.join(counts, "larger").withColumn(own, number(f"n_{own}")).withColumn(other, every_block(f"n_{other}"))
-        return rows.select("larger", "rep", "i", "j", F.lit(own == "j").alias("right"))
-
+    near = dealt.groupBy("part").applyInPandas(lambda batch: _near_components(batch), "a long, b long")
+    families = connected_components(near, "a", "b").toDF("component", "family")
+
+    met = cut_lineage(labelled.select("rep", "component").distinct().join(families, "component").join(described, "rep"))
+    held = met.groupBy("family", "component").agg(F.sum("weight").alias("k")).groupBy("family")
+    held = held.agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("most"))
+    counts = cut_lineage(held.select("family", F.col("most.component").alias("main"), blocks(F.col("n") - F.col("most.k"), BLOCK_WORDS).alias("n_i"), blocks(F.col("n"), BLOCK_WORDS).alias("n_j")))
+    rows = met.join(counts, "family")
+    sent = ("family", "rep", "component", "weight", "bytes")
+    left = rows.filter("component != main").select(*sent, number("n_i").alias("i"), every_block("n_j").alias("j"), F.lit(False).alias("right"))
+    right = rows.select(*sent, every_block("n_i").alias("i"), number("n_j").alias("j"), F.lit(True).alias("right"))
     parts = _groups(labelled.sparkSession, counts.agg(F.sum(F.col("n_i") * F.col("n_j"))).first()[0] or 0)
-    met = cut_lineage(dealt_out(left, "i", "j").unionByName(dealt_out(reps.withColumnRenamed("component", "larger"), "j", "i")))
-    met = met.withColumn("part", F.pmod(F.xxhash64("larger", "i", "j"), F.lit(parts)))
-    full = met.join(named.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    full = cut_lineage(left.unionByName(right)).join(named.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    full = full.withColumn("part", F.pmod(F.xxhash64("family", "i", "j"), F.lit(parts)))
     return full.groupBy("part").applyInPandas(_link_blocks(threshold), "a long, b long")
 
 
