@@ -126,10 +126,10 @@ def two_section(graph: HGraph, weights: DataFrame | None = None) -> tuple[DataFr
 def _moves(both: DataFrame, degree: DataFrame, total: float, seed: int, most_rounds: int) -> tuple[DataFrame, bool]:
     """node, part after moves of greatest modularity gain, and whether there were any.
 
-    In every round a half of the nodes, by their hashes, may move to the part of a neighbour; two rounds without a move end it.
+    In every round a half of the nodes, by their hashes, may move to the part of a neighbour; it ends when no node gains by a move.
     """
     parts = cut_lineage(degree.select("node", F.col("node").alias("part"), "degree"))
-    any_moved, still = False, 0
+    any_moved = False
     for step in range(most_rounds):
         volume = parts.groupBy("part").agg(F.sum("degree").alias("volume"))
         near = both.join(parts.select(F.col("node").alias("dst"), "part"), "dst").groupBy(F.col("src").alias("node"), "part").agg(F.sum("weight").alias("into"))
@@ -140,10 +140,11 @@ def _moves(both: DataFrame, degree: DataFrame, total: float, seed: int, most_rou
         gain = F.col("into") - (F.col("volume") - F.when(stays, F.col("degree")).otherwise(0.0)) * F.col("degree") / total
         best = options.groupBy("node", "own", "degree").agg(F.max(F.struct(F.round(gain, 9).alias("gain"), stays.alias("stays"), "part")).alias("best"))
         may = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(step)), F.lit(2)) == 0
-        moved = cut_lineage(best.select("node", "degree", "own", F.when(may, F.col("best.part")).otherwise(F.col("own")).alias("part")))
-        changed = not moved.filter("part <> own").isEmpty()
-        parts, any_moved, still = moved.drop("own"), any_moved or changed, 0 if changed else still + 1
-        if still == 2:
+        wants = F.col("best.part") != F.col("own")
+        moved = cut_lineage(best.select("node", "degree", F.when(may, F.col("best.part")).otherwise(F.col("own")).alias("part"), wants.alias("wants"), (wants & may).alias("moves")))
+        open_moves, moves = moved.agg(F.max("wants"), F.max("moves")).first()
+        parts, any_moved = moved.select("node", "part", "degree"), any_moved or bool(moves)
+        if not open_moves:
             break
     return parts.select("node", "part"), any_moved
 
