@@ -384,7 +384,9 @@ def _across_components(component: DataFrame, shared: DataFrame, classes: DataFra
     left = rows.filter("component != main").select(*sent, number("n_i").alias("i"), every_block("n_j").alias("j"), F.lit(False).alias("right"))
     right = rows.select(*sent, every_block("n_i").alias("i"), number("n_j").alias("j"), F.lit(True).alias("right"))
     parts = _groups(labelled.sparkSession, counts.agg(F.sum(F.col("n_i") * F.col("n_j"))).first()[0] or 0)
-    full = cut_lineage(left.unionByName(right)).join(named.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    # The ids of a family's classes are small beside what is dealt out, so the texts that aren't needed stay where they are.
+    needed = named.select(F.col("doc_id").alias("rep"), "text").join(met.select("rep").distinct(), "rep", "left_semi")
+    full = left.unionByName(right).join(needed, "rep")
     full = full.withColumn("part", F.pmod(F.xxhash64("family", "i", "j"), F.lit(parts)))
     return full.groupBy("part").applyInPandas(_link_blocks(threshold), "a long, b long")
 
