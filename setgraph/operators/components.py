@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut_lineage
 
 #: A vertex with more links than this part of them all, and than LEAST_HUB, is a hub; there are fewer than HUB_PART of them.
-HUB_PART, LEAST_HUB = 2000, 128
+HUB_PART, LEAST_HUB = 2000, 5000
+#: Links that a task handles at least.
+TASK_LINKS = 200_000
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -23,18 +25,18 @@ def _met(rows: DataFrame, least: DataFrame, hubs: DataFrame) -> DataFrame:
     return rows.drop("parts").join(least.drop("parts"), ["u", "part"])
 
 
-def _round(links: DataFrame, hubs: DataFrame | None) -> DataFrame:
+def _round(links: DataFrame, hubs: DataFrame | None, tasks: int) -> DataFrame:
     """A large-star and a small-star step."""
-    both = _both(links)
+    both = _both(links).coalesce(tasks)
     both = both.repartition("u") if hubs is None else both  # without hubs, one exchange serves the minimum and its join
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     above = both.filter(F.col("v") > F.col("u"))
     large = (above.join(least, "u") if hubs is None else _met(above, least, hubs)).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    large = large.repartition("u") if hubs is None else large
+    large = large.coalesce(tasks).repartition("u") if hubs is None else large.coalesce(tasks)
     least = large.groupBy("u").agg(F.min("v").alias("m"))
     small = large.join(least, "u") if hubs is None else _met(large, least, hubs)
     small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v"))
-    return small.unionByName(least.withColumnRenamed("m", "v")).distinct()
+    return small.unionByName(least.withColumnRenamed("m", "v")).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 100) -> DataFrame:
@@ -49,15 +51,18 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", m
     edge = F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))
     links = cut_lineage(links.filter(edge).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
     n = F.col("n")
+    # Few links in many partitions would write a file for each pair of them in every exchange.
+    tasks = max(links.sparkSession.sparkContext.defaultParallelism, -(-links.count() // TASK_LINKS))
+    links = links.coalesce(tasks)
     for _ in range(most_rounds):
-        degrees = _both(links).groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("least"))
+        degrees = _both(links).coalesce(tasks).groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("least"))
         row = degrees.agg(F.max((F.col("least") < F.col("u")) & (n > 1)), F.max("n"), F.sum("n")).first()
         if not row[0]:
             break
         hubs, most = None, max(LEAST_HUB, row[2] // HUB_PART)
         if row[1] > most:
             hubs = cut_lineage(degrees.filter(n > most).select("u", F.ceil(n / most).cast("long").alias("parts")))
-        links = cut_lineage(_round(links, hubs))
+        links = cut_lineage(_round(links, hubs, tasks))
     else:
         raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
     roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
