@@ -8,10 +8,9 @@ point that it sees. Two texts agree in a register with a probability of exactly
 
 Copies (texts with the same words) are one class from the start. Classes that agree in all registers of a band share
 a bucket. First each class is verified against the least one and the most similar one of each of its buckets, which
-joins most of a group without all of its pairs. Components that still share a bucket and have signatures near enough
-make families; in a family all plausible pairs of classes of different components are verified, in blocks of texts
-that emit no more links than join components. Links are pairs whose multisets themselves overlap by at least the
-threshold.
+joins most of a group without all of its pairs. In buckets that still hold several components all plausible pairs of
+classes of different components are verified, each pair in the first bucket that it shares, in blocks of texts that
+emit no more links than join components. Links are pairs whose multisets themselves overlap by at least the threshold.
 
 A bucket sends the classes outside its largest component to all others, in blocks, so a bucket of one large group and
 a few strangers is read once. What a class is compared with is dealt out by words, so the many texts that meet one
@@ -25,6 +24,7 @@ far fewer above it.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,15 +43,15 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Candidates whose signatures agree in fewer registers aren't verified; at the threshold that is 4 deviations away.
-PLAUSIBLE = 0.657
+PLAUSIBLE = math.ceil(0.657 * REGISTERS)
 #: Rows of a bucket that are compared with one another at once; larger buckets are dealt out in pairs of blocks.
 BLOCK = 256
 #: Words of texts that are compared at once.
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 500_000
 #: A class of more than this part of all rows counts as hot; there are fewer of them than this.
 HOT_PART = 2000
-#: Rows of a bucket that are sent as one group; classes of a block of a bucket with several components.
-GROUP_ROWS, MEMBERS = 1000, 1024
+#: Rows of buckets that are sent as one group.
+GROUP_ROWS = 1000
 #: Texts that are signed at once.
 SIGNED_AT_ONCE = 250
 
@@ -255,13 +255,14 @@ def _groups(spark: SparkSession, wanted: int) -> int:
     return max(wanted, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _agreement(small: np.ndarray, at: int) -> np.ndarray:
-    """The share of registers in which each row agrees with one row."""
-    return (small == small[at]).mean(1)
+def _agreeing(registers: np.ndarray, signature: np.ndarray) -> np.ndarray:
+    """In how many registers (rows) each signature (column) agrees with one; sums of bytes, as there are fewer than 256."""
+    return (registers == signature[:, None]).sum(0, dtype=np.uint8)
 
 
 def _bytes(rows: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(rows["bytes"]), np.uint8).reshape(len(rows), REGISTERS)
+    """The signatures, one row for each register."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(rows["bytes"]), np.uint8).reshape(len(rows), REGISTERS).T)
 
 
 def _nearest(batch: pd.DataFrame) -> pd.DataFrame:
@@ -272,11 +273,11 @@ def _nearest(batch: pd.DataFrame) -> pd.DataFrame:
             continue
         rows = rows.sort_values("rep", kind="stable")
         ids, words, small = rows["rep"].to_numpy(), rows["weight"].to_numpy(), _bytes(rows)
-        leader = _agreement(small, 0)
+        leader = _agreeing(small, small[:, 0])
         for at in range(1, len(ids)):
             if leader[at] >= PLAUSIBLE:
                 found.add((ids[0], ids[at], words[at]))
-            near = _agreement(small, at)
+            near = _agreeing(small, small[:, at])
             near[at] = 0
             best = int(near.argmax())
             if near[best] >= PLAUSIBLE:
@@ -303,46 +304,38 @@ class _Forest:
         return a != b
 
 
-def _plausible(small: np.ndarray, weight: np.ndarray, signature: np.ndarray, size: int, among: np.ndarray) -> np.ndarray:
-    """Those of the rows among whose weights and signatures allow the threshold with one of this size and signature."""
-    among = among[np.minimum(weight[among], size) >= PLAUSIBLE * np.maximum(weight[among], size)]
-    return among[(small[among] == signature).mean(1) >= PLAUSIBLE] if len(among) else among
+def _link_across(threshold: float):
+    least = threshold - 1e-9  # no overlap is greater than the smaller total by the larger one
 
-
-def _near_components(batch: pd.DataFrame) -> pd.DataFrame:
-    """For each (pair of blocks of a) bucket links that join the components with plausible pairs of classes, a forest of them."""
-    out: list[tuple[int, int]] = []
-    forest = _Forest()
-    for _, rows in batch.groupby(["band", "i", "j"], sort=False):
-        others, every = rows[rows["other"]], rows[~rows["other"]]
-        if others.empty or every.empty:
-            continue
-        component, weight, small = every["component"].to_numpy(), every["weight"].to_numpy(), _bytes(every)
-        for own, size, signature in zip(others["component"].tolist(), others["weight"], _bytes(others), strict=True):
-            near = _plausible(small, weight, signature, size, np.flatnonzero(component != own))
-            out += [(own, c) for c in set(component[near].tolist()) if forest.join(own, c)]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
-def _link_blocks(threshold: float):
     def link(batch: pd.DataFrame) -> pd.DataFrame:
-        """Links between components, found among the plausible pairs of a block of classes and another; a forest of them."""
+        """Links between components, found among the plausible pairs of classes of blocks of buckets; a forest of them."""
         out: list[tuple[int, int]] = []
-        forest = _Forest()
-        for _, rows in batch.groupby(["family", "i", "j"], sort=False):
-            left, right = rows[~rows["right"]], rows[rows["right"]]
-            if left.empty or right.empty:
+        forest, described = _Forest(), {}
+
+        def bag(rep: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+            if rep not in described:
+                described[rep] = shingles([words_of(text)])[1:]
+            return described[rep]
+
+        for (band, _, _), rows in batch.groupby(["band", "i", "j"], sort=False):
+            others, every = rows[rows["other"]], rows[~rows["other"]]
+            if others.empty or every.empty:
                 continue
-            ids, component, weight, small = right["rep"].to_numpy(), right["component"].to_numpy(), right["weight"].to_numpy(), _bytes(right)
-            at, shingle, count = shingles([words_of(t) for t in right["text"]])
-            first = np.searchsorted(at, np.arange(len(ids) + 1))
-            for rep, own, size, text, signature in zip(left["rep"].tolist(), left["component"].tolist(), left["weight"], left["text"], _bytes(left), strict=True):
-                _, found, times = shingles([words_of(text)])
-                for one in _plausible(small, weight, signature, size, np.flatnonzero(component != own)).tolist():
+            small, weight = _bytes(every), every["weight"].to_numpy()
+            ids, component, main = every["rep"].to_numpy(), every["component"].to_numpy(), every["main"].to_numpy()
+            bands, texts = np.array(every["bands"].tolist()), every["text"].tolist()
+            place = int(np.flatnonzero(bands[0] == band)[0])
+            for rep, own, size, signature, mine, text in zip(others["rep"].tolist(), others["component"].tolist(), others["weight"], _bytes(others).T, others["bands"], others["text"], strict=True):
+                agreeing = _agreeing(small, signature)
+                near = np.flatnonzero((agreeing >= PLAUSIBLE) & (component != own) & (main | (ids > rep)))
+                near = near[np.minimum(weight[near], size) >= least * np.maximum(weight[near], size)]
+                if place and len(near):  # a pair is compared in the first bucket that it shares
+                    near = near[~(bands[near, :place] == np.asarray(mine)[:place]).any(1)]
+                for one in near[np.argsort(-agreeing[near].astype(np.int64), kind="stable")].tolist():
                     if forest.root(own) == forest.root(int(component[one])):
                         continue
-                    span = slice(first[one], first[one + 1])
-                    if _overlaps(found, times, np.zeros(first[one + 1] - first[one], np.int64), shingle[span], count[span], 1)[0] >= threshold:
+                    shingle, count = bag(int(ids[one]), texts[one])
+                    if _overlaps(*bag(rep, text), np.zeros(len(shingle), np.int64), shingle, count, 1)[0] >= threshold:
                         forest.join(own, int(component[one]))
                         out.append((rep, int(ids[one])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -353,42 +346,32 @@ def _link_blocks(threshold: float):
 def _across_components(component: DataFrame, shared: DataFrame, classes: DataFrame, named: DataFrame, threshold: float) -> DataFrame:
     """Links between components that share buckets.
 
-    Components with plausible pairs make families. In a family the classes outside its largest component meet all
-    classes, in blocks of so many words, and what is plausible is verified.
+    In a bucket of several components the classes outside the one of most words meet all classes, in blocks of so many
+    words, and what is plausible is verified there, each pair in the first bucket that it shares.
     """
-    labelled = shared.select("band", "rep").join(component.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = cut_lineage(labelled)
-    held = labelled.groupBy("band", "component").agg(F.count("*").alias("k")).groupBy("band")
+    spark = classes.sparkSession
+    labelled = shared.select("band", "rep", "weight").join(component.withColumnRenamed("id", "rep"), "rep", "left")
+    labelled = cut_lineage(labelled.withColumn("component", F.coalesce("component", "rep")))
+    held = labelled.groupBy("band", "component").agg(F.sum("weight").alias("k")).groupBy("band")
     held = held.agg(F.count("*").alias("components"), F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("most")).filter("components > 1")
-    blocks = lambda n, size: F.ceil(n / size).cast("long")
-    mixed = cut_lineage(held.select("band", F.col("most.component").alias("main"), blocks(F.col("n") - F.col("most.k"), MEMBERS).alias("n_i"), blocks(F.col("n"), MEMBERS).alias("n_j")))
-    # Written first, they are plain sides of joins, of which Spark can split large keys.
-    described = classes.select("rep", "weight", "bytes")
-    members = labelled.join(mixed, "band").join(described, "rep")
+    blocks = lambda n: F.ceil(n / BLOCK_WORDS).cast("long")
+    rest = F.col("n") - F.col("most.k")
+    # Written first, it is a plain side of a join, of which Spark can split large keys.
+    mixed = cut_lineage(held.select("band", F.col("most.component").alias("largest"), blocks(rest).alias("n_i"), blocks(F.col("n")).alias("n_j"), rest.alias("rest"), "n"))
+    members = labelled.join(mixed.drop("rest", "n"), "band")
     number = lambda n: F.pmod(F.xxhash64("rep"), n)
     every_block = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    sent = ("band", "rep", "component", "weight", "bytes")
-    others = members.filter("component != main").select(*sent, number("n_i").alias("i"), every_block("n_j").alias("j"), F.lit(True).alias("other"))
+    main = (F.col("component") == F.col("largest")).alias("main")
+    sent = ("band", "rep", "component", main)
+    others = members.filter("component <> largest").select(*sent, number("n_i").alias("i"), every_block("n_j").alias("j"), F.lit(True).alias("other"))
     every = members.select(*sent, every_block("n_i").alias("i"), number("n_j").alias("j"), F.lit(False).alias("other"))
-    parts = _groups(labelled.sparkSession, mixed.agg(F.sum(F.col("n_i") * F.col("n_j"))).first()[0] or 0)
-    dealt = others.unionByName(every).withColumn("part", F.pmod(F.xxhash64("band", "i", "j"), F.lit(parts)))
-    near = dealt.groupBy("part").applyInPandas(lambda batch: _near_components(batch), "a long, b long")
-    families = connected_components(near, "a", "b").toDF("component", "family")
-
-    met = cut_lineage(labelled.select("rep", "component").distinct().join(families, "component").join(described, "rep"))
-    held = met.groupBy("family", "component").agg(F.sum("weight").alias("k")).groupBy("family")
-    held = held.agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("most"))
-    counts = cut_lineage(held.select("family", F.col("most.component").alias("main"), blocks(F.col("n") - F.col("most.k"), BLOCK_WORDS).alias("n_i"), blocks(F.col("n"), BLOCK_WORDS).alias("n_j")))
-    rows = met.join(counts, "family")
-    sent = ("family", "rep", "component", "weight", "bytes")
-    left = rows.filter("component != main").select(*sent, number("n_i").alias("i"), every_block("n_j").alias("j"), F.lit(False).alias("right"))
-    right = rows.select(*sent, every_block("n_i").alias("i"), number("n_j").alias("j"), F.lit(True).alias("right"))
-    parts = _groups(labelled.sparkSession, counts.agg(F.sum(F.col("n_i") * F.col("n_j"))).first()[0] or 0)
-    # The ids of a family's classes are small beside what is dealt out, so the texts that aren't needed stay where they are.
-    needed = named.select(F.col("doc_id").alias("rep"), "text").join(met.select("rep").distinct(), "rep", "left_semi")
-    full = left.unionByName(right).join(needed, "rep")
-    full = full.withColumn("part", F.pmod(F.xxhash64("family", "i", "j"), F.lit(parts)))
-    return full.groupBy("part").applyInPandas(_link_blocks(threshold), "a long, b long")
+    dealt = cut_lineage(others.unionByName(every))
+    words = mixed.agg(F.sum(F.col("rest") * F.col("n_j") + F.col("n") * F.col("n_i"))).first()[0] or 0
+    # Ids are small beside texts, so the texts that aren't needed stay where they are.
+    needed = named.select(F.col("doc_id").alias("rep"), "text").join(dealt.select("rep").distinct(), "rep", "left_semi")
+    full = dealt.join(needed, "rep").join(classes.select("rep", "weight", "bytes", "bands"), "rep")
+    full = full.withColumn("part", F.pmod(F.xxhash64("band", "i", "j"), F.lit(_groups(spark, words // BLOCK_WORDS))))
+    return full.groupBy("part").applyInPandas(_link_across(threshold), "a long, b long")
 
 
 def _with_class(signed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -413,7 +396,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Copies: one class for each sequence of words, named by its least document.
     classes = signed.groupBy("copy").agg(F.min(F.struct("doc_id", "weight", "bytes", "bands")).alias("least"), F.count("*").alias("copies"))
     classes = cut_lineage(classes.select("copy", F.col("least.doc_id").alias("rep"), "least.weight", "least.bytes", "least.bands", "copies"))
-    banded = classes.select("rep", F.explode("bands").alias("band"))
+    banded = classes.select("rep", "weight", F.explode("bands").alias("band"))
     buckets = cut_lineage(banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1"))
     shared = cut_lineage(banded.join(buckets, "band"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")

@@ -76,7 +76,6 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     """Buckets larger than a block are dealt out in pairs of blocks."""
     monkeypatch.setattr(bagminhash, "BLOCK", 4)
     monkeypatch.setattr(bagminhash, "BLOCK_WORDS", 300)
-    monkeypatch.setattr(bagminhash, "MEMBERS", 3)
     monkeypatch.setattr(bagminhash, "HOT_PART", 20)
     rows = family_rows(5)
     got = bagminhash.near_duplicates(documents(spark, [(i, t, "s") for i, t in rows]))
