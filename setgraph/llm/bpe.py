@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table, text_of
@@ -409,8 +410,11 @@ def _encoder_of(ranks: dict[bytes, int], pattern: str) -> TextEncoder:
     return _encoder[key]
 
 
-def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids (packed), and hashes of the ids and of the bytes decoded from them, for each row of docs."""
+def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids (packed), and hashes of the ids and of the bytes decoded from them, for each row of docs.
+
+    The columns in keep are carried along; a partition's rows stay in their order.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((read_ranks(rank_path), pattern))  # one vocabulary, whatever the corpus
 
@@ -432,10 +436,11 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
                         "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in decoded],
                         "ids": found,
                     }
+                    | {c: rows[f"keep_{c}"] for c in keep}
                 )
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInPandas(encode, ENCODED)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of().alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    return rows.mapInPandas(encode, T.StructType([*ENCODED, *(docs.schema[c] for c in keep)]))
 
 
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Near-duplicates, vector links, top-k search, mixing and the pipeline against brute force."""
 
+import hashlib
 import math
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from setgraph.llm import bagminhash, embeddings, mixing, pii, secrets, topk
@@ -364,11 +366,29 @@ def test_pipeline_stages(spark, small_corpus):
     assert set(before) == set(after)
     for i, text in before.items():
         assert after[i]["text"] == (None if text is None else text.replace("password=abcdefgh12", "[SECRET]"))
-    mixed = {r["doc_id"] for r in steps["mixing"]}
-    wanted = {r["doc_id"] for r in mixing.mix(spark.read.parquet(f"{folder}/2")).filter("_mixed").collect()}
-    assert mixed == wanted and 0.6 * len(kept) < len(mixed) <= len(kept)
-    assert {r["doc_id"] for r in steps["encoding"]} == mixed
-    assert corpus_pipeline.run(spark, folder).select("ids_sha256").exceptAll(spark.read.parquet(f"{folder}/4").select("ids_sha256")).count() == 0
+    mixed = [r["doc_id"] for r in steps["mixing"]]
+    assert len(mixed) == len(kept) and set(mixed) == kept
+    slots = {r["doc_id"]: r["_slot"] for r in mixing.mix(spark.read.parquet(f"{folder}/2")).collect()}
+    assert {r["doc_id"]: r["slot"] for r in steps["encoding"]} == slots and len(steps["encoding"]) == len(kept)
+    texts = {r["doc_id"]: r["text"] or "" for r in steps["secrets"]}
+    assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in steps["encoding"])
+    whole, staged = (x.select("doc_id", "slot", "ids_sha256") for x in (corpus_pipeline.run(spark, folder), docs))
+    assert whole.exceptAll(staged).count() == staged.exceptAll(whole).count() == 0
+
+
+def test_encoded_rows_are_in_the_order_of_their_slots(spark):
+    """Whatever the order of the files that the mix was written to."""
+    docs = documents(spark, [(i, f"text {i}", f"s{i % 3}") for i in range(3000)])
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").orderBy(F.desc("doc_id"))
+    parts = corpus_pipeline.encode(spark, mixed, "").withColumn("part", F.spark_partition_id()).collect()
+    assert [r["slot"] for r in sorted(parts, key=lambda r: r["part"])] == sorted(r["slot"] for r in parts)
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    """An empty table goes through all stages; columns beyond those of documents don't reach the end."""
+    documents(spark, []).withColumns({"slot": F.lit(1), "ids": F.lit("x")}).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
 def test_pipeline_mixes_all_documents_of_a_hot_source(spark):
