@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A
 stage's result is written as Parquet to the shared folder and read again as the next one's docs, so a lost executor
-costs at most the stage that runs.
+costs at most the stage that runs; it is deleted when the next one is written.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from setgraph.llm import bagminhash, bpe, mixing, secrets, toxicity
 from setgraph.llm.common import DOCUMENT_COLUMNS, table
-from setgraph.plans.lineage import cut_lineage
+from setgraph.plans.lineage import cut_lineage, remove_folder, shared_folder
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +45,21 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of their slots."""
-    placed = mixing.mix(docs.select(*DOCUMENT_COLUMNS))
-    return placed.repartitionByRange("_slot", "doc_id").sortWithinPartitions("_slot", "doc_id").select(*DOCUMENT_COLUMNS)
+    return in_order(docs).select(*DOCUMENT_COLUMNS)
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """docs with their slots, sorted by them. A slot follows from a document's source, its id and the sources' sizes alone."""
+    placed = mixing.mix(docs.select(*DOCUMENT_COLUMNS)).withColumnRenamed("_slot", "slot")
+    return placed.repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "doc_id")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with their digests."""
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Token ids of every document, with their digests and its slot of the mix, in the order of the slots.
+
+    The columns of documents have no place for a slot and files no order that a reader must keep, so it is computed again.
+    """
+    return bpe.encode_documents(in_order(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("slot",))
 
 
 STAGES = [
@@ -68,10 +76,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage for all documents of sf_dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{shared.rstrip('/')}/corpus_pipeline/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus_pipeline/{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    before = None
     for at, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(written := f"{folder}/{at}_{name}")
         docs = spark.read.parquet(written)
+        if before:
+            remove_folder(spark, before)
+        before = written
     return docs
