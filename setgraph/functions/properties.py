@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import ast
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,8 +83,17 @@ def flatten(nested: Mapping) -> dict:
 
 
 #: Names of aggregations and how to express them; first and last go by the column named as order.
-def aggregation(rule: str, column: str, order: str | None = None) -> Column:
+def aggregation(rule: str | Callable, column: str, order: str | None = None, kind: T.DataType | str | None = None) -> Column:
+    """A column of an aggregation by a rule's name, or by a callable.
+
+    A callable gets a key's values (nulls left out) as a pandas Series and returns one value of type kind: that of the
+    values by default. It runs as a grouped-aggregate pandas UDF, so all values of one key meet in one task, and no part
+    of them is aggregated before; for keys that hold a large part of all rows use a name. With `order` the values come
+    in its order.
+    """
     c = F.col(column)
+    if callable(rule):
+        return _called(rule, c, F.col(order) if order else None, kind or "double").alias(column)
     simple = {"sum": F.sum, "mean": F.avg, "avg": F.avg, "median": F.median, "max": F.max, "min": F.min, "count": F.count, "nunique": F.countDistinct, "std": F.stddev_samp, "var": F.var_samp, "list": F.collect_list}
     if rule in simple:
         return simple[rule](c).alias(column)
@@ -94,7 +103,45 @@ def aggregation(rule: str, column: str, order: str | None = None) -> Column:
     raise ValueError(f"unknown aggregation {rule!r}")
 
 
-def distinct_rows(rows: DataFrame, weights: str | None = None, aggregate_by: str | None = "sum", order: str | None = None) -> DataFrame:
+def _called(rule: Callable, column: Column, order: Column | None, kind: T.DataType | str) -> Column:
+    """rule as a grouped-aggregate UDF of a column."""
+
+    def call(values: pd.Series, places: pd.Series | None = None):
+        if places is not None:
+            values = values.iloc[places.argsort(kind="stable")]
+        found = rule(values.dropna())
+        return found.item() if hasattr(found, "item") else found
+
+    if order is None:
+
+        @F.pandas_udf(kind)
+        def grouped(values: pd.Series) -> float:
+            return call(values)
+
+        return grouped(column)
+
+    @F.pandas_udf(kind)
+    def in_order(values: pd.Series, places: pd.Series) -> float:
+        return call(values, places)
+
+    return in_order(column, order)
+
+
+def aggregated(df: DataFrame, keys: list[str], rules: Mapping[str, str | Callable], order: str | None = None) -> DataFrame:
+    """keys (not null) and a column for each rule. Callables are grouped on their own, as they can't be partial, and joined."""
+    named = {c: rule for c, rule in rules.items() if not callable(rule)}
+    called = {c: rule for c, rule in rules.items() if callable(rule)}
+    out = df.groupBy(*keys).agg(*(aggregation(rule, c, order) for c, rule in named.items())) if named or not called else None
+    if called:
+        placed = df
+        if order is not None:
+            placed = df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+        values = placed.groupBy(*keys).agg(*(aggregation(rule, c, None if order is None else "_place", df.schema[c].dataType) for c, rule in called.items()))
+        out = values if out is None else out.join(values, keys)
+    return out.select(*keys, *rules)
+
+
+def distinct_rows(rows: DataFrame, weights: str | None = None, aggregate_by: str | Callable | None = "sum", order: str | None = None) -> DataFrame:
     """Distinct rows over the columns other than `weights` (and `order`), with their weights aggregated by a rule.
 
     Without a weight column each row weighs 1. Rule None gives the distinct rows alone.

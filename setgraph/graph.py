@@ -276,7 +276,7 @@ class HGraph:
         cell_weight_col: str | None = "weight",
         misc_cell_properties_col: str | None = None,
         default_cell_weight: float = 1.0,
-        aggregate_by: str | Mapping[str, str] = "first",
+        aggregate_by: str | Callable | Mapping[str, str | Callable] = "first",
         order_col: str | None = None,
         name: str | None = None,
         **properties,

@@ -23,6 +23,10 @@ from .pairs import dense_index
 MOST_TERMS = 100_000
 #: Smaller gains of a move may be errors of rounding.
 LEAST_GAIN = 0.1
+#: The same for a node's move, as a part of all weight.
+LEAST_RISE = 1e-10
+#: Links of a block of nodes that move one after another.
+BLOCK_LINKS = 500_000
 
 
 def part2dict(parts: Iterable[Iterable]) -> dict:
@@ -123,63 +127,152 @@ def two_section(graph: HGraph, weights: DataFrame | None = None) -> tuple[DataFr
     return graph.incidences.select("node").distinct(), links
 
 
-def _moves(both: DataFrame, degree: DataFrame, total: float, seed: int, most_rounds: int) -> tuple[DataFrame, bool]:
-    """node, part after moves of greatest modularity gain, and whether there were any.
-
-    In every round a half of the nodes, by their hashes, may move to the part of a neighbour; it ends when no node gains by a move.
+def _gain_of(moves: DataFrame, parts: DataFrame, both: DataFrame, total: float) -> float:
+    """By how much all moves (node, to) together raise modularity, times the total weight."""
+    new = cut_lineage(parts.join(moves.select("node", "to"), "node", "left").select("node", "degree", "part", "volume", F.coalesce("to", "part").alias("to"), F.col("to").isNotNull().alias("moves")))
+    a = new.select(F.col("node").alias("src"), F.col("part").alias("a"), F.col("to").alias("a_to"), F.col("moves").alias("a_moves"))
+    b = new.select(F.col("node").alias("dst"), F.col("part").alias("b"), F.col("to").alias("b_to"), F.col("moves").alias("b_moves"))
+    met = both.join(a, "src").join(b, "dst").filter("a_moves OR b_moves")
+    same = lambda x, y: (F.col(x) == F.col(y)).cast("double")
+    inside = met.agg(F.coalesce(F.sum(F.col("weight") * (same("a_to", "b_to") - same("a", "b"))), F.lit(0.0))).first()[0]
+    flow = new.filter("moves").select(F.col("part").alias("p"), (-F.col("degree")).alias("x")).unionByName(new.filter("moves").select(F.col("to").alias("p"), F.col("degree").alias("x")))
+    volumes = parts.groupBy(F.col("part").alias("p")).agg(F.sum("degree").alias("v"))
+    changed = flow.groupBy("p").agg(F.sum("x").alias("x")).join(volumes, "p", "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    spread = changed.agg(F.coalesce(F.sum((F.col("v") + F.col("x")) ** 2 - F.col("v") ** 2), F.lit(0.0))).first()[0]
+    return inside - spread / total
+
+
+def _settle(total: float):
+    def settle(batch: pd.DataFrame) -> pd.DataFrame:
+        """Moves of a block's nodes, one after another until none gains, to parts of neighbours; other blocks stand still."""
+        out = []
+        for block, rows in batch.groupby("block", sort=False):
+            part_of = dict(zip(rows["src"], rows["own"], strict=True))
+            degree = dict(zip(rows["src"], rows["degree"], strict=True))
+            volume = dict(zip(rows["own"], rows["own_volume"], strict=True)) | dict(zip(rows["part"], rows["volume"], strict=True))
+            inner: dict = {node: [] for node in part_of}
+            outer: dict = {node: {} for node in part_of}
+            for src, dst, near, part, weight in zip(rows["src"], rows["dst"], rows["inner"], rows["part"], rows["weight"], strict=True):
+                if near:
+                    inner[src].append((dst, weight))
+                else:
+                    outer[src][part] = outer[src].get(part, 0.0) + weight
+            first, gained, moved = dict(part_of), 0.0, True
+            while moved:
+                moved = False
+                for node in sorted(part_of):
+                    into = dict(outer[node])
+                    for dst, weight in inner[node]:
+                        part = part_of[dst]
+                        into[part] = into.get(part, 0.0) + weight
+                    own, d = part_of[node], degree[node]
+                    now = into.pop(own, 0.0) - (volume[own] - d) * d / total
+                    # On ties the least part.
+                    value, part = max(((w - volume[p] * d / total, p) for p, w in sorted(into.items(), reverse=True)), key=lambda x: x[0], default=(now, own))
+                    if value > now + LEAST_RISE * total:
+                        volume[own], volume[part], part_of[node] = volume[own] - d, volume[part] + d, part
+                        gained += value - now
+                        moved = True
+            out += [(block, node, first[node], part, degree[node], gained) for node, part in part_of.items() if part != first[node]]
+        return pd.DataFrame(out, columns=["block", "node", "part", "to", "degree", "gain"])
+
+    return settle
+
+
+def _apart(moves: DataFrame) -> DataFrame:
+    """The moves of blocks no two of which touch the same part: those of greatest gain, on ties of the greatest number."""
+    rank = F.struct("gain", "block")
+    touched = moves.select(F.col("part").alias("p"), "block", rank.alias("rank")).unionByName(moves.select(F.col("to").alias("p"), "block", rank.alias("rank")))
+    first = touched.groupBy("p").agg(F.max("rank")["block"].alias("first"))
+    beaten = touched.select("p", "block").distinct().join(first, "p").filter("first <> block").select("block").distinct()
+    return moves.join(beaten, "block", "left_anti")
+
+
+def _moves(both: DataFrame, parts: DataFrame, total: float, most_rounds: int) -> tuple[DataFrame, bool]:
+    """parts (node, part, degree, volume) after moves of single nodes to parts of neighbours, and whether there were any.
+
+    Nodes are dealt into blocks of about BLOCK_LINKS links. A block moves its nodes one after another while the others
+    stand still. What all blocks did is taken together if it is measured to raise modularity; else only blocks that touch
+    different parts, whose gains add up, and the best block is always among them. So modularity rises with each round, and
+    rounds end when no node gains in any block. A block holds the links among its nodes, and one row for each other part
+    that a node is linked with.
     """
-    parts = cut_lineage(degree.select("node", F.col("node").alias("part"), "degree"))
-    any_moved = False
+    blocks, any_moved = -(-both.count() // BLOCK_LINKS), False
+    kind = both.schema["src"].dataType.simpleString()
     for step in range(most_rounds):
-        volume = parts.groupBy("part").agg(F.sum("degree").alias("volume"))
-        near = both.join(parts.select(F.col("node").alias("dst"), "part"), "dst").groupBy(F.col("src").alias("node"), "part").agg(F.sum("weight").alias("into"))
-        own = parts.select("node", "part", F.lit(0.0).alias("into"))
-        options = near.unionByName(own).groupBy("node", "part").agg(F.sum("into").alias("into")).join(volume, "part")
-        options = options.join(parts.select("node", F.col("part").alias("own"), "degree"), "node")
-        stays = F.col("part") == F.col("own")
-        gain = F.col("into") - (F.col("volume") - F.when(stays, F.col("degree")).otherwise(0.0)) * F.col("degree") / total
-        best = options.groupBy("node", "own", "degree").agg(F.max(F.struct(F.round(gain, 9).alias("gain"), stays.alias("stays"), "part")).alias("best"))
-        may = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(step)), F.lit(2)) == 0
-        wants = F.col("best.part") != F.col("own")
-        moved = cut_lineage(best.select("node", "degree", F.when(may, F.col("best.part")).otherwise(F.col("own")).alias("part"), wants.alias("wants"), (wants & may).alias("moves")))
-        open_moves, moves = moved.agg(F.max("wants"), F.max("moves")).first()
-        parts, any_moved = moved.select("node", "part", "degree"), any_moved or bool(moves)
-        if not open_moves:
+        # In turn nodes of a part are together, and nodes of any parts.
+        number = F.pmod(F.xxhash64("part" if step % 2 == 0 else "node", F.lit(step)), F.lit(max(1, blocks)))
+        placed = parts.withColumn("block", number)
+        a = placed.select(F.col("node").alias("src"), F.col("part").alias("own"), "degree", F.col("volume").alias("own_volume"), "block")
+        b = placed.select(F.col("node").alias("dst"), "part", "volume", F.col("block").alias("far"))
+        inner = F.col("block") == F.col("far")
+        met = both.join(a, "src").join(b, "dst").withColumn("inner", inner).withColumn("dst", F.when(inner, F.col("dst")).otherwise(F.col("src")))
+        rows = met.groupBy("block", "src", "dst", "inner", "own", "degree", "own_volume", "part", "volume").agg(F.sum("weight").alias("weight"))
+        found = rows.groupBy("block").applyInPandas(_settle(total), f"block long, node {kind}, part {kind}, to {kind}, degree double, gain double")
+        moves = cut_lineage(found)
+        if moves.isEmpty():
+            return parts, any_moved
+        if blocks > 1 and _gain_of(moves, parts, both, total) <= LEAST_RISE * total:
+            moves = cut_lineage(_apart(moves))
+        parts, any_moved = _with_volumes(parts.join(moves.select("node", "to"), "node", "left").select("node", F.coalesce("to", "part").alias("part"), "degree")), True
+        if blocks == 1:
+            return parts, True
+    raise RuntimeError(f"moves didn't settle in {most_rounds} rounds")
+
+
+def _with_volumes(parts: DataFrame) -> DataFrame:
+    parts = cut_lineage(parts)
+    return cut_lineage(parts.join(parts.groupBy("part").agg(F.sum("degree").alias("volume")), "part").select("node", "part", "degree", "volume"))
+
+
+def _communities(nodes: DataFrame, links: DataFrame, start: DataFrame | None = None, most_rounds: int = 1000) -> DataFrame:
+    """node, part (a node of it): see louvain."""
+    both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    both = cut_lineage(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    degree = nodes.join(both.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("degree")), "node", "left")
+    parts = degree.withColumn("part", F.col("node")) if start is None else degree.join(start.select("node", "part"), "node")
+    parts = _with_volumes(parts.select("node", "part", F.coalesce("degree", F.lit(0.0)).alias("degree")))
+    total = parts.agg(F.sum("degree")).first()[0]
+    member, level = nodes.select("node", F.col("node").alias("part")), 0
+    while total:
+        parts, moved = _moves(both, parts, total, most_rounds)
+        if not moved and (level or start is None):
             break
-    return parts.select("node", "part"), any_moved
+        # Parts become the nodes of the next level; each level that moves has fewer.
+        placed = parts.select("node", F.col("part").alias("next"))
+        member = cut_lineage(member.join(placed.withColumnRenamed("node", "part"), "part").select("node", F.col("next").alias("part")))
+        met = both.join(placed.toDF("src", "a"), "src").join(placed.toDF("dst", "b"), "dst").filter("a <> b")
+        both = cut_lineage(met.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
+        parts = parts.groupBy("part").agg(F.sum("degree").alias("degree")).select(F.col("part").alias("node"), "part", "degree")
+        parts = cut_lineage(parts.withColumn("volume", F.col("degree")))
+        level += 1
+    return member
 
 
-def louvain(nodes: DataFrame, links: DataFrame, seed: int = 0, most_rounds: int = 20, most_levels: int = 10) -> DataFrame:
-    """node, part: communities of a weighted graph (links src, dst, weight) by multilevel moves of greatest modularity gain.
+def _numbered(member: DataFrame) -> DataFrame:
+    return member.join(dense_index(member, "part"), "part").select("node", F.col("idx").cast("int").alias("part"))
 
-    Moves are joins and groupings of all nodes at once; parts then become the nodes of the next level.
+
+def louvain(nodes: DataFrame, links: DataFrame, start: DataFrame | None = None, most_rounds: int = 1000) -> DataFrame:
+    """node, part: communities of a weighted graph (links src, dst, weight) by multilevel moves that raise modularity.
+
+    Moves are joins and groupings of all nodes at once; parts then become the nodes of the next level. start (node, part;
+    part a node's id) is a partition to begin with. Raises if a level doesn't settle in most_rounds.
     """
-    both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    both = cut_lineage(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    degree = nodes.join(both.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("degree")), "node", "left")
-    degree = cut_lineage(degree.select("node", F.coalesce("degree", F.lit(0.0)).alias("degree")))
-    total = degree.agg(F.sum("degree")).first()[0]
-    member = nodes.select("node", F.col("node").alias("part"))
-    for level in range(most_levels if total else 0):
-        parts, moved = _moves(both, degree, total, seed + level, most_rounds)
-        if not moved:
-            break
-        member = cut_lineage(member.join(parts.toDF("part", "next"), "part").select("node", F.col("next").alias("part")))
-        placed = both.join(parts.toDF("src", "a"), "src").join(parts.toDF("dst", "b"), "dst").filter("a <> b")
-        both = cut_lineage(placed.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
-        degree = cut_lineage(degree.join(parts, "node").groupBy(F.col("part").alias("node")).agg(F.sum("degree").alias("degree")))
-    numbers = dense_index(member, "part")
-    return member.join(numbers, "part").select("node", F.col("idx").cast("int").alias("part"))
+    return _numbered(_communities(nodes, links, start, most_rounds))
+
 
+def kumar(graph: HGraph, delta: float = 0.01, most_rounds: int = 50) -> DataFrame:
+    """node, part: communities of the two-section, whose edge weights are moved towards edges that parts hold whole.
 
-def kumar(graph: HGraph, delta: float = 0.01, most_rounds: int = 50, seed: int = 0) -> DataFrame:
-    """node, part: communities of the two-section, whose edge weights are moved towards edges that parts hold whole."""
+    Each round begins with the partition before it. Weights settle by halves once parts do; raises if a weight still
+    changes by more than delta after most_rounds.
+    """
     weights = cut_lineage(edge_weights(graph))
     n_edges = weights.count()
-    nodes = graph.incidences.select("node").distinct()
-    parts = louvain(nodes, two_section(graph, weights)[1], seed)
+    nodes = cut_lineage(graph.incidences.select("node").distinct())
+    parts = _communities(nodes, two_section(graph, weights)[1])
     for _ in range(most_rounds + 1):
-        parts = cut_lineage(parts)
         k = parts.select("part").distinct().count()
         held = graph.pairs.join(parts, "node").groupBy("edge", "part").agg(F.count("*").alias("c"))
         # A part that holds no node of an edge adds 1 / (1 + 0).
@@ -187,10 +280,10 @@ def kumar(graph: HGraph, delta: float = 0.01, most_rounds: int = 50, seed: int =
         new = cut_lineage(per.join(weights, "edge").select("edge", (F.col("w") / 2 + F.col("s") * (F.col("size") + k) / n_edges / 2).alias("v"), "w"))
         difference = new.agg(F.coalesce(F.max(F.abs(F.col("v") - F.col("w"))), F.lit(0.0))).first()[0]
         weights = new.select("edge", F.col("v").alias("w"))
-        parts = louvain(nodes, two_section(graph, weights)[1], seed)
+        parts = cut_lineage(_communities(nodes, two_section(graph, weights)[1], parts))
         if difference <= delta:
-            break
-    return parts
+            return _numbered(parts)
+    raise RuntimeError(f"edge weights didn't settle in {most_rounds} rounds")
 
 
 def _expected(sizes: list, whole: float):
@@ -244,5 +337,5 @@ def last_step(graph: HGraph, parts: DataFrame | Mapping | Iterable[Iterable], wd
         gained = moves.agg(F.coalesce(F.sum("gain"), F.lit(0.0))).first()[0]
         parts = cut_lineage(parts.join(moves, "node", "left").select("node", F.coalesce("to", "part").alias("part")))
         if gained / total < delta:
-            break
-    return parts
+            return parts
+    raise RuntimeError(f"moves still gain after {most_rounds} rounds")

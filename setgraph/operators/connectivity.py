@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 from ..errors import SetGraphError
 from ..graph import EDGES, NODES, HGraph, side
+from ..plans.guards import bounded_rows
+from ..plans.lineage import cut_lineage
 from . import components as stars
-from .distances import all_pairs, single_source
+from .distances import all_pairs, reach, single_source
 from .pairs import get_linegraph, pair_counts
 from .transforms import restrict_to
 
+#: Ids that a list of all components holds at most.
+MOST_LISTED = 1_000_000
+
 
 def bipartite_components(graph: HGraph) -> DataFrame:
     """level, id (as text), component: components of edges and nodes together, over the incidences themselves.
@@ -105,17 +110,21 @@ def s_distances(graph: HGraph, s: int = 1, edges: bool = True) -> tuple[DataFram
 
 
 def component_diameters(graph: HGraph, s: int = 1, edges: bool = False) -> DataFrame:
-    """component, diameter, members: the greatest s-distance within each component."""
-    vertices, distance = s_distances(graph, s, edges)
+    """component, diameter, size: the greatest s-distance within each component, and how many ids it has."""
     labels = component_labels(graph, s, edges)
-    reach = distance.groupBy("src").agg(F.max("distance").alias("far")).withColumnRenamed("src", "id")
-    found = labels.join(reach, "id", "left")
-    return found.groupBy("component").agg(F.coalesce(F.max("far"), F.lit(0)).alias("diameter"), F.array_sort(F.collect_list("id")).alias("members"))
+    found = labels.join(reach(*get_linegraph(graph, s, edges)), "id")
+    return found.groupBy("component").agg(F.max("far").alias("diameter"), F.count("*").alias("size"))
 
 
 def _diameters(graph: HGraph, s: int, edges: bool) -> tuple[int, list, list]:
-    rows = component_diameters(graph, s, edges).orderBy("component").collect()
-    return max((r["diameter"] for r in rows), default=0), [r["diameter"] for r in rows], [set(r["members"]) for r in rows]
+    """Lists of all components and their members, so bounded by MOST_LISTED ids."""
+    rows = cut_lineage(component_diameters(graph, s, edges))
+    listed = bounded_rows(component_labels(graph, s, edges), MOST_LISTED, "members of components")
+    members: dict = {}
+    for r in listed:
+        members.setdefault(r["component"], set()).add(r["id"])
+    found = sorted(rows.collect(), key=lambda r: r["component"])
+    return max((r["diameter"] for r in found), default=0), [r["diameter"] for r in found], [members[r["component"]] for r in found]
 
 
 def node_diameters(graph: HGraph, s: int = 1) -> tuple[int, list, list]:
@@ -131,7 +140,7 @@ def edge_diameters(graph: HGraph, s: int = 1) -> tuple[int, list, list]:
 def _diameter(graph: HGraph, s: int, edges: bool) -> int:
     if not is_connected(graph, s, edges):
         raise SetGraphError(f"the graph isn't {s}-connected")
-    return _diameters(graph, s, edges)[0]
+    return reach(*get_linegraph(graph, s, edges)).agg(F.coalesce(F.max("far"), F.lit(0))).first()[0]
 
 
 def diameter(graph: HGraph, s: int = 1) -> int:

@@ -8,11 +8,12 @@ share s of them share one of the first size - s + 1 of each. For smaller s it dr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import TooLargeError
 from ..graph import EDGES, NODES, HGraph, id_table, side
+from ..plans.lineage import cut_lineage
 
 #: The most columns of a wide table.
 MOST_COLUMNS = 5_000
@@ -139,9 +140,16 @@ def toplex_graph(graph: HGraph, name: str | None = None) -> HGraph:
 
 
 def dense_index(ids: DataFrame, column: str) -> DataFrame:
-    """column, idx: places in the sorted order of distinct ids, counted by range partitions rather than in one task."""
+    """column, idx: places in the sorted order of distinct ids. Ids are sorted by range, written, and counted by partition;
+    a partition's ids are numbered on from those before it, whose counts are one row each."""
     ids = ids.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
-    return ids.sparkSession.createDataFrame(ids.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])), f"{column} {ids.schema[column].dataType.simpleString()}, idx long")
+    # The id's upper bits are the partition, the lower 33 the place in it.
+    placed = cut_lineage(ids.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(2**33 - 1)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(counts.select("_part", before.alias("_before")))
+    return placed.withColumn("_part", part).join(offsets, "_part").select(column, (place + F.col("_before")).alias("idx"))
 
 
 def incidence_matrix(graph: HGraph, weights: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SetGraphError
-from ..functions.properties import aggregation, merged, no_properties
+from ..functions.properties import aggregated, merged, no_properties
 from ..graph import EDGES, INCIDENCES, NODES, HGraph, Properties, id_table, side
 from ..sources.normalise import keep_first
 
@@ -131,18 +131,11 @@ def equivalence_classes(graph: HGraph, edges: bool = True) -> DataFrame:
     return classes.select(F.element_at("members", 1).alias("rep"), "members")
 
 
-def aggregate_rows(df: DataFrame, keys: list[str], rules: Mapping[str, str] | None = None, order: str | None = None) -> DataFrame:
-    """One row a key, each column by its rule, the first by `order` where there is none. misc keeps the first map."""
-    rules = dict(rules or {})
-    out = []
-    for c, kind in df.dtypes:
-        if c in keys or c == order:
-            continue
-        if "map" in kind:
-            out.append(F.min_by(c, order or keys[0]).alias(c))
-        else:
-            out.append(aggregation(rules.get(c, "first"), c, order))
-    return df.groupBy(*keys).agg(*out)
+def aggregate_rows(df: DataFrame, keys: list[str], rules: Mapping[str, str | Callable], order: str) -> DataFrame:
+    """One row a key, each column by its rule (a name or a callable), the first by `order` where there is none. misc keeps
+    the first map."""
+    by = {c: "first" if "map" in kind else rules.get(c, "first") for c, kind in df.dtypes if c not in keys and c != order}
+    return aggregated(df, keys, by, order)
 
 
 def _collapse(graph: HGraph, level: int, name, use_uids, use_counts, return_counts, properties_by, cells_by) -> tuple[HGraph, DataFrame]:
@@ -171,7 +164,8 @@ def _collapse(graph: HGraph, level: int, name, use_uids, use_counts, return_coun
 def collapse_edges(graph: HGraph, name=None, use_uids=None, use_counts=False, return_counts=True, return_equivalence_classes=False, aggregate_edges_by=None, aggregate_cells_by=None):
     """Identical edges become one: weights add up unless a rule says otherwise, other values are those of the first.
 
-    use_counts names a class `representative:size`; return_counts stores its size as equivalence_class_size.
+    use_counts names a class `representative:size`; return_counts stores its size as equivalence_class_size. A rule may be
+    a callable of a pandas Series: a class that holds many edges is then one group of values in a task.
     """
     out, found = _collapse(graph, EDGES, name, use_uids, use_counts, return_counts, aggregate_edges_by, aggregate_cells_by)
     return (out, found) if return_equivalence_classes else out

@@ -278,6 +278,19 @@ def collapse_nodes(spark, sf_dir):
     return user_event(spark, sf_dir).collapse_nodes(return_counts=False).incidences.select("edge", "node", "weight")
 
 
+def _spread(values):
+    return values.max() - values.min()
+
+
+@query(
+    """, k AS (SELECT node, string_agg(edge::VARCHAR, ',' ORDER BY edge) AS key FROM ue GROUP BY node), c AS (SELECT node, min(node) OVER (PARTITION BY key) AS rep FROM k)
+    SELECT edge, rep AS node, max(weight) - min(weight) AS weight FROM ue JOIN c USING (node) GROUP BY ALL"""
+)
+def collapse_nodes_callable(spark, sf_dir):
+    graph = user_event(spark, sf_dir).collapse_nodes(return_counts=False, aggregate_cells_by={"weight": _spread})
+    return graph.incidences.select("edge", "node", "weight")
+
+
 @query(
     """, nk AS (SELECT node, string_agg(edge::VARCHAR, ',' ORDER BY edge) AS key FROM ue GROUP BY node), nc AS (SELECT node, min(node) OVER (PARTITION BY key) AS rep FROM nk),
     u AS (SELECT edge, rep AS node, sum(weight) AS weight FROM ue JOIN nc USING (node) GROUP BY ALL),
@@ -288,6 +301,13 @@ def collapse_nodes_and_edges(spark, sf_dir):
     return user_event(spark, sf_dir).collapse_nodes_and_edges(return_counts=False).incidences.select("edge", "node", "weight")
 
 
+@query("SELECT l_suppkey AS edge, l_returnflag AS node, round(quantile_cont(l_quantity::DOUBLE, 0.25), 6) AS weight FROM lineitem GROUP BY ALL")
+def aggregate_by_callable(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    graph = HGraph.from_dataframe(rows.select("l_suppkey", "l_returnflag", F.col("l_quantity").cast("double").alias("w")), "l_suppkey", "l_returnflag", "w", aggregate_by=lambda v: v.quantile(0.25))
+    return graph.incidences.select("edge", "node", F.round("weight", 6).alias("weight"))
+
+
 @query(", t AS (SELECT edge // 10 AS edge, node, edge AS was, weight FROM inc) SELECT edge, node, min_by(weight, was) AS weight FROM t GROUP BY ALL")
 def rename_edges(spark, sf_dir):
     graph = order_part(spark, sf_dir)

@@ -6,13 +6,13 @@ further columns, one row an id.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import SetGraphError
-from ..functions.properties import aggregation, as_properties, no_properties
+from ..functions.properties import aggregated, as_properties, no_properties
 
 ORDER = "_ord"
 
@@ -32,7 +32,7 @@ def normalise(
     weight_col: str | None = "weight",
     default_weight: float = 1.0,
     misc_col: str | None = None,
-    aggregate_by: str | Mapping[str, str] = "first",
+    aggregate_by: str | Callable | Mapping[str, str | Callable] = "first",
     order_col: str | None = None,
 ) -> DataFrame:
     """A table with the id columns of `columns` (new name: old name), weight, misc and the other columns.
@@ -65,11 +65,11 @@ def normalise(
     order = ORDER if order_col else None
     if aggregate_by == "first":
         return keep_first(out, keys, order).drop(ORDER)
-    rules = {"weight": aggregate_by} if isinstance(aggregate_by, str) else dict(aggregate_by)
+    rules = {"weight": aggregate_by} if isinstance(aggregate_by, str) or callable(aggregate_by) else dict(aggregate_by)
     if set(rules) == {"weight"} and not rest and not misc_col:
-        return out.groupBy(*keys).agg(aggregation(rules["weight"], "weight", order).cast("double").alias("weight")).withColumn("misc", no_properties())
+        return aggregated(out, list(keys), rules, order).withColumn("weight", F.col("weight").cast("double")).withColumn("misc", no_properties())
     firsts = keep_first(out, keys, order).drop(ORDER, *rules)
-    summed = out.groupBy(*keys).agg(*(aggregation(rule, c, order) for c, rule in rules.items()))
+    summed = aggregated(out, list(keys), rules, order)
     if "weight" in rules:
         summed = summed.withColumn("weight", F.col("weight").cast("double"))
     return firsts.join(summed, keys).select(*keys, "weight", "misc", *rest)

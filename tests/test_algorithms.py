@@ -208,7 +208,7 @@ def test_modularity(graph):
 
 def test_communities(graph):
     g = graph(MODULAR)
-    found = communities.dict2part({r["node"]: r["part"] for r in communities.kumar(g, most_rounds=0).collect()})
+    found = communities.dict2part({r["node"]: r["part"] for r in communities.kumar(g).collect()})
     assert sorted(map(sorted, found)) == [list("ABC"), list("DEF")]
     moved = communities.last_step(g, [set("AB"), set("C"), set("DEF")])
     assert communities.modularity(g, moved) > communities.modularity(g, [set("AB"), set("C"), set("DEF")])
