@@ -1,7 +1,8 @@
 """Licences of files by TF-IDF cosine to templates, and by inheritance from directories.
 
 The sentences and lines of a file that speak of licences are its statement; a text with wordings of licence files is
-compared as a whole, too. Distinct statements and such texts are compared with templates (headers, notices, whole
+compared as a whole, too. A statement of more words than a notice has is a long licence or a text about licences: it is compared as a
+whole only, so a licence that is no template isn't taken for another one. Distinct statements and such texts are compared with templates (headers, notices, whole
 licences) as sparse TF-IDF vectors, whose document frequencies count all files with one and the templates. A file
 whose statement holds at least half of its words, or which is near a licence as a whole, is a licence file of its
 directory. A file without a licence of its own gets that of the nearest directory above it (its own included) that has
@@ -23,11 +24,15 @@ from .licence_texts import BODIES, HEADERS
 
 #: Least cosine of a statement and its template, and of a whole text.
 COSINE, WHOLE_COSINE = 0.5, 0.75
+#: Least cosine of a text of more than so many words: long texts of one kind share their common words.
+LONG_WORDS, LONG_COSINE = 500, 0.93
+#: Words of the distinct sentences of a statement, beyond which it is no notice and only the whole text can match.
+NOTICE_WORDS = 150
 CUE = r"(?i)licen[cs]|copyright|all rights reserved|public domain|spdx"
 #: Ends of sentences and lines.
 END = r"[.!?;]\s+|\n"
-#: Wordings of licence files.
-BODY = r"(?i)permission (is hereby granted|to use, copy)|redistribution and use in source|terms and conditions for use|(general|mozilla) public license|free and unencumbered|provided .as.is"
+#: Wordings of licence files; lines may break within them.
+BODY = r"(?i)permission\s+(is\s+hereby\s+granted|to\s+use,\s+copy)|redistribution\s+and\s+use\s+in\s+source|terms\s+and\s+conditions\s+for\s+use|(general|mozilla)\s+public\s+license|free\s+documentation\s+license|artistic\s+license|cc0\s+1\.0|free\s+and\s+unencumbered|provided\s+.as.is"
 TERM = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 TEMPLATES = HEADERS + BODIES
 
@@ -84,9 +89,13 @@ def licences(files: DataFrame) -> DataFrame:
     of_statement = matched.select("statement", F.struct((-F.col("cosine")).alias("least"), "licence").alias("stated"))
     of_body = matched.filter(F.col("cosine") >= WHOLE_COSINE).select(F.col("statement").alias("body"), F.struct((-F.col("cosine")).alias("least"), "licence").alias("whole"))
     with_body = stated.filter(F.col("body") != "").join(of_body, "body", "left")
+    enough = (F.col("words") <= LONG_WORDS) | (-F.col("whole.least") >= LONG_COSINE)
+    with_body = with_body.withColumn("whole", F.when(enough, F.col("whole")))
     found = stated.filter(F.col("body") == "").withColumn("whole", F.lit(None).cast(of_body.schema["whole"].dataType)).unionByName(with_body)
-    found = found.join(of_statement, "statement", "left").withColumn("own", F.least("stated", "whole"))
-    statement_words = F.size(F.filter(F.split("statement", r"\s+"), lambda w: w != ""))
+    words_in = lambda text: F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    notice = words_in(F.array_join(F.array_distinct(F.split("statement", "\n")), " ")) <= NOTICE_WORDS
+    found = found.join(of_statement, "statement", "left").withColumn("own", F.least(F.when(notice, F.col("stated")), "whole"))
+    statement_words = words_in(F.col("statement"))
     by_directory = found.filter(F.col("own").isNotNull() & (F.col("whole").isNotNull() | (statement_words * 2 >= F.col("words"))))
     by_directory = by_directory.groupBy("directory").agg(F.min("own").alias("best"))
     by_directory = by_directory.select(F.col("directory").alias("above"), F.col("best.licence").alias("licence"), (-F.col("best.least")).alias("cosine"))
@@ -148,8 +157,9 @@ cosines AS (SELECT statement, licence, round(sum(w * v) / any_value(nv) / any_va
     JOIN (SELECT statement, sqrt(sum(w * w)) AS nw FROM w GROUP BY statement) USING (statement) GROUP BY statement, template, licence),
 matched AS (SELECT statement, licence, cosine FROM cosines WHERE cosine >= {COSINE}
     QUALIFY row_number() OVER (PARTITION BY statement ORDER BY cosine DESC, licence) = 1),
+noted AS (SELECT *, {words.format("array_to_string(list_distinct(string_split(statement, chr(10))), ' ')")} <= {NOTICE_WORDS} AS notice FROM files),
 found AS (SELECT f.*, CASE WHEN b.cosine IS NULL OR s.cosine > b.cosine OR (s.cosine = b.cosine AND s.licence < b.licence) THEN s.licence ELSE b.licence END AS own_licence,
-    greatest(s.cosine, b.cosine) AS own_cosine, b.cosine IS NOT NULL AS near FROM files f LEFT JOIN matched s ON s.statement = f.statement LEFT JOIN matched b ON b.statement = f.whole AND f.whole <> '' AND b.cosine >= {WHOLE_COSINE}),
+    greatest(s.cosine, b.cosine) AS own_cosine, b.cosine IS NOT NULL AS near FROM noted f LEFT JOIN matched s ON s.statement = f.statement AND f.notice LEFT JOIN matched b ON b.statement = f.whole AND f.whole <> '' AND b.cosine >= CASE WHEN f.words > {LONG_WORDS} THEN {LONG_COSINE} ELSE {WHOLE_COSINE} END),
 by_directory AS (SELECT directory, own_licence AS licence, own_cosine AS cosine FROM found WHERE own_licence IS NOT NULL AND (near OR {words.format("statement")} * 2 >= words)
     QUALIFY row_number() OVER (PARTITION BY directory ORDER BY own_cosine DESC, own_licence) = 1),
 nearest AS (SELECT d.directory, b.directory AS above, b.licence, b.cosine FROM (SELECT DISTINCT directory FROM files) d
