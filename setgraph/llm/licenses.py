@@ -32,7 +32,7 @@ CUE = r"(?i)licen[cs]|copyright|all rights reserved|public domain|spdx"
 #: Ends of sentences and lines.
 END = r"[.!?;]\s+|\n"
 #: Wordings of licence files; lines may break within them.
-BODY = r"(?i)permission\s+(is\s+hereby\s+granted|to\s+use,\s+copy)|redistribution\s+and\s+use\s+in\s+source|terms\s+and\s+conditions\s+for\s+use|(general|mozilla)\s+public\s+license|free\s+documentation\s+license|artistic\s+license|cc0\s+1\.0|free\s+and\s+unencumbered|provided\s+.as.is"
+BODY = r"(?i)permission\s+(is\s+hereby\s+granted|to\s+use,\s+copy)|redistribution\s+and\s+use\s+in\s+source|terms\s+and\s+conditions\s+for\s+use|(general|mozilla)\s+public\s+license|free\s+documentation\s+license|artistic\s+license|creative\s+commons\s+legal\s+code|free\s+and\s+unencumbered|provided\s+.as.is"
 TERM = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 TEMPLATES = HEADERS + BODIES
 
@@ -54,25 +54,28 @@ def _terms(text: Column) -> Column:
 def match_templates(statements: DataFrame, least: float = COSINE) -> DataFrame:
     """statement, licence, cosine for rows (statement, files): distinct statements and how many files have each.
 
-    Only statements that reach the least cosine with a template are in the result. The templates are few.
+    Only statements that reach the least cosine with a template are in the result. The templates are few. Between the two
+    a statement goes by its 128-bit digest.
     """
+    named = statements.select("statement", F.unhex(F.md5("statement")).alias("id"), "files")
     spark = statements.sparkSession
     templates = spark.createDataFrame([(at, name, text) for at, (name, text) in enumerate(TEMPLATES)], "template int, licence string, text string")
     known = templates.select("template", "licence", F.explode(_terms(F.col("text"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
-    seen = statements.select("statement", "files", F.explode(_terms(F.col("statement"))).alias("term")).groupBy("statement", "files", "term").agg(F.count("*").alias("tf"))
+    seen = named.select("id", "files", F.explode(_terms(F.col("statement"))).alias("term")).groupBy("id", "files", "term").agg(F.count("*").alias("tf"))
     held = seen.groupBy("term").agg(F.sum("files").alias("df")).unionByName(known.groupBy("term").agg(F.count("*").alias("df")))
     held = held.groupBy("term").agg(F.sum("df").alias("df"))
     total = (statements.agg(F.sum("files")).first()[0] or 0) + len(TEMPLATES)
     idf = held.select("term", (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighed = seen.join(idf, "term").select("statement", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    weighed = seen.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     templated = known.join(idf, "term").select("template", "licence", "term", (F.col("tf") * F.col("idf")).alias("v"))
     norms = templated.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm_t"))
-    lengths = weighed.groupBy("statement").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_s"))
-    dots = weighed.join(F.broadcast(templated), "term").groupBy("statement", "template", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    cosine = dots.join(F.broadcast(norms), "template").join(lengths, "statement")
-    cosine = cosine.select("statement", "licence", F.round(F.col("dot") / F.col("norm_t") / F.col("norm_s"), 6).alias("cosine"))
-    best = cosine.groupBy("statement").agg(F.min(F.struct((-F.col("cosine")).alias("least"), "licence")).alias("best"))
-    return best.select("statement", F.col("best.licence").alias("licence"), (-F.col("best.least")).alias("cosine")).filter(F.col("cosine") >= least)
+    lengths = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_s"))
+    dots = weighed.join(F.broadcast(templated), "term").groupBy("id", "template", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    cosine = dots.join(F.broadcast(norms), "template").join(lengths, "id")
+    cosine = cosine.select("id", "licence", F.round(F.col("dot") / F.col("norm_t") / F.col("norm_s"), 6).alias("cosine"))
+    best = cosine.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("least"), "licence")).alias("best"))
+    best = best.filter(-F.col("best.least") >= least).join(named.select("id", "statement"), "id")
+    return best.select("statement", F.col("best.licence").alias("licence"), (-F.col("best.least")).alias("cosine"))
 
 
 def licences(files: DataFrame) -> DataFrame:
