@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,12 +32,14 @@ from pyspark.sql import types as T
 from .common import table, text_of
 from .labelled import labelled_sample, logistic, remainder
 
-#: At most so many labelled rows are used for learning, and so many insult arcs, those with the greatest odds, are kept.
-SAMPLE_BOUND, MOST_ARCS = 8000, 5000
+#: At most so many labelled rows are used for learning.
+SAMPLE_BOUND = 8000
 #: A negation reaches so many words on, reported speech twice as many.
 REACH = 4
 #: A beginning of a word can be an arc from so many letters up to so many.
 STEM = range(4, 8)
+#: Texts are cut into words in stretches of about so many characters, at ends of clauses; so many words are remembered at a time.
+STRETCH, REMEMBERED = 100_000, 200_000
 
 # Arcs that aren't learned, in English, German, French and Spanish.
 THREATS = (
@@ -66,6 +67,7 @@ PATH = {"stated": 0.0, "addressed": 0.5, "denied": -0.5, "reported": -0.5, "thre
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _END = re.compile(r"[.!?;\n]+")
+_WORD_OR_END = re.compile(f"{_WORD.pattern}|{_END.pattern}")
 _SYMBOLS = ("insult", "threat", "target", "negation", "report", "other")
 
 
@@ -139,6 +141,52 @@ def _composition() -> Transducer:
 GRAMMAR = _composition()
 
 
+class _Numbered:
+    """GRAMMAR with numbers for states: arcs by symbol and state, and where runs of other words lead.
+
+    Other words only let the reaches run out, so after `settled` of them nothing changes any more.
+    """
+
+    def __init__(self, machine: Transducer) -> None:
+        number = {state: n for n, state in enumerate(dict.fromkeys(state for state, _ in machine.arcs))}
+        self.starts = [number[state] for state in machine.starts]
+        self.finals = {number[state] for state in machine.finals if state in number}
+        self.arcs: dict[str, list] = {symbol: [()] * len(number) for symbol in _SYMBOLS}
+        for (state, symbol), found in machine.arcs.items():
+            if symbol in self.arcs:  # the marks between transducers are no words
+                self.arcs[symbol][number[state]] = tuple((CLASSES.index(out) if out != "other" else None, added, number[after]) for out, added, after in found)
+        step = [after for ((_, _, after),) in self.arcs["other"]]
+        self.others = [list(range(len(number)))]
+        while (further := [step[state] for state in self.others[-1]]) != self.others[-1]:
+            self.others.append(further)
+        self.settled = len(self.others) - 1
+
+    def after_others(self, n: int) -> list[int]:
+        """The state that each state leads to by n other words."""
+        return self.others[min(n, self.settled)]
+
+
+_NUMBERED = _Numbered(GRAMMAR)
+_NOTHING = (0.0,) * len(CLASSES)
+_CLAUSE_END = ()
+#: Arcs of a word alone, and by the next word those of phrases: the words that follow, the symbol and the weight.
+_Arcs = tuple[list[tuple[str, float]], dict[str, list[tuple[list[str], str, float]]]]
+
+
+class _Words(dict):
+    """The arcs of words met so far: None for other words, _CLAUSE_END for ends of clauses."""
+
+    def __init__(self, grammar: Grammar) -> None:
+        super().__init__()
+        self.grammar = grammar
+
+    def __missing__(self, word: str) -> _Arcs | tuple[()] | None:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found = _CLAUSE_END if _END.match(word) else self.grammar.of_word(word)
+        return found
+
+
 @dataclass
 class Grammar:
     """Insult arcs (a word, a phrase, or a word's beginning followed by *) with weights, and weights of the classes."""
@@ -157,76 +205,121 @@ class Grammar:
                 found[first].append((rest, symbol, self.arcs[phrase] if symbol == "insult" else float(symbol == "threat")))
         return dict(found)
 
+    @cached_property
+    def stems(self) -> dict[str, float]:
+        return {arc[:-1]: w for arc, w in self.arcs.items() if arc.endswith("*")}
+
+    @cached_property
+    def stem_starts(self) -> set[str]:
+        return {stem[: STEM.start] for stem in self.stems}
+
     def insulting(self, word: str) -> bool:
         """Whether a word alone has an insult arc."""
         return word in self.arcs or any(word[:n] + "*" in self.arcs for n in STEM if len(word) > n)
 
-    def matcher(self) -> ahocorasick.Automaton:
-        """Finds where an insult or a threat could start, in one pass over a text."""
-        found = ahocorasick.Automaton()
-        for key in {arc.rstrip("*").split()[0] for arc in (*self.arcs, *THREATS)}:
-            found.add_word(key, len(key))
-        found.make_automaton()
-        return found
+    def matcher(self) -> _Words:
+        """What features() needs: a memory of the words' readings."""
+        return _Words(self)
+
+    def of_word(self, word: str) -> _Arcs | None:
+        """The arcs that start with a word; None if there are none."""
+        alone, longer = [], defaultdict(list)
+        for rest, symbol, weight in self.lexicon.get(word, ()):
+            if rest:
+                longer[rest[0]].append((rest, symbol, weight))
+            else:
+                alone.append((symbol, weight))
+        if word[: STEM.start] in self.stem_starts and (found := [self.stems[word[:n]] for n in STEM if len(word) > n and word[:n] in self.stems]):
+            alone.append(("insult", max(found)))
+        return (alone, dict(longer)) if alone or longer else None
 
     def readings(self, words: list[str], at: int) -> list[tuple[str, float, int]]:
         """(symbol, weight, number of words) of each arc of the lexicon at a place; a word without one is another word."""
-        word = words[at]
-        found = [(symbol, weight, 1 + len(rest)) for rest, symbol, weight in self.lexicon.get(word, ()) if words[at + 1 : at + 1 + len(rest)] == rest]
-        stems = [self.arcs[word[:n] + "*"] for n in STEM if len(word) > n and word[:n] + "*" in self.arcs]
-        if stems:
-            found.append(("insult", max(stems), 1))
-        return found or [("other", 0.0, 1)]
+        return _fitting(self.of_word(words[at]), words, at) or [("other", 0.0, 1)]
 
     def clause(self, words: list[str]) -> dict[str, float]:
-        """The summed weights of insults and threats by class on the best path; of equal paths the first in order of classes counts.
-
-        Paths that meet in a state at a place go on as the best of them, so the work grows with the words, not the paths.
-        """
-        ways: list[dict] = [{} for _ in range(len(words) + 1)]
-        nothing = (0.0,) * len(CLASSES)
-        ways[0] = dict.fromkeys(GRAMMAR.starts, (0.0, nothing))
-        for at in range(len(words)):
-            if not ways[at]:
-                continue
-            for symbol, weight, n in self.readings(words, at):
-                for state, (score, sums) in ways[at].items():
-                    for out, added, after in GRAMMAR.arcs.get((state, symbol), ()):
-                        new = sums
-                        if out != "other":
-                            k = CLASSES.index(out)
-                            new = (*sums[:k], sums[k] + weight, *sums[k + 1 :])
-                        for _ in range(n - 1):  # the other words of a phrase
-                            ((_, _, after),) = GRAMMAR.arcs[after, "other"]
-                        way = (score + added + (weight if out != "other" else 0.0), new)
-                        if after not in ways[at + n] or way > ways[at + n][after]:
-                            ways[at + n][after] = way
-            ways[at] = {}
-        best = max((way for state, way in ways[-1].items() if state in GRAMMAR.finals), default=(0.0, nothing))
-        return {c: w for c, w in zip(CLASSES, best[1], strict=True) if w}
-
-    def features(self, text: str, matcher: ahocorasick.Automaton) -> list[float]:
-        """1, then the logarithm of 1 + the summed weight of the clauses of each class. Each clause is read once."""
-        low = text.lower()
-        sums = dict.fromkeys(CLASSES, 0.0)
-        left = done = 0
-        for end, size in matcher.iter(low):
-            start = end - size + 1
-            if start < done or (start and low[start - 1].isalnum()):
-                continue
-            for m in _END.finditer(low, left, start):
-                left = m.end()
-            stop = _END.search(low, start)
-            done = stop.start() if stop else len(low)
-            for kind, weight in self.clause(_WORD.findall(low, left, done)).items():
-                sums[kind] += weight
-            left = done
-        return [1.0, *(float(np.log1p(v)) for v in sums.values())]
+        """The summed weights of insults and threats by class on the best path; of equal paths the first in order of classes counts."""
+        found = [(at, fitting) for at, word in enumerate(words) if (fitting := _fitting(self.of_word(word), words, at))]
+        return {c: w for c, w in zip(CLASSES, _best_path(found, 0, len(words)), strict=True) if w}
+
+    def features(self, text: str, matcher: _Words) -> list[float]:
+        """1, then the logarithm of 1 + the summed weight of the clauses of each class. Only clauses with an insult or a threat are read."""
+        sums = [0.0] * len(CLASSES)
+        for words in _stretches(text.lower()):
+            start, found, telling = 0, [], False
+            following = (*words[1:], "")
+            marked = [
+                (at, arcs)
+                for at, (arcs, after) in enumerate(zip(map(matcher.__getitem__, words), following, strict=True))
+                if arcs is not None and (arcs is _CLAUSE_END or arcs[0] or after in arcs[1])
+            ]
+            for at, arcs in (*marked, (len(words), _CLAUSE_END)):
+                if arcs is not _CLAUSE_END:
+                    if fitting := _fitting(arcs, words, at):
+                        found.append((at, fitting))
+                        telling = telling or any(symbol in ("insult", "threat") for symbol, _, _ in fitting)
+                    continue
+                if telling:
+                    sums = [a + b for a, b in zip(sums, _best_path(found, start, at), strict=True)]
+                start, found, telling = at + 1, [], False
+        return [1.0, *(float(np.log1p(v)) for v in sums)]
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ np.array(self.weights), -35, 35)))
 
 
+def _fitting(arcs: _Arcs | None, words: list[str], at: int) -> list[tuple[str, float, int]]:
+    """(symbol, weight, number of words) of the arcs whose further words follow."""
+    if arcs is None:
+        return []
+    longer = arcs[1].get(words[at + 1], ()) if arcs[1] and at + 1 < len(words) else ()
+    found = [(symbol, weight, 1) for symbol, weight in arcs[0]]
+    return found + [(symbol, weight, 1 + len(rest)) for rest, symbol, weight in longer if words[at + 1 : at + 1 + len(rest)] == rest]
+
+
+def _stretches(low: str) -> Iterator[list[str]]:
+    """The words and ends of clauses of a text, in stretches of whole clauses."""
+    left = 0
+    while left < len(low):
+        stop = _END.search(low, left + STRETCH)
+        right = stop.end() if stop else len(low)
+        yield _WORD_OR_END.findall(low, left, right)
+        left = right
+
+
+def _best_path(found: list, start: int, stop: int) -> tuple[float, ...]:
+    """The sums by class of the best path through a clause, from start to stop, that has these readings and other words besides.
+
+    Paths that meet in a state at a place go on as the best of them, so the work grows with the readings, not the paths.
+    """
+    ways: dict[int, dict] = {start: dict.fromkeys(_NUMBERED.starts, (0.0, _NOTHING))}
+
+    def arrived(at: int) -> dict:
+        here: dict = {}
+        for place in [p for p in ways if p <= at]:
+            ahead = _NUMBERED.after_others(at - place)
+            for state, way in ways.pop(place).items():
+                after = ahead[state]
+                if after not in here or way > here[after]:
+                    here[after] = way
+        return here
+
+    for at, fitting in found:
+        here = arrived(at)
+        for symbol, weight, n in fitting:
+            arcs, ahead, there = _NUMBERED.arcs[symbol], _NUMBERED.after_others(n - 1), ways.setdefault(at + n, {})
+            for state, (score, sums) in here.items():
+                for k, added, after in arcs[state]:
+                    if k is None:
+                        way = (score + added, sums)
+                    else:
+                        way = (score + added + weight, (*sums[:k], sums[k] + weight, *sums[k + 1 :]))
+                    after = ahead[after]
+                    if after not in there or way > there[after]:
+                        there[after] = way
+    return max((way for state, way in arrived(stop).items() if state in _NUMBERED.finals), default=(0.0, _NOTHING))[1]
+
+
 def _unit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     toxic, clean = Counter(), Counter()
     for batch in batches:
@@ -242,10 +335,11 @@ def _unit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             clean.clear()
 
 
-def learn(sample: DataFrame, most_arcs: int = MOST_ARCS, least_docs: int = 6, least_odds: float = 3.0) -> Grammar:
+def learn(sample: DataFrame, least_docs: int = 6, least_odds: float = 3.0) -> Grammar:
     """A grammar from rows (doc_id, text, y): arcs by log odds of documents, then weights by logistic loss.
 
-    sample has to be bounded; what comes to the driver are at most most_arcs arcs and six numbers for each row.
+    sample has to be bounded; what comes to the driver are the arcs, each in least_docs of its toxic rows (in a tenth of
+    them, where these are few), and six numbers for each row.
     """
     totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
@@ -257,7 +351,7 @@ def learn(sample: DataFrame, most_arcs: int = MOST_ARCS, least_docs: int = 6, le
         counts.groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .filter(F.col("toxic") >= min(least_docs, max(2, n_toxic // 10)))
         .withColumn("odds", odds).filter(F.col("odds") >= least_odds)
-        .orderBy(F.desc("odds"), "unit").limit(most_arcs).select("unit", "odds")
+        .select("unit", "odds")
     )
     found = {r["unit"]: r["odds"] / least_odds for r in arcs.collect()}
     # A phrase is an arc only where none of its words tells as much.
