@@ -283,7 +283,8 @@ def _stretches(low: str) -> Iterator[list[str]]:
     while left < len(low):
         stop = _END.search(low, left + STRETCH)
         right = stop.end() if stop else len(low)
-        yield _WORD_OR_END.findall(low, left, right)
+        if words := _WORD_OR_END.findall(low, left, right):
+            yield words
         left = right
 
 

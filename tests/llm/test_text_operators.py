@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -378,6 +379,24 @@ def test_clauses_have_no_bound_in_characters():
     assert grammar.features("kill " * 50_000 + "it", matcher) == [1.0, 0, 0, 0, 0, 0]
 
 
+def test_whole_texts_equal_their_clauses_read_one_by_one(monkeypatch):
+    """Neither the stretches a text is cut into nor the words that are remembered change a result."""
+    grammar = toxicity.Grammar({"grob*": 1.5, "idle": 1.0, "no": 1.2, "idle fellow": 2.5, "you": 0.1})
+    rng = random.Random(13)
+    pieces = ["Grobber", "idle", "idle fellow", "no longer", "KILL", "you", "said", "don't", "x", "beat up", "a_b", "naïve", ".", "!?", ";\n", "\n", ","]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    for text in ("", " ", "--- _", "...", ". ", "idle. ", *texts):
+        sums = dict.fromkeys(toxicity.CLASSES, 0.0)
+        for clause in toxicity._END.split(text.lower()):
+            for kind, weight in grammar.clause(toxicity._WORD.findall(clause)).items():
+                sums[kind] += weight
+        wanted = [1.0, *(float(np.log1p(v)) for v in sums.values())]
+        for stretch, remembered in ((100_000, 200_000), (1, 200_000), (17, 2)):
+            monkeypatch.setattr(toxicity, "STRETCH", stretch)
+            monkeypatch.setattr(toxicity, "REMEMBERED", remembered)
+            assert grammar.features(text, grammar.matcher()) == pytest.approx(wanted), (text, stretch)
+
+
 def test_quality_on_held_out_rows(spark, labelled):
     docs, labels = labelled
     fitted = ranking.learn_from(docs, labels)
