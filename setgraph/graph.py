@@ -105,7 +105,7 @@ class Properties:
             rows.append((*key, *(_typed(values.get(c), kinds[c]) for c in named), *(c in values for c in named), texts))
         schema = [f"{k} {kinds[k]}" for k in self.keys] + [f"`_new_{c}` {kinds[c]}" for c in named] + [f"`_has_{c}` boolean" for c in named] + ["_misc map<string,string>"]
         new = self.table.sparkSession.createDataFrame(rows, ", ".join(schema)).withColumn("_edit", F.lit(True))
-        both = self.table.withColumn("_old", F.lit(True)).join(F.broadcast(new) if len(rows) < 10_000 else new, list(self.keys), "full_outer")
+        both = self.table.withColumn("_old", F.lit(True)).join(new, list(self.keys), "full_outer")
         value = {}
         for c in named:
             default = F.when(F.col("_old").isNull(), F.lit(self.defaults.get(c)).cast(kinds[c]))
@@ -452,7 +452,7 @@ class HGraph:
     def size(self, edge, nodeset: Iterable | None = None) -> int:
         own = self.incidences.filter(F.col("edge") == F.lit(edge))
         if nodeset is not None:
-            own = own.join(F.broadcast(id_table(self.spark, nodeset, self.incidences.schema["node"].dataType, "node")), "node", "left_semi")
+            own = own.join(id_table(self.spark, nodeset, self.incidences.schema["node"].dataType, "node"), "node", "left_semi")
         return own.count()
 
     def dim(self, edge) -> int:

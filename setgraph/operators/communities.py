@@ -21,6 +21,10 @@ from .pairs import dense_index
 
 #: The most pairs of a size of edges and a number of nodes whose expected weights go to every task.
 MOST_TERMS = 100_000
+#: The most different volumes of parts that go to every task.
+MOST_VOLUMES = 100_000
+#: Numbers that a task holds at a time when volumes meet sizes of edges.
+GRID = 2_000_000
 #: Smaller gains of a move may be errors of rounding.
 LEAST_GAIN = 0.1
 #: The same for a node's move, as a part of all weight.
@@ -74,8 +78,9 @@ def binomial(c: Column, d: Column, p: Column) -> Column:
 def modularity(graph: HGraph, parts: DataFrame | Mapping | Iterable[Iterable], wdc: Callable[[Column, Column], Column] = linear, weighted: bool | None = None) -> float:
     """The part of edge weight within majorities of a part, less what is expected from degrees.
 
-    Sizes of edges and volumes of parts meet, each of them grouped first; the sizes of both sides are checked before
-    one is sent to all tasks. weighted None: by edge weights where some are stored.
+    Sizes of edges and volumes of parts meet, each of them grouped first. Of the two the volumes go to every task if
+    there are at most MOST_VOLUMES, else the sizes; more than MOST_TERMS of these raise then. weighted None: by edge
+    weights where some are stored.
     """
     if weighted is None:
         weighted = not graph.edge_properties.table.isEmpty()
@@ -89,11 +94,15 @@ def modularity(graph: HGraph, parts: DataFrame | Mapping | Iterable[Iterable], w
         raise SetGraphError("modularity of a graph without edges")
     volumes = placed.groupBy("part").agg(F.sum("w").alias("vol"))
     whole = volumes.agg(F.sum("vol")).first()[0]
-    volumes = volumes.groupBy("vol").agg(F.count("*").alias("same")).withColumn("p", F.col("vol") / whole)
+    volumes = cut_lineage(volumes.groupBy("vol").agg(F.count("*").alias("same")).withColumn("p", F.col("vol") / whole))
     sizes = edges.groupBy("d").agg(F.sum("w").alias("n_d")).withColumn("c", F.explode(F.sequence(F.floor(d / 2) + 1, d)))
     sizes = sizes.withColumn("v", F.col("n_d") * wdc(d, F.col("c"))).filter("v <> 0")
-    met = sizes.join(F.broadcast(volumes), F.lit(True)) if volumes.count() <= 100_000 else sizes.join(volumes, F.lit(True))
-    tax = met.agg(F.coalesce(F.sum(F.col("v") * F.col("same") * binomial(F.col("c"), d, F.col("p"))), F.lit(0.0))).first()[0]
+    if volumes.count() <= MOST_VOLUMES:
+        met = sizes.join(F.broadcast(volumes), F.lit(True)).select((F.col("v") * F.col("same") * binomial(F.col("c"), d, F.col("p"))).alias("x"))
+    else:
+        terms = bounded_rows(sizes.select("d", "c", "v"), MOST_TERMS, f"sizes of edges, of a graph with more than {MOST_VOLUMES} volumes of parts")
+        met = volumes.select("same", _expected(terms, whole)("vol").alias("x")).select((F.col("same") * F.col("x")).alias("x"))
+    tax = met.agg(F.coalesce(F.sum("x"), F.lit(0.0))).first()[0]
     edges.unpersist()
     return (inside - tax) / total
 
@@ -294,7 +303,12 @@ def _expected(sizes: list, whole: float):
     @F.pandas_udf("double")
     def expected(volume: pd.Series) -> pd.Series:
         p = np.clip(volume.to_numpy(float) / whole, 1e-300, 1 - 1e-16)[:, None]
-        return pd.Series((v * np.exp(choices + c * np.log(p) + (d - c) * np.log1p(-p))).sum(1))
+        hit, miss, out = np.log(p), np.log1p(-p), np.zeros(len(p))
+        step = max(1, GRID // max(1, len(p)))
+        for at in range(0, len(v), step):
+            some = slice(at, at + step)
+            out += (v[some] * np.exp(choices[some] + c[some] * hit + (d - c)[some] * miss)).sum(1)
+        return pd.Series(out)
 
     return expected
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,6 @@ from ..plans.lineage import cut_lineage
 from . import components as stars
 from .distances import all_pairs, reach, single_source
 from .pairs import get_linegraph, pair_counts
-from .transforms import restrict_to
 
 #: Ids that a list of all components holds at most.
 MOST_LISTED = 1_000_000
@@ -84,15 +84,33 @@ def labelled_incidences(graph: HGraph, s: int = 1, edges: bool = True, return_si
     return graph.incidences.join(labels.withColumnRenamed("id", own), own)
 
 
+def write_component_subgraphs(graph: HGraph, folder: str, s: int = 1, edges: bool = True, return_singletons: bool = False) -> None:
+    """All component subgraphs, written by one job to a folder of the shared file system.
+
+    Incidences are sorted by component, so that component_subgraph reads only the row groups that hold its own; a
+    component with most of the rows is spread over files by its edge (or node).
+    """
+    own, _ = side(EDGES if edges else NODES)
+    rows = labelled_incidences(graph, s, edges, return_singletons)
+    rows.repartitionByRange("component", own).sortWithinPartitions("component").write.mode("overwrite").parquet(folder)
+
+
+def component_subgraph(graph: HGraph, folder: str, component, name: str | None = None) -> HGraph:
+    """One component (named by its least id) of those that write_component_subgraphs wrote, with the graph's properties."""
+    found = graph.spark.read.parquet(folder).filter(F.col("component") == F.lit(component))
+    return replace(graph, incidences=found.select(*graph.incidences.columns), name=name or f"{graph.name}:{component}")
+
+
 def s_component_subgraphs(graph: HGraph, s: int = 1, edges: bool = True, return_singletons: bool = False, name: str | None = None) -> Iterator[HGraph]:
-    """A restricted graph for each component, named name:i, by least id. For many components use labelled_incidences."""
-    level = EDGES if edges else NODES
-    labels = component_labels(graph, s, edges).persist()
-    sizes = labels.groupBy("component").count()
-    roots = (sizes if return_singletons else sizes.filter("count > 1")).orderBy("component")
-    for i, row in enumerate(roots.toLocalIterator()):
-        members = labels.filter(F.col("component") == F.lit(row["component"])).select("id")
-        yield restrict_to(graph, level, members, f"{name or graph.name}:{i}")
+    """A restricted graph for each component, named name:i, by least id.
+
+    Components are found and joined with the incidences once; each graph is a filter of that table. For many components
+    use write_component_subgraphs, or labelled_incidences as a whole.
+    """
+    labelled = cut_lineage(labelled_incidences(graph, s, edges, return_singletons))
+    for i, row in enumerate(labelled.select("component").distinct().orderBy("component").toLocalIterator()):
+        own = labelled.filter(F.col("component") == F.lit(row["component"]))
+        yield replace(graph, incidences=own.select(*graph.incidences.columns), name=f"{name or graph.name}:{i}")
 
 
 def connected_component_subgraphs(graph: HGraph, return_singletons: bool = True, name: str | None = None) -> Iterator[HGraph]:

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from ..errors import TooLargeError
 from ..graph import EDGES, NODES, HGraph, id_table, side
+from ..plans.guards import bounded_rows
 from ..plans.lineage import cut_lineage
 
 #: The most columns of a wide table.
 MOST_COLUMNS = 5_000
+#: The longest list of one id's neighbours.
+MOST_NEIGHBORS = 1_000_000
 #: The least s for which candidates come from prefixes.
 PREFIX_FROM = 4
 
@@ -78,7 +81,8 @@ def auxiliary_matrix(graph: HGraph, s: int = 1, node: bool = True) -> tuple[Data
     return matrix.select(F.col("row").alias("id")).distinct(), matrix
 
 
-def _around(graph: HGraph, level: int, uid, s: int) -> DataFrame:
+def neighbor_table(graph: HGraph, uid, s: int = 1, level: int = NODES) -> DataFrame:
+    """node (or edge, at level 0) and overlap: what shares at least s ids with one node (or edge)."""
     own, other = side(level)
     mine = graph.pairs.filter(F.col(own) == F.lit(uid)).select(other)
     near = graph.pairs.join(mine, other, "left_semi").filter(F.col(own) != F.lit(uid))
@@ -86,13 +90,14 @@ def _around(graph: HGraph, level: int, uid, s: int) -> DataFrame:
 
 
 def neighbors(graph: HGraph, node, s: int = 1) -> list:
-    """Nodes that share at least s edges with a node, sorted; none for an unknown one."""
-    return sorted(r[0] for r in _around(graph, NODES, node, s).select("node").collect())
+    """Nodes that share at least s edges with a node, sorted; none for an unknown one. More than MOST_NEIGHBORS raise;
+    neighbor_table has them all."""
+    return sorted(r[0] for r in bounded_rows(neighbor_table(graph, node, s), MOST_NEIGHBORS, "neighbours"))
 
 
 def edge_neighbors(graph: HGraph, edge, s: int = 1) -> list:
-    """Edges that share at least s nodes with an edge, sorted; none for an unknown one."""
-    return sorted(r[0] for r in _around(graph, EDGES, edge, s).select("edge").collect())
+    """Edges that share at least s nodes with an edge, sorted; none for an unknown one. Bounded as neighbors are."""
+    return sorted(r[0] for r in bounded_rows(neighbor_table(graph, edge, s, EDGES), MOST_NEIGHBORS, "neighbours"))
 
 
 def containment(graph: HGraph, collapse: bool = True) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import TooLargeError
 from ..graph import EDGES, NODES, HGraph
 from . import connectivity
 from .pairs import neighbors, toplexes
 
+#: The longest list of values in dist_stats.
+MOST_VALUES = 1_000_000
+
 
 def _histogram(values: DataFrame, value: str) -> DataFrame:
     return values.groupBy(value).agg(F.count("*").alias("n"))
@@ -97,8 +101,12 @@ def info(graph: HGraph, node=None, edge=None) -> str:
     return "\n".join([what, *(f"{k}: {v}" for k, v in found.items())])
 
 
-def dist_stats(graph: HGraph) -> dict:
-    """Sizes, degrees and components: sorted values from the largest, statistics, histograms, maxima, numbers."""
+def dist_stats(graph: HGraph, lists: bool = True) -> dict:
+    """Sizes, degrees and components: sorted values from the largest, statistics, histograms, maxima, numbers.
+
+    The sorted values have an entry for each edge, node or component, and more than MOST_VALUES raise; without lists
+    only the histograms, one entry for each different value, come to the driver.
+    """
     out = info_dict(graph)
     for name, table, column in (
         ("edge_size", edge_size_dist(graph), "size"),
@@ -108,9 +116,12 @@ def dist_stats(graph: HGraph) -> dict:
         table = table.persist()
         hist = {r[0]: r[1] for r in _histogram(table, column).orderBy(column).collect()}
         out[f"{name}_hist"] = hist
-        out[f"{name}_list"] = [v for v in sorted(hist, reverse=True) for _ in range(hist[v])]
+        if lists:
+            if sum(hist.values()) > MOST_VALUES:
+                raise TooLargeError(f"{name}: a list of more than {MOST_VALUES} values; ask for no lists")
+            out[f"{name}_list"] = [v for v in sorted(hist, reverse=True) for _ in range(hist[v])]
         out[f"{name}_stats"] = centrality_stats(table, column)
         out[f"max_{name}"] = max(hist, default=0)
         table.unpersist()
-    out["num_s_comps"] = len(out["s_comp_size_list"])
+    out["num_s_comps"] = sum(out["s_comp_size_hist"].values())
     return out

@@ -403,14 +403,14 @@ def set_layering(spark, sf_dir):
 def neighbors_one(spark, sf_dir):
     graph = order_part(spark, sf_dir)
     least = graph.pairs.agg(F.min("node")).first()[0]
-    return spark.createDataFrame([(x,) for x in graph.neighbors(least)], "id long")
+    return pairs.neighbor_table(graph, least).select(F.col("node").alias("id"))
 
 
 @query("SELECT DISTINCT b.edge AS id FROM inc a JOIN inc b USING (node) WHERE a.edge = (SELECT min(edge) FROM inc) AND b.edge <> a.edge")
 def edge_neighbors_one(spark, sf_dir):
     graph = order_part(spark, sf_dir)
     least = graph.pairs.agg(F.min("edge")).first()[0]
-    return spark.createDataFrame([(x,) for x in graph.edge_neighbors(least)], "id long")
+    return pairs.neighbor_table(graph, least, level=0).select(F.col("edge").alias("id"))
 
 
 @query("SELECT a.node AS src, b.node AS dst, round(sum(1.0 / (size - 1)), 6) AS weight FROM inc a JOIN inc b ON a.edge = b.edge AND a.node < b.node JOIN sizes s ON s.edge = a.edge GROUP BY ALL")
@@ -483,7 +483,7 @@ def get_pi(spark, sf_dir):
 
 @query("SELECT 'edge_size' AS what, size AS value, count(*) AS n FROM sizes GROUP BY size UNION ALL SELECT 'degree', degree, count(*) FROM degrees GROUP BY degree")
 def dist_stats(spark, sf_dir):
-    found = reports.dist_stats(order_part(spark, sf_dir))
+    found = reports.dist_stats(order_part(spark, sf_dir), lists=False)
     rows = [(what, value, n) for what in ("edge_size", "degree") for value, n in found[f"{what}_hist"].items()]
     return spark.createDataFrame(rows, "what string, value long, n long")
 
@@ -774,6 +774,122 @@ def diameter(spark, sf_dir):
     return spark.createDataFrame([(part_supplier(spark, sf_dir).diameter(),)], "diameter long")
 
 
+@query(_SUPPLIERS + " SELECT max(d)::BIGINT AS diameter FROM sd")
+def edge_diameter(spark, sf_dir):
+    """Of suppliers as edges, whose nodes are parts."""
+    return spark.createDataFrame([(part_supplier(spark, sf_dir).dual().edge_diameter(),)], "diameter long")
+
+
+# -- reading single ids, edits, constructors ----------------------------------------------------------------------
+
+
+@query(", t AS (SELECT edge, node // 10 AS node, node AS was, weight FROM inc) SELECT edge, node, min_by(weight, was) AS weight FROM t GROUP BY ALL")
+def rename_nodes(spark, sf_dir):
+    graph = order_part(spark, sf_dir)
+    mapping = graph.pairs.select(F.col("node").alias("old"), F.expr("node div 10").alias("new")).distinct()
+    return graph.rename(nodes=mapping).incidences.select("edge", "node", "weight")
+
+
+_LEAST = ", le AS (SELECT min(edge) AS edge FROM inc), ln1 AS (SELECT min(node) AS node FROM inc)"
+
+
+@query(
+    _LEAST
+    + """ SELECT (SELECT count(*) FROM degrees) AS n_nodes, (SELECT count(*) FROM sizes) AS n_edges, true AS same, false AS same_without, true AS held, false AS held_other,
+    (SELECT size FROM sizes JOIN le USING (edge)) AS size, (SELECT size - 1 FROM sizes JOIN le USING (edge)) AS dim, (SELECT count(*) FROM inc JOIN le USING (edge) WHERE node % 2 = 0) AS size_even,
+    (SELECT degree FROM degrees JOIN ln1 USING (node)) AS degree, (SELECT count(*) FROM inc JOIN ln1 USING (node) JOIN sizes USING (edge) WHERE size BETWEEN 2 AND 3) AS degree_2_3"""
+)
+def graph_facts(spark, sf_dir):
+    """Shape, equality with a copy and with a lesser graph, membership, and the least edge's and node's numbers."""
+    graph = order_part(spark, sf_dir).persist()
+    edge, node = graph.pairs.agg(F.min("edge"), F.min("node")).first()
+    even = graph.pairs.filter("node % 2 = 0").select("node").distinct()
+    lesser = graph.remove_edges([edge])
+    row = (*graph.shape, graph.clone("copy") == graph, lesser == graph, node in graph, -1 in graph, graph.size(edge), graph.dim(edge), graph.size(edge, even), graph.degree(node), graph.degree(node, 2, 3))
+    graph.incidences.unpersist()
+    kinds = "n_nodes long, n_edges long, same boolean, same_without boolean, held boolean, held_other boolean, size long, dim long, size_even long, degree long, degree_2_3 long"
+    return spark.createDataFrame([row], kinds)
+
+
+@query(
+    _LEAST
+    + """ SELECT (SELECT count(*) FROM sizes) AS n_edges, (SELECT count(*) FROM degrees) AS n_nodes, (SELECT count(*) FROM inc) AS n_cells, false AS empty, true AS held, false AS held_other,
+    (SELECT edge FROM le) AS first_edge, (SELECT count(*) FROM inc JOIN le USING (edge)) AS n_members, (SELECT o_totalprice::DOUBLE FROM orders JOIN le ON edge = o_orderkey) AS weight,
+    (SELECT o_orderstatus FROM orders JOIN le ON edge = o_orderkey) AS status, 1.0::DOUBLE AS node_weight, (SELECT weight FROM inc JOIN le USING (edge) ORDER BY node LIMIT 1) AS cell_weight"""
+)
+def view_facts(spark, sf_dir):
+    """Views: lengths, membership, the first id, and the properties of single ids at all three levels."""
+    stored = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("uid"), F.col("o_totalprice").cast("double").alias("weight"), F.col("o_orderstatus").alias("status"))
+    graph = order_part(spark, sf_dir).persist().with_properties(edge_properties=stored)
+    edge = next(iter(graph.edges))
+    members = graph.edges[edge]
+    row = (
+        *(len(view) for view in (graph.edges, graph.nodes, graph.cells)), graph.edges.is_empty(), (edge, members[0]) in graph.cells, (edge, -1) in graph.cells, edge, len(members),
+        members.weight, graph.get_properties(edge, 0, "status"), graph.get_properties(members[0], 1)["weight"], graph.get_cell_properties(edge, members[0], "weight"),
+    )
+    graph.incidences.unpersist()
+    kinds = "n_edges long, n_nodes long, n_cells long, empty boolean, held boolean, held_other boolean, first_edge long, n_members long, weight double, status string, node_weight double, cell_weight double"
+    return spark.createDataFrame([row], kinds)
+
+
+@query(
+    """SELECT o_orderkey AS uid, CASE WHEN o_orderkey = 1 THEN 5.0 ELSE o_totalprice END::DOUBLE AS weight, CASE o_orderkey WHEN 1 THEN 'seen' WHEN 2 THEN 'held' ELSE o_orderstatus END AS status,
+    CASE o_orderkey WHEN 2 THEN 'red' ELSE 'grey' END AS colour FROM orders UNION ALL SELECT -1, 7.0, NULL, 'grey'"""
+)
+def property_edits(spark, sf_dir):
+    """Single and several values set, an id without a row before, and a default that becomes a column."""
+    stored = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("uid"), F.col("o_totalprice").cast("double").alias("weight"), F.col("o_orderstatus").alias("status"))
+    graph = order_part(spark, sf_dir).with_properties(edge_properties=stored)
+    edited = graph.edge_properties.set_properties(1, {"weight": 5.0, "status": "seen"}).set_property(2, "status", "held").set_property(2, "colour", "red").set_property(-1, "weight", 7.0)
+    return edited.set_defaults({"colour": "grey"}).table.select("uid", "weight", "status", "colour")
+
+
+@query("SELECT edge, node, 2.0::DOUBLE AS weight, coalesce(o_orderpriority, 'none') AS priority FROM inc LEFT JOIN orders ON o_orderkey = edge")
+def view_defaults(spark, sf_dir):
+    """Defaults of a view: a column of the edges' view, filled where an edge has none; cells keep their edge's."""
+    stored = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("uid"), F.lit(2.0).alias("weight"), F.col("o_orderpriority").alias("priority"))
+    graph = order_part(spark, sf_dir).with_properties(edge_properties=stored).edges.set_defaults({"priority": "none"})
+    return graph.pairs.join(graph.edges.dataframe().withColumnRenamed("uid", "edge"), "edge").select("edge", "node", "weight", "priority")
+
+
+@query("SELECT edge, node FROM inc")
+def array_column_round_trip(spark, sf_dir):
+    """To a row for each edge with the array of its nodes, and back."""
+    return build.from_array_column(order_part(spark, sf_dir).elements(), "nodes", "edge").pairs
+
+
+@query("SELECT dense_rank() OVER (ORDER BY edge) - 1 AS edge, node FROM nat")
+def sets_constructor(spark, sf_dir):
+    """A list of sets, nations in order; an edge's id is its place."""
+    sets = [r["nodes"] for r in nation_supplier(spark, sf_dir).elements().orderBy("edge").collect()]
+    return build.hypergraph(spark, sets).pairs
+
+
+@query("SELECT edge::BIGINT AS edge, node FROM nat")
+def pairs_constructor(spark, sf_dir):
+    """An array of two columns."""
+    return build.hypergraph(spark, nation_supplier(spark, sf_dir).pairs.toPandas().to_numpy()).pairs
+
+
+class _Coordinates:
+    """A sparse matrix as the constructors take it."""
+
+    def __init__(self, cells, shape):
+        self.row, self.col, self.data, self.shape = cells["i"].to_numpy(), cells["j"].to_numpy(), cells["value"].to_numpy(), shape
+
+
+@query(
+    """, n AS (SELECT node, dense_rank() OVER (ORDER BY node) - 1 AS i FROM ue), e AS (SELECT edge, dense_rank() OVER (ORDER BY edge) - 1 AS j FROM ue)
+    SELECT 'e' || j AS edge, 'v' || i AS node, weight FROM ue JOIN (SELECT DISTINCT * FROM n) USING (node) JOIN (SELECT DISTINCT * FROM e) USING (edge)"""
+)
+def sparse_matrix(spark, sf_dir):
+    """A sparse matrix by coordinates, sent as arrays."""
+    graph = user_event(spark, sf_dir)
+    cells, nodes, edges = pairs.incidence_matrix(graph, weights=True)
+    matrix = _Coordinates(cells.toPandas(), (nodes.count(), edges.count()))
+    return build.from_numpy_array(spark, matrix).incidences.select("edge", "node", "weight")
+
+
 # -- matching, homology numbers, random ---------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,29 +119,50 @@ def from_long_matrix(cells: DataFrame, row: str = "i", col: str = "j", value: st
     return HGraph.from_dataframe(kept.select(F.col(col).alias("edge"), F.col(row).alias("node"), weight.alias("weight")), "edge", "node", name=name)
 
 
-def from_numpy_array(
-    spark: SparkSession, matrix: np.ndarray, node_names: Sequence | None = None, edge_names: Sequence | None = None, name: str | None = None, key: Callable[[Column], Column] | None = None
-) -> HGraph:
-    """From a matrix of nodes by edges; names default to v0, v1, ... and e0, e1, ... Rows and columns of 0s vanish."""
-    matrix = np.asarray(matrix)
-    if matrix.ndim != 2:
-        raise SetGraphError("a matrix has two dimensions")
-    nodes = [f"v{i}" for i in range(matrix.shape[0])] if node_names is None else list(node_names)
-    edges = [f"e{j}" for j in range(matrix.shape[1])] if edge_names is None else list(edge_names)
-    if (len(nodes), len(edges)) != matrix.shape:
+def _cells(spark: SparkSession, matrix, zeros: bool = False) -> tuple[DataFrame, tuple[int, int]]:
+    """i, j, value, and the shape. zeros: those of a dense matrix too; a sparse one has the cells that it stores.
+
+    Arrays go to Spark as Arrow columns, not as rows of Python objects. Cells that are stored more than once add up.
+    """
+    if hasattr(matrix, "tocoo"):
+        matrix = matrix.tocoo()
+    if all(hasattr(matrix, part) for part in ("row", "col", "data", "shape")):
+        shape, i, j, value = tuple(matrix.shape), np.asarray(matrix.row), np.asarray(matrix.col), np.asarray(matrix.data)
+    else:
+        matrix = np.asarray(matrix)
+        if matrix.ndim != 2:
+            raise SetGraphError("a matrix has two dimensions")
+        shape = matrix.shape
+        i, j = (a.ravel() for a in np.indices(shape)) if zeros else np.nonzero(matrix)
+        value = matrix[i, j]
+    table = pa.table({"i": pa.array(i.astype(np.int64)), "j": pa.array(j.astype(np.int64)), "value": pa.array(value.astype(float))})
+    return spark.createDataFrame(table).groupBy("i", "j").agg(F.sum("value").alias("value")), shape
+
+
+def _named(cells: DataFrame, column: str, names: Sequence | None, n: int, letter: str) -> DataFrame:
+    """Places in a column become names, by default the letter and the place."""
+    if names is None:
+        return cells.withColumn(column, F.concat(F.lit(letter), F.col(column).cast("string")))
+    names = list(names)
+    if len(names) != n:
         raise SetGraphError("names and matrix differ in length")
-    cells = [(nodes[i], edges[j], float(matrix[i, j])) for i in range(len(nodes)) for j in range(len(edges))]
-    kinds = _id_type(nodes), _id_type(edges)
-    cells = list(zip(_as_ids([c[0] for c in cells], kinds[0]), _as_ids([c[1] for c in cells], kinds[1]), (c[2] for c in cells), strict=True))
-    df = spark.createDataFrame(cells, f"i {kinds[0]}, j {kinds[1]}, value double")
-    return from_long_matrix(df, key=key, name=name)
-
-
-def from_incidence_matrix(spark: SparkSession, matrix: np.ndarray, name: str | None = None) -> HGraph:
-    """From a matrix of nodes by edges, ids being places."""
-    i, j = np.nonzero(np.asarray(matrix))
-    cells = [(int(a), int(b), float(matrix[a][b])) for a, b in zip(i, j, strict=True)]
-    return from_long_matrix(spark.createDataFrame(cells, "i long, j long, value double"), name=name)
+    kind = _id_type(names)
+    known = cells.sparkSession.createDataFrame(list(enumerate(_as_ids(names, kind))), f"_at long, _name {kind}")
+    return cells.join(known, cells[column] == F.col("_at")).withColumn(column, F.col("_name")).drop("_at", "_name")
+
+
+def from_numpy_array(spark: SparkSession, matrix, node_names: Sequence | None = None, edge_names: Sequence | None = None, name: str | None = None, key: Callable[[Column], Column] | None = None) -> HGraph:
+    """From a matrix of nodes by edges, dense or sparse; names default to v0, v1, ... and e0, e1, ... Rows and columns of 0s vanish.
+
+    Sparse is what has tocoo(), or row, col, data and shape; key is asked for its stored cells only.
+    """
+    cells, (n, m) = _cells(spark, matrix, key is not None)
+    return from_long_matrix(_named(_named(cells, "i", node_names, n, "v"), "j", edge_names, m, "e"), key=key, name=name)
+
+
+def from_incidence_matrix(spark: SparkSession, matrix, name: str | None = None) -> HGraph:
+    """From a matrix of nodes by edges, dense or sparse, ids being places."""
+    return from_long_matrix(_cells(spark, matrix)[0], name=name)
 
 
 def from_incidence_dataframe(df: DataFrame, node_col: str | None = None, fillna: float = 0, key: Callable[[Column], Column] | None = None, name: str | None = None, return_only_dataframe: bool = False) -> HGraph | DataFrame:

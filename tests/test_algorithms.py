@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from graphs import BIGFISH, COMPONENTS, CONNECTIVITY, DUPES, FISH, MODULAR, SCOMP, SEVEN, SIXBYFIVE, TRILOOP, TRILOOP2
 
-from setgraph.errors import NonUniformError, SetGraphError
+from setgraph.errors import NonUniformError, SetGraphError, TooLargeError
 from setgraph.functions import rules
 from setgraph.operators import centrality, communities, connectivity, distances, epidemics, generators, homology, layout, matching, pairs, reports, walks
 from setgraph.operators.components import connected_components
@@ -69,6 +69,19 @@ def test_connectivity(graph):
     assert len(list(graph(COMPONENTS).connected_component_subgraphs())) == 3
 
 
+def test_written_component_subgraphs(spark, graph, tmp_path):
+    """All subgraphs by one job, each opened on its own; properties come along."""
+    g = graph(COMPONENTS).with_properties(edge_properties={"C": {"weight": 3.0}})
+    folder = str(tmp_path / "parts")
+    connectivity.write_component_subgraphs(g, folder)
+    assert sorted(r[0] for r in spark.read.parquet(folder).select("component").distinct().collect()) == ["A", "C"]
+    part = connectivity.component_subgraph(g, folder, "C")
+    assert part.shape == (2, 2) and part.edges["C"].weight == 3.0 and "PushedFilters: [IsNotNull(component), EqualTo(component,C)]" in part.incidences._jdf.queryExecution().toString()
+    assert connectivity.component_subgraph(g, folder, "E").shape == (0, 0)
+    connectivity.write_component_subgraphs(g, folder, edges=False, return_singletons=True)
+    assert [connectivity.component_subgraph(g, folder, c).shape for c in (1, 5, 7)] == [(4, 2), (2, 2), (1, 1)]
+
+
 def test_distances(graph):
     g = graph(SEVEN)
     assert g.diameter() == 3 == g.edge_diameter()
@@ -206,6 +219,19 @@ def test_modularity(graph):
     assert communities.modularity(even, parts[0]) == pytest.approx(0.414445, abs=1e-6)
 
 
+def test_modularity_with_many_volumes(graph, monkeypatch):
+    """Volumes or sizes go to every task, with the same result; a small grid is summed in steps; two large sides raise."""
+    g = graph(MODULAR)
+    parts = [[set("ABC"), set("DEF")], [set("ABCDEF")], [{x} for x in "ABCDEF"]]
+    wanted = [communities.modularity(g, p, rule) for rule in (rules.linear, rules.strict) for p in parts]
+    monkeypatch.setattr(communities, "MOST_VOLUMES", 0)
+    monkeypatch.setattr(communities, "GRID", 2)
+    assert [communities.modularity(g, p, rule) for rule in (rules.linear, rules.strict) for p in parts] == pytest.approx(wanted, abs=1e-9)
+    monkeypatch.setattr(communities, "MOST_TERMS", 2)
+    with pytest.raises(TooLargeError):
+        communities.modularity(g, parts[0])
+
+
 def test_communities(graph):
     g = graph(MODULAR)
     found = communities.dict2part({r["node"]: r["part"] for r in communities.kumar(g).collect()})

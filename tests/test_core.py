@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from graphs import CONNECTIVITY, DUPES, SEVEN, SINGLES, TRILOOP2
 
-from setgraph.errors import SetGraphError
+from setgraph.errors import SetGraphError, TooLargeError
 from setgraph.functions import properties as props
 from setgraph.graph import HGraph
-from setgraph.operators import transforms
+from setgraph.operators import pairs, reports, transforms
 from setgraph.sources import collections as build
 from setgraph.sources import interchange, texts
 
@@ -156,6 +156,41 @@ def test_constructors(spark):
     assert build.from_array_column(arrays, "members", "id").shape == (2, 2)
 
 
+class Coordinates:
+    def __init__(self, row, col, data, shape):
+        self.row, self.col, self.data, self.shape = row, col, data, shape
+
+    def tocoo(self):
+        return self
+
+
+def test_sparse_matrices(spark):
+    sparse = Coordinates([0, 0, 2, 2], [0, 2, 1, 1], [1.0, 2.0, 3.0, 4.0], (3, 3))  # one cell is stored in two pieces
+    dense = np.array([[1.0, 0, 2], [0, 0, 0], [0, 7, 0]])
+    for made in (build.from_numpy_array, build.from_incidence_matrix):
+        rows = [sorted(tuple(r)[:3] for r in made(spark, m).incidences.select("edge", "node", "weight").collect()) for m in (sparse, dense)]
+        assert rows[0] == rows[1] and len(rows[0]) == 3
+    named = build.from_numpy_array(spark, sparse, node_names=["a", "b", "c"], edge_names=[10, 20, 30])
+    assert {tuple(r) for r in named.pairs.collect()} == {(10, "a"), (30, "a"), (20, "c")} and named.get_cell_properties(20, "c", "weight") == 7.0
+    with pytest.raises(SetGraphError):
+        build.from_numpy_array(spark, sparse, node_names=["a"])
+    assert build.from_numpy_array(spark, dense, key=lambda v: v >= 0).incidences.count() == 9
+    assert build.from_numpy_array(spark, sparse, key=lambda v: v >= 2).incidences.count() == 2
+    assert build.from_incidence_matrix(spark, np.zeros((2, 2))).shape == (0, 0)
+
+
+def test_bounded_lists(seven, monkeypatch):
+    monkeypatch.setattr(pairs, "MOST_NEIGHBORS", 3)
+    with pytest.raises(TooLargeError):
+        seven.neighbors("A")
+    assert seven.neighbors("T2", 2) == ["K"]
+    assert {(r["node"], r["overlap"]) for r in pairs.neighbor_table(seven, "A").collect()} == {("C", 1), ("E", 1), ("K", 2), ("T2", 1), ("V", 1)}
+    assert reports.dist_stats(seven, lists=False)["num_s_comps"] == 1
+    monkeypatch.setattr(reports, "MOST_VALUES", 5)
+    with pytest.raises(TooLargeError):
+        reports.dist_stats(seven)
+
+
 def test_interchange(spark, seven, tmp_path):
     graph = seven.with_properties(edge_properties={"P": {"weight": 2.0, "color": "red"}})
     document = interchange.to_hif(graph, metadata={"source": "test"})
