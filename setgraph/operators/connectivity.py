@@ -22,20 +22,20 @@ MOST_LISTED = 1_000_000
 
 
 def bipartite_components(graph: HGraph) -> DataFrame:
-    """level, id (as text), component: components of edges and nodes together, over the incidences themselves.
+    """level, id (as text), component: components of edges and nodes together, named by the least id of the side with fewer.
 
-    Linear in the incidences, where the line graph of one hub would be quadratic.
+    The links are those from each id of that side to the least one that shares an id of the other side with it: no more
+    than the incidences, where the line graph of one hub would be quadratic, and among the ids of the lesser side only.
     """
-    kinds = [graph.incidences.schema[c].dataType.simpleString() for c in ("edge", "node")]
-    if all(k in ("bigint", "int", "smallint", "tinyint") for k in kinds):
-        far = graph.pairs.agg(*(f(F.col(c).cast("long")) for f in (F.min, F.max) for c in ("edge", "node"))).first()
-        if all(x is None or abs(x) < 1 << 62 for x in far):  # twice the id, plus the side, is a number for each
-            links = graph.pairs.select((F.col("edge").cast("long") * 2).alias("src"), (F.col("node").cast("long") * 2 + 1).alias("dst"))
-            found = stars.connected_components(links)
-            return found.select(F.pmod("id", F.lit(2)).cast("int").alias("level"), F.shiftright("id", 1).cast("string").alias("id"), "component")
-    links = graph.pairs.select(F.concat(F.lit("0"), F.col("edge").cast("string")).alias("src"), F.concat(F.lit("1"), F.col("node").cast("string")).alias("dst"))
-    found = stars.connected_components(links)
-    return found.select(F.substring("id", 1, 1).cast("int").alias("level"), F.expr("substring(id, 2)").alias("id"), "component")
+    pairs = cut_lineage(graph.pairs)
+    n_edges, n_nodes = pairs.agg(F.approx_count_distinct("edge"), F.approx_count_distinct("node")).first()
+    kept, passed = (EDGES, NODES) if n_edges < n_nodes else (NODES, EDGES)
+    own, other = side(kept)
+    least = pairs.groupBy(other).agg(F.min(own).alias("_least"))
+    found = stars.connected_components(pairs.join(least, other).filter(F.col(own) != F.col("_least")).select(F.col(own).alias("src"), F.col("_least").alias("dst")))
+    labels = pairs.select(F.col(own).alias("id")).distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    through = least.join(labels, F.col("_least") == F.col("id")).select(F.lit(passed).alias("level"), F.col(other).cast("string").alias("id"), "component")
+    return labels.select(F.lit(kept).alias("level"), F.col("id").cast("string").alias("id"), "component").unionByName(through)
 
 
 def component_labels(graph: HGraph, s: int = 1, edges: bool = True) -> DataFrame:
