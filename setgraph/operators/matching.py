@@ -77,23 +77,22 @@ def sampling_round(graph: HGraph, p: float, s: int, seed: int = 0) -> tuple[Data
 
 
 def iterated_sampling(graph: HGraph, s: int, max_iterations: int = 100, seed: int = 0) -> DataFrame:
-    """edge: matchings of samples of about s edges, one after the other among the edges still free, until at most s
-    are left; those are matched at the end. Raises where samples stay too large or rounds run out."""
-    d = uniform_size(graph)
-    rest, matched = graph, graph.incidences.select("edge").limit(0)
-    for step in range(max_iterations):
-        m = rest.dimensions()[0]
-        if m <= s:
-            return cut_lineage(matched.unionByName(maximal_matching(rest)))
-        p = min(1.0, s / (5 * m * d))
-        found, _ = sampling_round(rest, p, s, seed + step)
-        if found is None:
-            raise TooLargeError(f"a sample has more than {s} edges")
-        matched = cut_lineage(matched.unionByName(found))
-        touched = rest.pairs.join(found, "edge", "left_semi").select("node").distinct()
-        gone = rest.pairs.join(touched, "node", "left_semi").select("edge").distinct()
-        rest = HGraph.of(cut_lineage(rest.incidences.join(gone, "edge", "left_anti")))
-    raise SetGraphError(f"more than {s} edges are left after {max_iterations} rounds")
+    """edge: matchings of samples of about s / (5 d) edges of size d, one after the other among the edges still free, until
+    none is left. Up to s edges are one sample. Raises where a sample has more than s edges.
+
+    Every edge is in one sample, and a maximal matching by number of sample is what matching the samples in turn gives; so
+    all samples are matched at once, and how many there are, which grows with the graph, doesn't count as rounds.
+    max_iterations bounds the rounds of that matching, 100 times over.
+    """
+    d, m = uniform_size(graph), graph.dimensions()[0]
+    if m <= s:
+        return cut_lineage(maximal_matching(graph, most_rounds=max_iterations * 100))
+    if s < 1:
+        raise TooLargeError(f"a sample has more than {s} edges")
+    sample = F.pmod(F.xxhash64("edge", F.lit(seed), F.lit("sample")), F.lit(-(-5 * m * d // s)))
+    if not graph.incidences.select("edge").distinct().groupBy(sample.alias("sample")).count().filter(F.col("count") > s).isEmpty():
+        raise TooLargeError(f"a sample has more than {s} edges")
+    return cut_lineage(maximal_matching(graph, rank=sample, most_rounds=max_iterations * 100))
 
 
 def check_beta_condition(beta: float, beta_minus: float, d: int) -> bool:
