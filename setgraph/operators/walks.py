@@ -83,26 +83,55 @@ def norm_lap(graph: HGraph, weights: bool = False, check_connected: bool = True)
 
 
 def spec_clus(graph: HGraph, k: int, existing_lap: DataFrame | None = None, weights: bool = False, seed: int = 0, rounds: int = 30) -> DataFrame:
-    """node, cluster: k-means of the rows of the k leading eigenvectors of I - L, found by orthogonal iteration over the table."""
-    lap = (norm_lap(graph, weights) if existing_lap is None else existing_lap).persist()
-    ids = lap.select(F.col("row").alias("id")).distinct()
+    """node, cluster: k-means of the rows of the k leading eigenvectors of I - L, found by orthogonal
+    iteration: over the incidences for the unweighted Laplacian, which isn't made then, else over its table."""
+    if existing_lap is None and not weights:
+        if not is_connected(graph):
+            raise SetGraphError("the graph isn't connected")
+        ids, apply = _through_incidences(graph)
+    else:
+        lap = (norm_lap(graph, weights) if existing_lap is None else existing_lap).persist()
+        ids, apply = lap.select(F.col("row").alias("id")).distinct(), _by_table(lap)
     k = min(k, ids.count())
-    embedded = _orthogonal_iteration(lap, ids, k, seed, rounds)
+    embedded = _orthogonal_iteration(apply, ids, k, seed, rounds)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     rows = embedded.select("id", array_to_vector(F.when(norm > 0, F.transform("v", lambda x: x / norm)).otherwise(F.col("v"))).alias("features"))
     found = KMeans(k=k, seed=seed).fit(rows).transform(rows)
     return found.select(F.col("id").alias("node"), F.col("prediction").alias("cluster"))
 
 
-def _orthogonal_iteration(lap: DataFrame, ids: DataFrame, k: int, seed: int, rounds: int) -> DataFrame:
+def _by_table(lap: DataFrame):
+    """(vectors, k) -> row, s0, s1, ...: the Laplacian, a table (row, col, value), times k vectors (id, v)."""
+
+    def apply(vectors: DataFrame, k: int) -> DataFrame:
+        step = lap.join(vectors.withColumnRenamed("id", "col"), "col")
+        return step.groupBy("row").agg(*(F.sum(F.col("value") * F.col("v")[j]).alias(f"s{j}") for j in range(k)))
+
+    return apply
+
+
+def _through_incidences(graph: HGraph):
+    """The nodes (id), and what _by_table gives for norm_lap without weights: vectors go to the edges as means and back."""
+    cells = cut_lineage(graph.pairs)
+    degrees = cut_lineage(cells.groupBy(F.col("node").alias("id")).agg(F.count("*").alias("degree")))
+
+    def apply(vectors: DataFrame, k: int) -> DataFrame:
+        own = vectors.join(degrees, "id")
+        sent = own.select(F.col("id").alias("node"), *((F.col("v")[j] / F.sqrt("degree")).alias(f"x{j}") for j in range(k)))
+        means = cells.join(sent, "node").groupBy("edge").agg(*(F.avg(f"x{j}").alias(f"x{j}") for j in range(k)))
+        came = cells.join(means, "edge").groupBy(F.col("node").alias("id")).agg(*(F.sum(f"x{j}").alias(f"x{j}") for j in range(k)))
+        return own.join(came, "id").select(F.col("id").alias("row"), *((F.col("v")[j] - F.col(f"x{j}") / F.sqrt("degree")).alias(f"s{j}") for j in range(k)))
+
+    return degrees.select("id"), apply
+
+
+def _orthogonal_iteration(apply, ids: DataFrame, k: int, seed: int, rounds: int) -> DataFrame:
     """Leading eigenvectors of 2I - L, which has those of I - L in the same order and no negative ones."""
     vectors = cut_lineage(ids.select("id", F.array(*(F.randn(seed + j) for j in range(k))).alias("v")))
     for _ in range(rounds):
         gram = np.array(vectors.agg(*(F.sum(F.col("v")[i] * F.col("v")[j]) for i in range(k) for j in range(k))).first()).reshape(k, k)
         back = np.linalg.inv(np.linalg.cholesky(gram)).T
         vectors = vectors.select("id", F.array(*(sum((F.col("v")[i] * float(back[i, j]) for i in range(k)), F.lit(0.0)) for j in range(k))).alias("v"))
-        step = lap.join(vectors.withColumnRenamed("id", "col"), "col")
-        step = step.groupBy("row").agg(*(F.sum(F.col("value") * F.col("v")[j]).alias(f"s{j}") for j in range(k)))
-        vectors = vectors.join(step, F.col("id") == F.col("row")).select("id", F.array(*(2 * F.col("v")[j] - F.col(f"s{j}") for j in range(k))).alias("v"))
+        vectors = vectors.join(apply(vectors, k), F.col("id") == F.col("row")).select("id", F.array(*(2 * F.col("v")[j] - F.col(f"s{j}") for j in range(k))).alias("v"))
         vectors = cut_lineage(vectors)
     return vectors
