@@ -105,11 +105,12 @@ _WORDS = re.compile(
 )
 
 
-# Read in lower case. A spelled digit is part of a number only beside another digit; at and dot without brackets need a dot.
+# Read in lower case. A spelled digit is part of a number only beside another digit; a dot may be spelled, an at without
+# brackets needs a known last label after it, whose dots may be plain.
 _NUMERAL, _BETWEEN = rf"(?:[0-9]|{_DIGIT})", r"[\s,().+-]*"
 _SIGNS = [
     re.compile(p)
-    for p in (r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]", r"(?<=\s)dot\s", rf"plus\s+{_NUMERAL}", rf"{_DIGIT}{_BETWEEN}{_NUMERAL}", rf"[0-9]{_BETWEEN}{_DIGIT}")
+    for p in (rf"at\s+(?:[a-z0-9-]++(?:{_DOT}|\.))+(?:{'|'.join(_LAST)})(?![a-z0-9-])", r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]", r"(?<=\s)dot\s", rf"plus\s+{_NUMERAL}", rf"{_DIGIT}{_BETWEEN}{_NUMERAL}", rf"[0-9]{_BETWEEN}{_DIGIT}")
 ]
 _ANY_SPELLED = re.compile(_DIGIT)
 
