@@ -6,6 +6,7 @@ driver, behind a size guard.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Sequence
 from itertools import combinations
 
@@ -25,29 +26,44 @@ MOST_CELLS, MOST_IMAGE = 20_000, 20
 # -- cells and boundaries as tables -------------------------------------------------------------------------------
 
 
-def kchainbasis(graph: HGraph, k: int) -> DataFrame:
-    """cell: the distinct sorted arrays of k + 1 nodes that an edge holds."""
+def _places(k: int) -> list[str]:
+    return [f"_{i}" for i in range(k + 1)]
+
+
+def _chains(graph: HGraph, k: int) -> DataFrame:
+    """The nodes of kchainbasis as columns, which are joined and sorted faster than arrays; a chain comes once for each edge."""
     if k < 0:
         raise SetGraphError("k has to be 0 or more")
-    cells = graph.pairs.select("edge", F.array("node").alias("cell"))
-    steps = graph.pairs.select("edge", "node")
-    for _ in range(k):
-        cells = cells.join(steps, "edge").filter(F.col("node") > F.element_at("cell", -1)).select("edge", F.concat("cell", F.array("node")).alias("cell"))
-    return cells.select("cell").distinct()
+    places = _places(k)
+    cells = graph.pairs.select("edge", F.col("node").alias(places[0]))
+    for last, place in itertools.pairwise(places):
+        cells = cells.join(graph.pairs.select("edge", F.col("node").alias(place)), "edge").filter(F.col(place) > F.col(last))
+    return cells.select(*places)
+
+
+def kchainbasis(graph: HGraph, k: int) -> DataFrame:
+    """cell: the distinct sorted arrays of k + 1 nodes that an edge holds."""
+    return _chains(graph, k).distinct().select(F.array(*_places(k)).alias("cell"))
 
 
 def indexed_cells(graph: HGraph, k: int) -> DataFrame:
     """cell, idx: places in the sorted order of cells."""
-    cells = kchainbasis(graph, k)
-    return dense_index(cells, "cell")
+    return dense_index(_chains(graph, k), *_places(k)).select(F.array(*_places(k)).alias("cell"), "idx")
 
 
-def boundary(lower: DataFrame, upper: DataFrame) -> DataFrame:
-    """row, col: the 1s of the boundary matrix from indexed cells of one dimension to those of the one below."""
-    faces = upper.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("cell") - 1)))
-    left_out = F.transform(F.filter(F.transform("cell", lambda x, j: F.struct(x.alias("x"), j.alias("j"))), lambda s: s["j"] != F.col("i")), lambda s: s["x"])
-    faces = faces.select(F.col("idx").alias("col"), left_out.alias("cell"))
-    return faces.join(lower.withColumnRenamed("idx", "row"), "cell").select("row", "col")
+def boundary(lower: DataFrame, upper: DataFrame, k: int | None = None) -> DataFrame:
+    """row, col: the 1s of the boundary matrix from indexed cells of dimension k (by default that of a first cell) to those of
+    the one below."""
+    if k is None:
+        first = upper.select(F.size("cell").alias("n")).first()
+        k = first["n"] - 1 if first else 1
+    if k < 1:
+        raise SetGraphError("dimensions have to be 1 or more")
+    places = _places(k)[1:]
+    at = lambda i: F.col("cell")[i]
+    ways = [F.struct(*(at(i).alias(p) for i, p in zip((i for i in range(k + 1) if i != out), places, strict=True))) for out in range(k + 1)]
+    faces = upper.select(F.col("idx").alias("col"), F.explode(F.array(*ways)).alias("way")).select("col", "way.*")
+    return faces.join(lower.select(F.col("idx").alias("row"), *(at(i).alias(p) for i, p in enumerate(places))), places).select("row", "col")
 
 
 def chain_complex(graph: HGraph, k: int | Sequence[int] | None = None) -> tuple[dict, dict]:
@@ -55,7 +71,7 @@ def chain_complex(graph: HGraph, k: int | Sequence[int] | None = None) -> tuple[
     largest = graph.edge_sizes().agg(F.max("size")).first()[0] or 0
     ks = krange(largest - 1, k)
     cells = {j: indexed_cells(graph, j).persist() for j in range(ks[0] - 1, ks[-1] + 2)}
-    return cells, {j: boundary(cells[j - 1], cells[j]) for j in range(ks[0], ks[-1] + 2)}
+    return cells, {j: boundary(cells[j - 1], cells[j], j) for j in range(ks[0], ks[-1] + 2)}
 
 
 def krange(most: int, k: int | Sequence[int] | None = None) -> list[int]:
