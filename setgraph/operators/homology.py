@@ -21,6 +21,8 @@ from .pairs import dense_index
 
 #: The most cells of a dimension for elimination on the driver; the largest image whose elements are listed.
 MOST_CELLS, MOST_IMAGE = 20_000, 20
+#: 1s of a product or a sum that a task counts.
+TASK_CELLS = 2_000_000
 
 
 # -- cells and boundaries as tables -------------------------------------------------------------------------------
@@ -89,9 +91,23 @@ def krange(most: int, k: int | Sequence[int] | None = None) -> list[int]:
 
 
 def logical_matmul_table(a: DataFrame, b: DataFrame) -> DataFrame:
-    """row, col of the 1s of a product mod 2 of two matrices given by their 1s."""
-    met = a.select("row", F.col("col").alias("_k")).join(b.select(F.col("row").alias("_k"), "col"), "_k")
-    return met.groupBy("row", "col").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("row", "col")
+    """row, col of the 1s of a product mod 2 of two matrices given by their 1s, which are read twice.
+
+    Each 1 of a meets the list of b's columns at its index, so that lists are sent to the product's rows, not 1s. A 1 of
+    the product seldom comes twice from one task, so they are counted only where all of a row are together. Tasks grow in
+    number with the products; rows with very many of them are dealt by column.
+    """
+    left, right = a.select(F.col("col").alias("_k"), "row"), b.select(F.col("row").alias("_k"), "col")
+    at = left.groupBy("_k").agg(F.count("*").alias("n")).join(right.groupBy("_k").agg(F.count("*").alias("m")), "_k")
+    made, longest = at.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
+    widest = left.groupBy("row").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    tasks, slices = _tasks(a, made), min(made, longest * widest) // TASK_CELLS + 1
+    right = right.withColumn("_slice", F.pmod(F.xxhash64("col"), F.lit(slices)).cast("int"))
+    lists = right.repartition(tasks, "_k", "_slice").groupBy("_k", "_slice").agg(F.collect_list("col").alias("cols"))
+    left = left.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    met = left.repartition(tasks, "_k", "_slice").join(lists, ["_k", "_slice"]).select("row", "_slice", "cols").repartition(tasks, "row", "_slice")
+    counts = met.select("row", "_slice", F.explode("cols").alias("col")).groupBy("row", "_slice", "col").agg(F.count("*").alias("n"))
+    return counts.filter("n % 2 = 1").select("row", "col")
 
 
 def logical_matadd_table(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -99,6 +115,10 @@ def logical_matadd_table(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("row", "col").unionAll(b.select("row", "col")).groupBy("row", "col").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("row", "col")
 
 
+def _tasks(rows: DataFrame, made: int) -> int:
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-made // TASK_CELLS))
+
+
 # -- small dense matrices mod 2 -----------------------------------------------------------------------------------
 
 
