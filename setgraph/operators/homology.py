@@ -111,8 +111,10 @@ def logical_matmul_table(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def logical_matadd_table(a: DataFrame, b: DataFrame) -> DataFrame:
-    """row, col of the 1s of a sum mod 2."""
-    return a.select("row", "col").unionAll(b.select("row", "col")).groupBy("row", "col").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("row", "col")
+    """row, col of the 1s of a sum mod 2. Both are read twice: tasks grow in number with the 1s, which are not counted before they meet."""
+    both = a.select("row", "col").unionAll(b.select("row", "col"))
+    met = both.repartition(_tasks(a, both.count()), "row", "col")
+    return met.groupBy("row", "col").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("row", "col")
 
 
 def _tasks(rows: DataFrame, made: int) -> int:
