@@ -104,22 +104,23 @@ def build_HEDCS(graph: HGraph, beta: float, beta_minus: float, most_rounds: int
     edge left out. In rounds: of the edges that break a bound, those first among the ones they meet are changed."""
     if not check_beta_condition(beta, beta_minus, uniform_size(graph)):
         raise SetGraphError("beta has to exceed beta_minus by the size of edges less one")
-    held = graph.incidences.select("edge").distinct().withColumn("in", F.lit(True))
+    # Rounds read what is written here, not what the graph was made from.
+    state = cut_lineage(graph.pairs.withColumn("in", F.lit(True)))
     for _ in range(most_rounds):
-        state = graph.pairs.join(held, "edge")
         degrees = state.groupBy("node").agg(F.count(F.when(F.col("in"), 1)).alias("degree"))
         total = state.join(degrees, "node").groupBy("edge", "in").agg(F.sum("degree").alias("total"))
         wrong = total.filter((F.col("in") & (F.col("total") > beta)) | (~F.col("in") & (F.col("total") < beta_minus)))
         wrong = cut_lineage(wrong.select("edge"))
         if wrong.isEmpty():
-            return HGraph.of(graph.incidences.join(held.filter("in"), "edge", "left_semi").select(*graph.incidences.columns), graph.default_cell_weight, graph.name)
-        change = maximal_matching(HGraph.of(graph.pairs.join(wrong, "edge", "left_semi"))).withColumn("_turn", F.lit(True))
-        held = cut_lineage(held.join(change, "edge", "left").select("edge", F.when(F.col("_turn"), ~F.col("in")).otherwise(F.col("in")).alias("in")))
+            return HGraph.of(graph.incidences.join(state.filter("in"), "edge", "left_semi").select(*graph.incidences.columns), graph.default_cell_weight, graph.name)
+        change = maximal_matching(HGraph.of(state.select("edge", "node").join(wrong, "edge", "left_semi"))).withColumn("_turn", F.lit(True))
+        state = cut_lineage(state.join(change, "edge", "left").select("edge", "node", F.when(F.col("_turn"), ~F.col("in")).otherwise(F.col("in")).alias("in")))
     raise SetGraphError(f"the subgraph didn't settle in {most_rounds} rounds")
 
 
 def HEDCS_matching(graph: HGraph, s: int, beta: float | None = None, beta_minus: float | None = None, seed: int = 0) -> DataFrame:  # noqa: N802
     """edge: the maximal matching of the union of the degree-constrained subgraphs of random parts of about s edges."""
+    graph = HGraph.of(cut_lineage(graph.incidences), graph.default_cell_weight, graph.name)
     d = uniform_size(graph)
     n, m = graph.shape
     k = max(1, -(-m // max(1, s)))
