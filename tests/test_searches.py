@@ -2,7 +2,9 @@
 
 import random
 from collections import defaultdict
+from itertools import combinations
 
+import numpy as np
 import pytest
 
 from setgraph.functions import properties
@@ -51,6 +53,37 @@ def test_louvain_keeps_a_start(spark):
     assert {r["node"]: r["part"] for r in communities.louvain(nodes, links, start).collect()} == {"a": 0, "b": 0, "c": 0, "x": 1, "y": 1}
 
 
+@pytest.mark.parametrize("whole_cells", [1_000_000, 70, 10])
+def test_kumar_by_components(spark, whole_cells, monkeypatch):
+    """All components in one task, each in its own, and the large ones by the table of pairs, which the others don't make."""
+    monkeypatch.setattr(communities, "WHOLE_CELLS", whole_cells)
+    groups = [set(range(first, first + 5)) for first in (0, 10, 100, 110)]
+    edges = [x for g in groups for x in combinations(sorted(g), 3)] + [(0, 10), (100, 110), (200, 201), (300,)]
+    if whole_cells > 10:
+        monkeypatch.setattr(communities, "two_section", None)
+    found = communities.dict2part({r["node"]: r["part"] for r in communities.kumar(build.from_dict(spark, dict(enumerate(edges)))).collect()})
+    assert sorted(found, key=min) == [*groups, {200, 201}, {300}]
+
+
+def test_two_section_in_a_task(monkeypatch):
+    """All pairs held, or only those that occur, added up some at a time; edges of one node have none."""
+    monkeypatch.setattr(communities, "PAIRS_AT_ONCE", 5)
+    rng = random.Random(6)
+    edges = [(rng.sample(range(12), rng.randint(1, 6)), rng.random()) for _ in range(40)]
+    known = defaultdict(float)
+    for members, w in edges:
+        for a, b in combinations(members, 2):
+            known[a, b] += w / (len(members) - 1)
+            known[b, a] += w / (len(members) - 1)
+    cells = [(i, node, w) for i, (members, w) in enumerate(edges) for node in members]
+    rng.shuffle(cells)
+    edge, node, w = (np.array(x) for x in zip(*cells, strict=True))
+    for most in (144, 0):
+        monkeypatch.setattr(communities, "DENSE_PAIRS", most)
+        src, dst, weight = communities._section(edge, node, w, 12)
+        assert list(zip(src, dst, strict=True)) == sorted(known) and weight == pytest.approx([known[x] for x in sorted(known)])
+
+
 @pytest.mark.parametrize("most_words", [1, 3])
 def test_reach(spark, most_words):
     """Components of many sizes, more sources than a batch has bits, vertices without links, loops and repeated links."""
