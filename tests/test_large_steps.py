@@ -247,3 +247,13 @@ def test_degree_constrained_subgraphs_read_incidences_once(spark):
     graph = HGraph.of(spark.createDataFrame(given, "edge long, node long").mapInPandas(count, "edge long, node long"))
     assert matching.HEDCS_matching(graph, 8, beta=9, beta_minus=5).count() == 1  # all edges share a node
     assert read.value == len(given)
+
+
+def test_tasks_grow_with_the_incidences_drawn(spark, monkeypatch):
+    """The same incidences, by more tasks if many are expected, and by no more tasks than blocks."""
+    few = generators.erdos_renyi_hypergraph(spark, 20_000, 50, 0.01, seed=3).pairs
+    monkeypatch.setattr(generators, "TASK_DRAWN", 700)
+    many = generators.erdos_renyi_hypergraph(spark, 20_000, 50, 0.01, seed=3).pairs
+    assert few.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism == 8 and many.rdd.getNumPartitions() == 15
+    assert sorted(few.collect()) == sorted(many.collect())
+    assert generators.erdos_renyi_hypergraph(spark, 3_000, 500, 0.01, seed=3).pairs.rdd.getNumPartitions() == 3
