@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SetGraphError
 from ..graph import HGraph
-from ..plans.lineage import cut_lineage
+from ..plans.lineage import written
 from .connectivity import is_connected
 
 
@@ -35,11 +35,11 @@ def get_pi(transitions: DataFrame, tolerance: float = 1e-12, most_rounds: int =
     transitions = transitions.persist()
     ids = transitions.select(F.col("src").alias("id")).distinct()
     n = ids.count()
-    pi = cut_lineage(ids.withColumn("pi", F.lit(1.0 / max(n, 1))))
+    pi = written(ids.withColumn("pi", F.lit(1.0 / max(n, 1))))
     for _ in range(most_rounds):
         step = transitions.join(pi, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("p") * F.col("pi")).alias("in"))
         new = pi.join(step, F.col("id") == F.col("dst"), "left").select("id", ((F.col("pi") + F.coalesce("in", F.lit(0.0))) / 2).alias("new"), "pi")
-        new = cut_lineage(new)
+        new = written(new)
         change = new.agg(F.coalesce(F.sum(F.abs(F.col("new") - F.col("pi"))), F.lit(0.0))).first()[0]
         pi = new.select("id", F.col("new").alias("pi"))
         if change < tolerance:
@@ -112,8 +112,8 @@ def _by_table(lap: DataFrame):
 
 def _through_incidences(graph: HGraph):
     """The nodes (id), and what _by_table gives for norm_lap without weights: vectors go to the edges as means and back."""
-    cells = cut_lineage(graph.pairs)
-    degrees = cut_lineage(cells.groupBy(F.col("node").alias("id")).agg(F.count("*").alias("degree")))
+    cells = written(graph.pairs)
+    degrees = written(cells.groupBy(F.col("node").alias("id")).agg(F.count("*").alias("degree")))
 
     def apply(vectors: DataFrame, k: int) -> DataFrame:
         own = vectors.join(degrees, "id")
@@ -127,11 +127,12 @@ def _through_incidences(graph: HGraph):
 
 def _orthogonal_iteration(apply, ids: DataFrame, k: int, seed: int, rounds: int) -> DataFrame:
     """Leading eigenvectors of 2I - L, which has those of I - L in the same order and no negative ones."""
-    vectors = cut_lineage(ids.select("id", F.array(*(F.randn(seed + j) for j in range(k))).alias("v")))
+    vectors = written(ids.select("id", F.array(*(F.randn(seed + j) for j in range(k))).alias("v")))
     for _ in range(rounds):
+        before = vectors
         gram = np.array(vectors.agg(*(F.sum(F.col("v")[i] * F.col("v")[j]) for i in range(k) for j in range(k))).first()).reshape(k, k)
         back = np.linalg.inv(np.linalg.cholesky(gram)).T
         vectors = vectors.select("id", F.array(*(sum((F.col("v")[i] * float(back[i, j]) for i in range(k)), F.lit(0.0)) for j in range(k))).alias("v"))
         vectors = vectors.join(apply(vectors, k), F.col("id") == F.col("row")).select("id", F.array(*(2 * F.col("v")[j] - F.col(f"s{j}") for j in range(k))).alias("v"))
-        vectors = cut_lineage(vectors)
+        vectors = written(vectors, before)
     return vectors
