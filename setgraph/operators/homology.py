@@ -7,22 +7,30 @@ driver, behind a size guard.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Sequence
+import math
+from collections.abc import Iterable, Iterator, Sequence
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import SetGraphError
 from ..graph import HGraph
 from ..plans.guards import bounded_rows
+from ..plans.lineage import forget, written
 from .pairs import dense_index
 
 #: The most cells of a dimension for elimination on the driver; the largest image whose elements are listed.
 MOST_CELLS, MOST_IMAGE = 20_000, 20
 #: 1s of a product or a sum that a task counts.
 TASK_CELLS = 2_000_000
+#: Cells that are sorted at a time, so that what a shuffle writes stays bounded, and cells that a task makes at a time.
+PASS_CELLS, CHUNK_CELLS = 100_000_000, 500_000
+#: Rows of a matrix that share the lists of a product, and columns whose 1s are sent together to a sum.
+BLOCK = 1024
 
 
 # -- cells and boundaries as tables -------------------------------------------------------------------------------
@@ -68,6 +76,144 @@ def boundary(lower: DataFrame, upper: DataFrame, k: int | None = None) -> DataFr
     return faces.join(lower.select(F.col("idx").alias("row"), *(at(i).alias(p) for i, p in enumerate(places))), places).select("row", "col")
 
 
+def _subsets(n: int, m: int, ranks: np.ndarray) -> np.ndarray:
+    """The combinations of m of n places with these numbers in sorted order, a row each."""
+    out, start, ranks = np.empty((len(ranks), m), np.int64), np.zeros(len(ranks), np.int64), ranks.copy()
+    for i in range(m):
+        counts = np.array([math.comb(x, m - i) for x in range(n + 1)], np.int64)
+        left = counts[n - start] - ranks
+        x = np.searchsorted(counts, left)
+        out[:, i], start, ranks = n - x, n - x + 1, counts[x] - left
+    return out
+
+
+def _numbers(n: int, subsets: np.ndarray) -> np.ndarray:
+    """The numbers of combinations of n places in sorted order: the inverse of _subsets."""
+    m, start, out = subsets.shape[1], np.zeros(len(subsets), np.int64), np.zeros(len(subsets), np.int64)
+    for i in range(m):
+        counts = np.array([math.comb(x, m - i) for x in range(n + 1)], np.int64)
+        out, start = out + counts[n - start] - counts[n - subsets[:, i]], subsets[:, i] + 1
+    return out
+
+
+def _faces(n: int, j: int, first: int, last: int) -> np.ndarray:
+    """Of cells of dimension j + 1 among n nodes, by number, those of their faces, that without the last node first."""
+    cells = _subsets(n, j + 2, np.arange(first, last))
+    return np.stack([_numbers(n, np.delete(cells, out, 1)) for out in range(j + 1, -1, -1)])
+
+
+@cache
+def _few_faces(n: int, j: int, total: int) -> np.ndarray:
+    return _faces(n, j, 0, total)
+
+
+def _cofaces(j: int, parts: int, lower: int, low: int, high: int, faces: int, keep: bool):
+    """From edges and the numbers of the j-cells that they hold (held, sorted) the first faces of their cells of dimension j + 1,
+    those without the last node first, in parts low up to high. keep: with the edge, else without what repeats in a chunk."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for size, some in batch.groupby(batch["held"].map(len)):
+                n = next(x for x in itertools.count(j + 1) if math.comb(x, j + 1) == size)
+                held, edges, total = np.stack(some["held"].to_numpy()), some["edge"].to_numpy(), math.comb(n, j + 2)
+                step, width = max(1, CHUNK_CELLS // max(1, total)), min(total, CHUNK_CELLS)
+                for first, at in itertools.product(range(0, total, max(1, width)), range(0, len(held), step)):
+                    last = min(total, first + width)
+                    places = _few_faces(n, j, total) if width == total <= 4096 else _faces(n, j, first, last)
+                    found = [held[at : at + step, f].ravel() for f in places[:faces]]
+                    part = found[0] * parts // lower
+                    rows = np.flatnonzero((part >= low) & (part < high))
+                    if not keep:
+                        order = rows[np.lexsort((found[1][rows], found[0][rows]))]
+                        a, b = found[0][order], found[1][order]
+                        rows = order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]] if len(order) else order
+                    if len(rows):
+                        made = {"part": (part[rows] - low).astype(np.int32)} | {f"f{i}": x[rows] for i, x in enumerate(found)}
+                        yield pd.DataFrame(made | ({"edge": np.repeat(edges[at : at + step], last - first)[rows]} if keep else {}))
+
+    return make
+
+
+def _places_of(sort: list[str], keep: list[str]):
+    """Of sorted rows, which repeat where these columns do, the place of each different one; without keep only the first of each."""
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, n = None, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = batch[sort].to_numpy()
+            new = np.r_[before is None or bool((x[0] != before).any()), (x[1:] != x[:-1]).any(1)]
+            place = n + np.cumsum(new) - 1
+            before, n = x[-1], int(place[-1]) + 1
+            yield batch.assign(place=place)[["place", *keep]] if keep else batch.drop(columns="part").assign(place=place)[new]
+
+    return number
+
+
+def _next_cells(held: DataFrame, j: int, lower: int, whole: bool) -> tuple[DataFrame, int]:
+    """Cells of dimension j + 1, numbered in sorted order, and how many there are, from held (edge, held) with `lower` j-cells.
+
+    Sorted by its faces without the last node and without the last but one, a cell is in the order of its nodes. Stretches
+    of the first face are sorted by a task each, PASS_CELLS at a time. whole: faces f0, f1, ..., idx of each cell; else edge,
+    idx of all cells that an edge holds.
+    """
+    sizes = held.groupBy(F.size("held").alias("n")).count().collect()
+    nodes = {r["n"]: next(x for x in itertools.count(j + 1) if math.comb(x, j + 1) == r["n"]) for r in sizes}
+    made = sum(r["count"] * math.comb(nodes[r["n"]], j + 2) for r in sizes)
+    passes = max(1, -(-made // PASS_CELLS))
+    parts = passes * -(-_tasks(held, 2 * made) // passes)
+    kind, faces = held.schema["edge"].dataType.simpleString(), j + 2 if whole else 2
+    columns = [f"f{i}" for i in range(faces)]
+    given, kept = ", ".join(f"{c} long" for c in columns), "place long" if whole else f"place long, edge {kind}"
+    tables = []
+    for low in range(0, parts, parts // passes):
+        high = low + parts // passes
+        rows = held.mapInPandas(_cofaces(j, parts, max(1, lower), low, high, faces, not whole), f"part int, {given}" + ("" if whole else f", edge {kind}"))
+        rows = rows.repartitionById(high - low, "part").sortWithinPartitions("f0", "f1")
+        rows = rows.mapInPandas(_places_of(["f0", "f1"], [] if whole else ["edge"]), f"{given}, {kept}" if whole else kept)
+        tables.append(written(rows.withColumn("part", F.spark_partition_id() + low)))
+    found = reduce(DataFrame.unionByName, tables)
+    ends = found.groupBy("part").agg((F.max("place") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ends.select("part", before.alias("before"), "n")
+    n = ends.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    placed = found.join(F.broadcast(offsets.select("part", "before")), "part").withColumn("idx", F.col("place") + F.col("before"))
+    if whole:
+        return placed.select(*columns, "idx"), n
+    lists = _held(placed, n)
+    forget(held.sparkSession, *tables)
+    return lists, n
+
+
+def _held(cells: DataFrame, n: int) -> DataFrame:
+    """edge, held: the sorted numbers of the cells that each edge holds."""
+    return written(cells.repartition(_tasks(cells, n), "edge").groupBy("edge").agg(F.array_sort(F.collect_list("idx")).alias("held")))
+
+
+def boundary_matrix(graph: HGraph, k: int) -> DataFrame:
+    """row, col: what boundary gives for the graph's indexed cells of dimensions k - 1 and k.
+
+    A cell's faces are found where its edge is: in sorted order the cells of an edge are the combinations of its nodes, so
+    faces have their places by arithmetic. Neither nodes nor faces are joined; the matrix is read from the cells, each of
+    which is written once with its faces.
+    """
+    if k < 1:
+        raise SetGraphError("dimensions have to be 1 or more")
+    pairs = written(graph.pairs)
+    nodes = dense_index(pairs, "node")
+    n = nodes.count()
+    held = _held(pairs.join(nodes, "node"), pairs.count())
+    forget(graph.spark, pairs)
+    for j in range(k - 1):
+        before = held
+        held, n = _next_cells(held, j, n, False)
+        forget(graph.spark, before)
+    cells, _ = _next_cells(held, k - 1, n, True)
+    forget(graph.spark, held)
+    return cells.select(F.explode(F.array(*(f"f{i}" for i in range(k + 1)))).alias("row"), F.col("idx").alias("col"))
+
+
 def chain_complex(graph: HGraph, k: int | Sequence[int] | None = None) -> tuple[dict, dict]:
     """Indexed cells and boundary tables by dimension, for the dimensions of k and one above and below."""
     largest = graph.edge_sizes().agg(F.max("size")).first()[0] or 0
@@ -91,10 +237,10 @@ def krange(most: int, k: int | Sequence[int] | None = None) -> list[int]:
 
 
 def logical_matmul_table(a: DataFrame, b: DataFrame) -> DataFrame:
-    """row, col of the 1s of a product mod 2 of two matrices given by their 1s, which are read twice.
+    """row, col of the 1s of a product mod 2 of two matrices given by their 1s, which are read more than once.
 
-    Each 1 of a meets the list of b's columns at its index, so that lists are sent to the product's rows, not 1s. A 1 of
-    the product seldom comes twice from one task, so they are counted only where all of a row are together. Tasks grow in
+    At each index the list of b's columns meets those of a's rows, and is sent once to each block of rows. A 1 of the product
+    seldom comes twice from one task, so they are counted only where all of a block are together. Tasks grow in
     number with the products; rows with very many of them are dealt by column.
     """
     left, right = a.select(F.col("col").alias("_k"), "row"), b.select(F.col("row").alias("_k"), "col")
@@ -102,19 +248,49 @@ def logical_matmul_table(a: DataFrame, b: DataFrame) -> DataFrame:
     made, longest = at.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
     widest = left.groupBy("row").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     tasks, slices = _tasks(a, made), min(made, longest * widest) // TASK_CELLS + 1
-    right = right.withColumn("_slice", F.pmod(F.xxhash64("col"), F.lit(slices)).cast("int"))
+    right = right.select("_k", _short(right, "col"), F.pmod(F.xxhash64("col"), F.lit(slices)).cast("int").alias("_slice"))
     lists = right.repartition(tasks, "_k", "_slice").groupBy("_k", "_slice").agg(F.collect_list("col").alias("cols"))
-    left = left.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    met = left.repartition(tasks, "_k", "_slice").join(lists, ["_k", "_slice"]).select("row", "_slice", "cols").repartition(tasks, "row", "_slice")
-    counts = met.select("row", "_slice", F.explode("cols").alias("col")).groupBy("row", "_slice", "col").agg(F.count("*").alias("n"))
-    return counts.filter("n % 2 = 1").select("row", "col")
+    left = left.select("_k", _short(left, "row"), F.floor(F.col("row") / BLOCK).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"))
+    blocks = left.repartition(tasks, "_k", "_slice").groupBy("_k", "_slice", "_block").agg(F.collect_list("row").alias("rows"))
+    met = blocks.join(lists, ["_k", "_slice"]).select("_block", "_slice", "rows", "cols").repartition(tasks, "_block", "_slice")
+    ones = met.select("_block", "_slice", F.explode("rows").alias("row"), "cols").select("_block", "_slice", "row", F.explode("cols").alias("col"))
+    counts = ones.groupBy("_block", "_slice", "row", "col").agg(F.count("*").alias("n"))
+    return counts.filter("n % 2 = 1").select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
 
 
 def logical_matadd_table(a: DataFrame, b: DataFrame) -> DataFrame:
-    """row, col of the 1s of a sum mod 2. Both are read twice: tasks grow in number with the 1s, which are not counted before they meet."""
+    """row, col of the 1s of a sum mod 2. Both are read twice: tasks grow in number with the 1s, which are sent as lists of a
+    block of columns and counted where all of it are together. Blocks with very many are dealt by row."""
     both = a.select("row", "col").unionAll(b.select("row", "col"))
-    met = both.repartition(_tasks(a, both.count()), "row", "col")
-    return met.groupBy("row", "col").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("row", "col")
+    blocks = both.groupBy(F.floor(F.col("col") / BLOCK).alias("_block")).agg(F.count("*").alias("n"))
+    made, most = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    dealt = both.select("row", "col", F.pmod(F.xxhash64("row"), F.lit(most // TASK_CELLS + 1)).cast("int").alias("_slice"))
+    kind = "int" if _short_ids(both, "row") else "long"
+    sent = dealt.mapInPandas(_packed, f"_block long, _slice int, rows array<{kind}>, ats array<short>").repartition(_tasks(a, made), "_block", "_slice")
+    ones = sent.select("_block", "_slice", F.explode(F.arrays_zip("rows", "ats")).alias("x"))
+    counts = ones.groupBy("_block", "_slice", F.col("x.rows").alias("row"), F.col("x.ats").alias("_at")).agg(F.count("*").alias("n")).filter("n % 2 = 1")
+    return counts.select(F.col("row").cast("long").alias("row"), (F.col("_block") * BLOCK + F.col("_at")).alias("col"))
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each batch of 1s (row, col, _slice) the rows, and columns counted from the block's first, by block and slice."""
+    for batch in batches:
+        if len(batch):
+            batch = batch.assign(_block=batch["col"] // BLOCK).sort_values(["_block", "_slice"], kind="stable")
+            keys = batch[["_block", "_slice"]].to_numpy()
+            first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+            lists = [np.split(batch[c].to_numpy() % d if d else batch[c].to_numpy(), first[1:]) for c, d in (("row", 0), ("col", BLOCK))]
+            yield pd.DataFrame({"_block": keys[first, 0], "_slice": keys[first, 1], "rows": lists[0], "ats": lists[1]})
+
+
+def _short_ids(rows: DataFrame, column: str) -> bool:
+    """Whether all values of the column fit an int."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    return high is None or -(2**31) <= low <= high < 2**31
+
+
+def _short(rows: DataFrame, column: str) -> Column:
+    return F.col(column).cast("int") if _short_ids(rows, column) else F.col(column)
 
 
 def _tasks(rows: DataFrame, made: int) -> int:
