@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import SetGraphError
 from ..graph import EDGES, NODES, HGraph, side
 from ..plans.guards import bounded_rows
-from ..plans.lineage import cut_lineage
+from ..plans.lineage import cut_lineage, written
 from . import components as stars
 from .distances import all_pairs, eccentricities, incident_source, reach, single_source
 from .pairs import get_linegraph, pair_counts
@@ -27,7 +27,7 @@ def bipartite_components(graph: HGraph) -> DataFrame:
     The links are those from each id of that side to the least one that shares an id of the other side with it: no more
     than the incidences, where the line graph of one hub would be quadratic, and among the ids of the lesser side only.
     """
-    pairs = cut_lineage(graph.pairs)
+    pairs = written(graph.pairs)
     n_edges, n_nodes = pairs.agg(F.approx_count_distinct("edge"), F.approx_count_distinct("node")).first()
     kept, passed = (EDGES, NODES) if n_edges < n_nodes else (NODES, EDGES)
     own, other = side(kept)
